@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.decontam import without_leaks
+from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack_documents
 from tessella.llm.simhash import near_duplicates
+from tessella.llm.toxicity import toxicity_scores
 from tessella.scratch import stored
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score 0.7 or more; those without an id stay."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = stored(scores.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
+    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines of 40 code points or more that five documents or more share, but for the last holder."""
+    return dedup_lines(docs).select(docs.columns)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi")
+    spare = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stored(spare, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a stretch of a benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +40,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs.select("doc_id", "text"))
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: Learned scores, fingerprints and BPE ids cannot be expressed in SQL.
 ORACLE_SQL = None

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.scratch import ship_package
+
 #: Rows and bytes in an Arrow batch that goes to a Python worker: bounds its memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and by bytes."""
+    """Bounds Arrow batches by rows and by bytes, and gives the executors this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -68,8 +71,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``bound`` labelled training texts, and their labels, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int, chars: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``bound`` labelled training texts, ``chars`` characters of each at most, and their labels, in the order of a hash of the id.
 
     A training row's crc32 remainder by ``fold`` is not ``held``; rows without a label are left out. A document with
     several label rows counts once, with the largest. The order by hash makes the sample the same on every run.
@@ -78,6 +81,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, h
     known = known.where(remainder(F.col("doc_id"), fold) != held)
     # ids first, so that only the chosen texts are joined
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     return [(r["text"] or "").encode() for r in rows], np.array([r["__y"] for r in rows], np.float64)

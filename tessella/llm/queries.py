@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.decontam import op4_decontamination
 from tessella.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessella.llm.packing import op7_packing
 from tessella.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tessella.llm.simhash import op2_simhash
 from tessella.llm.token_counts import op10_token_counts
+from tessella.llm.toxicity import op1_toxicity
 from tessella.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
@@ -23,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_warc": OP9_SQL,
