@@ -47,3 +47,35 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return found.union(alone.join(found.select("node"), "node", "left_anti"))
+
+
+def leader_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Rows ``(node, leader)``: what a greedy pass in order of ``ordinal`` gives, found in parallel rounds.
+
+    ``nodes`` has node, a unique ordinal and optionally a boolean ``forced`` (always a leader); ``edges`` has a and b.
+    The pass makes each node a follower of its earliest leading neighbour, else a leader. In a round a node with an
+    earlier leader among its neighbours follows; a node whose earlier neighbours all follow leads (the
+    lexicographically first maximal independent set, as in parallel greedy algorithms). A forced node leads, and
+    never follows. Each round is written to the shared folder.
+    """
+    forced = F.coalesce("forced", F.lit(False)) if "forced" in nodes.columns else F.lit(False)
+    n = nodes.select("node", "ordinal", forced.alias("forced"))
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+    earlier = both.join(n.select(F.col("node").alias("a"), F.col("ordinal").alias("o"), F.col("forced").alias("fa")), "a").join(
+        n.select(F.col("node").alias("b"), F.col("ordinal").alias("o2")), "b").where("o2 < o and not fa")
+    earlier = stored(earlier.select("a", "b", "o2"), "leader-edges")  # b is before a
+    state = stored(n.withColumn("state", F.when(F.col("forced"), "leader").otherwise("open")), "leader-state")
+    for _ in range(max_rounds):
+        if state.where("state = 'open'").limit(1).count() == 0:
+            break
+        seen = earlier.join(state.select(F.col("node").alias("b"), F.col("state").alias("sb")), "b").groupBy(F.col("a").alias("node")).agg(
+            F.bool_or(F.col("sb") == "leader").alias("led"), F.bool_and(F.col("sb") == "follower").alias("free"))
+        state = stored(state.join(seen, "node", "left").select(
+            "node", "ordinal", "forced",
+            F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("led", F.lit(False)), "follower").when(F.coalesce("free", F.lit(True)), "leader").otherwise("open").alias("state")), "leader-state")
+    else:
+        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    leaders = state.where("state = 'leader'").select(F.col("node").alias("b"))
+    first = earlier.join(leaders, "b").groupBy("a").agg(F.min(F.struct("o2", "b")).alias("m"))
+    return state.join(first, state["node"] == first["a"], "left").select(
+        "node", F.when(F.col("state") == "leader", F.col("node")).otherwise(F.col("m.b")).alias("leader"))
