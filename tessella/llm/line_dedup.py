@@ -125,8 +125,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
         runs.add(keyed.where(F.col("batch") == i).select("k", "doc_id"))
     frequent = stored(runs.all().where(F.col("n_docs") >= min_docs).select("k", "keeper"), "frequent-lines")
     drops = keyed.select("k", "doc_id").join(frequent, "k").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("k").alias("__drop"))
-    # written, so that the join with the texts is planned with its true size
-    with_drops = docs.drop("n_lines", "n_dropped").join(stored(drops, "line-drops"), "doc_id", "left").select(
+    # always by merging, so that the plan is the same at every size
+    with_drops = docs.drop("n_lines", "n_dropped").join(stored(drops, "line-drops").hint("merge"), "doc_id", "left").select(
         *[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "__drop")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long")
