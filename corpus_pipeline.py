@@ -8,15 +8,13 @@ from tessella.llm.decontam import without_leaks
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack_documents
 from tessella.llm.simhash import near_duplicates
-from tessella.llm.toxicity import toxicity_scores
+from tessella.llm.toxicity import without_toxic
 from tessella.scratch import stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score 0.7 or more; those without an id stay."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = stored(scores.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    """Rejects documents that score 0.7 or more."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
     spare = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(spare, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(stored(spare, "near-duplicates").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

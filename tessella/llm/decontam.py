@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import rows_to_batches, small_batches, table, texts_of
 from tessella.llm.spans import LOWER, HashTable, mix, span_hashes, word_spans
-from tessella.scratch import stored
 
 _U = np.uint64
 #: A match is a stretch of WINDOW words of an item with at most SUBSTITUTIONS other words in their places.
@@ -125,57 +124,76 @@ def _reads(text: bytes) -> Iterator[tuple[int, bytes]]:
         at = step
 
 
+def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark in parts: ids and texts of at most ``2 * BLOCK`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE - OVERLAP))
+    pieces = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.explode(starts).alias("at"), "text").select("item_id", "at", F.substring("text", F.col("at"), F.lit(PIECE)).alias("text"))
+    size = pieces.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-2 * size // BLOCK)) if size > BLOCK else 1
+    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(n)))
+    if n > 1 and numbered.groupBy("block").agg(F.sum(F.length("text")).alias("s")).agg(F.max("s")).first()[0] > 2 * BLOCK:
+        raise ValueError("a block of the benchmark is over its bound; its pieces hash unevenly")
+    return [numbered.where(F.col("block") == b).select("item_id", "text").orderBy("item_id") for b in range(n)]
+
+
+def _broadcast(block: DataFrame):
+    rows = block.collect()
+    return block.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1].encode() for r in rows]))
+
+
+def matches(items: Benchmark, text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """Item, first word, words and substitutions of each stretch that a text shares with an item."""
+    for before, part in _reads(text):
+        h = words(part)[0]
+        for item, diagonal in items.candidates(h):
+            if got := items.verify(h, item, diagonal):
+                yield items.ids[item], got[0] + before, got[1], got[2]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``doc_start``, ``n_words``, ``n_substitutions``: for each document and item that
     share a stretch, the longest one: its first word in the document, its words and how many of them differ.
 
-    Words ignore case and ASCII punctuation. The benchmark goes to the workers in blocks of at most ``BLOCK``
+    Words ignore case and ASCII punctuation. The benchmark goes to the workers in blocks of at most ``2 * BLOCK``
     characters, one pass over the documents each, so that what is broadcast is bounded whatever its size. Null and
     empty texts match nothing; rows with a null id give rows with a null id; repeated rows of an id give one row for
     an item. An empty table on either side gives none.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE - OVERLAP))
-    pieces = benchmark.where("text is not null").select("item_id", F.explode(starts).alias("at"), "text").select("item_id", "at", F.substring("text", F.col("at"), F.lit(PIECE)).alias("text"))
-    size = pieces.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-2 * size // BLOCK)) if size > BLOCK else 1
-    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(n)))
-    if n > 1 and numbered.groupBy("block").agg(F.sum(F.length("text")).alias("s")).agg(F.max("s")).first()[0] > 2 * BLOCK:
-        raise ValueError("a block of the benchmark is over its bound; its pieces hash unevenly")
+    small_batches(docs.sparkSession)
     item_kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
     source = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def against(block: int) -> DataFrame:
-        rows = numbered.where(F.col("block") == block).select(F.col("item_id").cast("long"), "text").orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1].encode() for r in rows]))
+    def against(block: DataFrame) -> DataFrame:
+        shared = _broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Benchmark(*shared.value)
-
-            def rows() -> Iterator[tuple]:
-                for batch in batches:
-                    for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                        for before, part in _reads(text):
-                            h = words(part)[0]
-                            for item, diagonal in items.candidates(h):
-                                if got := items.verify(h, item, diagonal):
-                                    yield doc_id, items.ids[item], got[0] + before, got[1], got[2]
-
-            yield from rows_to_batches(["doc_id", "item_id", "doc_start", "n_words", "n_substitutions"], [pa.int64()] * 5, rows())
+            found = ((doc_id, *m) for batch in batches for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for m in matches(items, text))
+            yield from rows_to_batches(["doc_id", "item_id", "doc_start", "n_words", "n_substitutions"], [pa.int64()] * 5, found)
 
         return source.mapInArrow(run, "doc_id long, item_id long, doc_start long, n_words long, n_substitutions long")
 
-    found = reduce(DataFrame.unionByName, [against(b) for b in range(n)])
+    found = reduce(DataFrame.unionByName, map(against, blocks_of(benchmark)))
     best = F.max(F.struct("n_words", (-F.col("n_substitutions")).alias("fewer"), (-F.col("doc_start")).alias("sooner"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         F.col("doc_id").cast(doc_kind), F.col("item_id").cast(item_kind), (-F.col("b.sooner")).alias("doc_start"), F.col("b.n_words"), (-F.col("b.fewer")).alias("n_substitutions"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the documents that hold a stretch of an item."""
-    leaks = stored(contamination(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` less the rows that hold a stretch of an item: a map over the rows for each block, without a shuffle."""
+    small_batches(docs.sparkSession)
+
+    def against(rest: DataFrame, block: DataFrame) -> DataFrame:
+        shared = _broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Benchmark(*shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([next(matches(items, t), None) is None for t in texts_of(batch)], pa.bool_()))
+
+        return rest.mapInArrow(run, docs.schema)
+
+    return reduce(against, blocks_of(benchmark), docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

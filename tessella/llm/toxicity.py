@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -135,6 +135,33 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     return Model(*dictionaries(texts, toxic), mean, scale, logistic((x - mean) / scale, toxic))
 
 
+def _shared(docs: DataFrame, labels: DataFrame, fold: int, held: int, sample: int):
+    return docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "toxic", fold, held, sample, SAMPLE_CHARS)))
+
+
+def _scoring(m: Model) -> Callable[[pa.RecordBatch], np.ndarray]:
+    scorer = Scorer(m.ordinary, m.toxic)
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        x = np.array([scorer.features(t) for t in texts_of(batch)]).reshape(-1, len(m.mean))
+        return sigmoid(((x - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1])
+
+    return score
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, fold: int = 3, held: int = 1, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` less the rows that score ``threshold`` or more; one map over the rows, as in ``toxicity_scores``."""
+    small_batches(docs.sparkSession)
+    shared = _shared(docs.select("doc_id", "text"), labels, fold, held, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scoring(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, fold: int = 3, held: int = 1, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
 
@@ -144,18 +171,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, fold: int = 3, held:
     Null and empty texts are one empty window. Repeated rows get a row each; an empty table gives none; without
     labels of both kinds every score is the rate of the label.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(train(*labelled_sample(source, labels, "toxic", fold, held, sample, SAMPLE_CHARS)))
+    shared = _shared(source, labels, fold, held, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        scorer = Scorer(m.ordinary, m.toxic)
+        score = _scoring(shared.value)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in texts_of(batch)]).reshape(-1, len(m.mean))
-            p = sigmoid(((x - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch))], names=["doc_id", "score"])
 
     scored = source.mapInArrow(run, source.select("doc_id").schema.add("score", "double"))
     return scored.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
