@@ -76,7 +76,7 @@ def sidecar_path(path: Column | str, root: str, out: str, preserve: bool = True)
     """A5: where a file's sidecar lies below ``out``: in the file's place below ``root`` (compared without case), or
     flat by its name."""
     p, r = slashes(path), root.replace("\\", "/").rstrip("/") + "/"
-    rest = F.when(F.startswith(F.lower(p), F.lit(r.lower())), F.substring(p, len(r) + 1, 1 << 20)).otherwise(F.ltrim(p, F.lit("/")))
+    rest = F.when(F.startswith(F.lower(p), F.lit(r.lower())), F.ltrim(F.substring(p, len(r) + 1, 1 << 20), F.lit("/"))).otherwise(F.ltrim(p, F.lit("/")))
     return F.concat(F.lit(out.rstrip("/") + "/"), rest if preserve else basename(p), F.lit(".json"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def parse_tags(raw: Column | str) -> Column:
     def one(x: Column) -> Column:
         obj = F.from_json(x, "tag string, name string, category string, confidence string")
         return F.when(F.startswith(F.ltrim(x), F.lit("{")), _tag(
-            F.coalesce(F.nullif(obj.tag, F.lit("")), obj.name, F.lit("")), F.coalesce(F.nullif(obj.category, F.lit("")), F.lit("general")), obj.confidence.try_cast("double"))).otherwise(tag_of_text(x))
+            F.coalesce(F.nullif(obj["tag"], F.lit("")), obj["name"], F.lit("")), F.coalesce(F.nullif(obj["category"], F.lit("")), F.lit("general")), obj["confidence"].try_cast("double"))).otherwise(tag_of_text(x))
     from_array = F.transform(items, one)
     from_list = F.transform(F.split(raw, ","), tag_of_text)
     found = F.when(F.startswith(F.ltrim(raw), F.lit("[")), from_array).otherwise(from_list)
@@ -60,7 +62,7 @@ def format_tag(tag: Column, category: Column, style: str) -> Column:
 def with_people(tags: Column | str, names: Column | str) -> Column:
     """Tags and, of category people, the names of known persons that no tag has yet, compared without case."""
     have = F.transform(col(tags), lambda t: F.lower(t.tag))
-    known = F.array_distinct(F.filter(F.transform(F.coalesce(col(names), F.array().cast("array<string>")), F.trim), lambda n: ~is_placeholder_name(n)))
+    known = F.array_distinct(F.filter(F.transform(F.coalesce(col(names), F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: ~is_placeholder_name(n)))
     lows = F.transform(known, F.lower)
     new = F.filter(known, lambda n, i: ~F.array_contains(have, F.lower(n)) & (F.array_position(lows, F.lower(n)) == i + 1))
     return F.concat(col(tags), F.transform(new, lambda n: F.struct(n.alias("tag"), F.lit("people").alias("category"), F.lit(1.0).alias("confidence"))))
@@ -96,16 +98,24 @@ def repair_json(raw: Column | str, longest: int = 100_000) -> Column:
     """
     t = F.trim(F.regexp_replace(F.regexp_replace(F.substring(col(raw), 1, longest), "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", ""))
     good = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{")), x)
-    outer = F.nullif(F.regexp_extract(t, "(?s)(\\{.*\\})", 1), F.lit(""))
-    from_brace = F.nullif(F.regexp_extract(t, "(?s)(\\{.*)$", 1), F.lit(""))
-    once = F.regexp_replace(from_brace, "(?U)(\\b\\w+\\b)(?:[\\s,]+\\1\\b){4,}", "$1")
-    bare = F.regexp_replace(once, "(?s)\\\\.", "")
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    closed = F.when(count(bare, '"') % 2 == 1, F.concat(once, F.lit('"'))).otherwise(once)
-    full = F.concat(
-        closed, F.repeat(F.lit("]"), F.greatest(F.lit(0), count(closed, "[") - count(closed, "]"))),
-        F.repeat(F.lit("}"), F.greatest(F.lit(0), count(closed, "{") - count(closed, "}"))))
-    return F.coalesce(good(t), good(outer), good(full))
+
+    def completed(once: Column) -> Column:
+        return _let(F.when(count(F.regexp_replace(once, "(?s)\\\\.", ""), '"') % 2 == 1, F.concat(once, F.lit('"'))).otherwise(once), lambda x: F.concat(
+            x, F.repeat(F.lit("]"), F.greatest(F.lit(0), count(x, "[") - count(x, "]"))), F.repeat(F.lit("}"), F.greatest(F.lit(0), count(x, "{") - count(x, "}")))))
+
+    def tried(x: Column) -> Column:
+        outer = F.nullif(F.regexp_extract(x, "(?s)(\\{.*\\})", 1), F.lit(""))
+        from_brace = F.nullif(F.regexp_extract(x, "(?s)(\\{.*)$", 1), F.lit(""))
+        once = F.regexp_replace(from_brace, "(?U)(\\b\\w+\\b)(?:[\\s,]+\\1\\b){4,}", "$1")
+        return F.coalesce(good(x), _let(outer, good), _let(_let(once, completed), good))
+
+    return _let(t, tried)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def same_language(a: Column | str, b: Column | str) -> Column:

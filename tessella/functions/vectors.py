@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.paths import col
 
@@ -31,13 +32,13 @@ def unit(a: Column | str) -> Column:
     return F.when(n > 0, F.transform(col(a), lambda x: x.cast("double") / n))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blob: pd.Series) -> pd.Series:
     """float32 bytes as an array; null stays null."""
     return blob.map(lambda b: None if b is None else np.frombuffer(bytes(b[: len(b) // 4 * 4]), "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vector: pd.Series) -> pd.Series:
     """An array as float32 bytes; null stays null."""
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())

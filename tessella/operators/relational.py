@@ -82,7 +82,7 @@ def by_suffix(requests: DataFrame, files: DataFrame, request: str, path: str) ->
     """
     r = requests.withColumn("__r", F.trim(F.lower(slashes(request)), F.lit("/")))
     r = r.withColumn("__b", F.element_at(F.split("__r", "/"), -1))
-    f = files.select(F.col(path), F.lower(slashes(path)).alias("__f")).withColumn("__b", F.element_at(F.split("__f", "/"), -1))
+    f = files.select(F.col(path), F.rtrim(F.lower(slashes(path)), F.lit("/")).alias("__f")).withColumn("__b", F.element_at(F.split("__f", "/"), -1))
     hit = r.join(f, "__b").where((F.col("__f") == F.col("__r")) | F.endswith("__f", F.concat(F.lit("/"), F.col("__r"))))
     return hit.groupBy(request).agg(F.min(path).alias(path))
 
