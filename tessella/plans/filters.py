@@ -221,7 +221,8 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.round(M.rate(t), 6).alias("fps"))
 
 
-@query("H11", "SELECT p_partkey, round_even(p_size * 1000.0::DOUBLE * p_partkey / 1e6, 2) AS mp FROM part")
+@query("H11", """WITH n AS (SELECT p_partkey, p_size * p_partkey AS n FROM part)
+SELECT p_partkey, (n // 10 + CASE WHEN n % 10 > 5 OR (n % 10 = 5 AND n // 10 % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS mp FROM n""")
 def megapixel(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", M.megapixels(F.col("p_size") * 1000, "p_partkey").alias("mp"))
 

@@ -93,7 +93,7 @@ def tag_inheritance(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SUFFIX = """WITH r AS (SELECT DISTINCT regexp_extract(url, '[^/]*/[^/]*$') AS r FROM pages)
-SELECT r, min(url) AS url FROM r JOIN pages ON ends_with(lower(url), '/' || lower(r)) OR lower(url) = lower(r) GROUP BY r"""
+SELECT r, min(url) AS url FROM r JOIN pages ON ends_with(lower(rtrim(url, '/')), '/' || lower(rtrim(r, '/'))) GROUP BY r"""
 
 
 @query("C10", _SUFFIX)
