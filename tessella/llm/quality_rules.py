@@ -28,20 +28,21 @@ RULES = (
     Rule("few_words", "n_words < 10"),
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_text_lines"),
+    Rule("duplicate_lines", "10 * n_dup_lines > 5 * n_text_lines"),
     Rule("shouting", "10 * n_upper > 4 * n_letters"),
     Rule("exclamations", "10 * n_exclamations > 3 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("short_words", "10 * word_chars < 15 * n_words"),
     Rule("few_letters", "10 * n_letters < 5 * word_chars"),
-    Rule("many_digits", "10 * n_digits > 3 * word_chars"),
+    Rule("many_digits", "10 * n_digits > 5 * word_chars"),
+    Rule("stutter", "10 * n_stutter > 3 * n_words"),
 )
 BITS = {rule.name: i for i, rule in enumerate(RULES)}
 
 #: A policy drops a document that fails one of its rules.
 POLICIES = {
     "v1": ("few_words", "repeated_words"),
-    "v2": ("few_words", "repeated_words", "symbols", "duplicate_lines", "shouting", "exclamations", "long_words", "short_words", "few_letters", "many_digits"),
+    "v2": ("few_words", "repeated_words", "symbols", "duplicate_lines", "shouting", "exclamations", "long_words", "short_words", "few_letters", "many_digits", "stutter"),
 }
 CURRENT = "v2"
 
@@ -78,6 +79,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     hashed = split.select(
         *keep, *[c for c in MEASURED if c in split.columns],
         n.cast("long").alias("n_words"),
+        F.size(F.filter("__words", lambda w, i: w == F.get(F.col("__words"), i - 1))).cast("long").alias("n_stutter"),
         F.size("__lines").cast("long").alias("n_text_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("__h"),
@@ -100,7 +102,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 MEASURED = (
-    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines", "n_upper", "n_letters", "n_digits", "n_exclamations",
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_lines", "n_upper", "n_letters", "n_digits", "n_exclamations", "n_stutter",
 )
 
 
@@ -167,7 +169,7 @@ WITH t AS (
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM t
 ), m AS (
-  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  SELECT doc_id, len(ws) AS n_words, len(list_filter(ws, lambda w, i: i > 1 AND w = ws[i - 1])) AS n_stutter, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_text_lines,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits,
@@ -185,8 +187,8 @@ WITH t AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_text_lines
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 5 * n_text_lines
     OR 10 * n_upper > 4 * n_letters OR 10 * n_exclamations > 3 * n_words OR word_chars > 15 * n_words
-    OR 10 * word_chars < 15 * n_words OR 10 * n_letters < 5 * word_chars OR 10 * n_digits > 3 * word_chars) AS kept
+    OR 10 * word_chars < 15 * n_words OR 10 * n_letters < 5 * word_chars OR 10 * n_digits > 5 * word_chars OR 10 * n_stutter > 3 * n_words) AS kept
 FROM a
 """
