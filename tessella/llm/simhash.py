@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import small_batches, table, texts_of
 from tessella.operators.graph import connected_components
@@ -20,6 +21,8 @@ _U = np.uint64
 CHUNK = 1 << 16
 #: Fingerprints of one key that a task compares in the first pass; keys with more are split into pairs of parts.
 PART = 8192
+#: Texts of a cluster that are compared shingle by shingle in one task; larger clusters are split likewise.
+SIMILAR = 512
 
 
 def _add(ones: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,32 +79,34 @@ def fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, shingle: int, min_keys: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` (signed) and, with ``min_keys``, ``keys``: the smallest shingle hash of each of that many
-    slices of the hash space that hold a shingle. One map over the rows."""
+    """``doc_id``, ``fp`` (signed) and, with ``min_keys``, ``keys``, the smallest shingle hashes in that many orders,
+    and ``node``, a hash of the words. One map over the rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, nodes = [], [], []
             for text in texts_of(batch):
                 fp, h = fingerprint(text, shingle)
                 fps.append(fp)
                 if min_keys:
-                    keys.append(slice_minima(h, min_keys))
+                    keys.append(minima(h, min_keys))
+                    nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())))
             out = [batch.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64))]
             names = ["doc_id", "fp"]
             if min_keys:
                 out.append(pa.array(keys, pa.list_(pa.int64())))
-                names.append("keys")
+                out.append(pa.array(np.array(nodes, _U).view(np.int64)))
+                names += ["keys", "node"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = docs.select("doc_id").schema.add("fp", "long")
     if min_keys:
-        schema = schema.add("keys", "array<bigint>")
+        schema = schema.add("keys", T.ArrayType(T.LongType())).add("node", "long")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def slice_minima(h: np.ndarray, k: int) -> np.ndarray:
+def minima(h: np.ndarray, k: int) -> np.ndarray:
     """For each of ``k`` ways to order the hashes, the smallest one, mixed with the way's number."""
     if not len(h):
         return np.zeros(0, np.int64)
@@ -298,32 +303,123 @@ def close_links(keyed: DataFrame, radius: int) -> DataFrame:
     return found.where("k is null").select("a", "b").union(more)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, radius: int = 12, min_keys: int = 8) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
+def similar_links(texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """``a`` and ``b``: links of texts (id, cluster, parts, part, fp, text) of one cluster whose sets of shingles have a Jaccard
+    similarity of at least ``similarity``, enough of them to connect all such texts.
 
-    Fingerprints are SimHashes of word shingles; two link where at most ``radius`` of the 64 bits differ (12 keeps a
-    similarity of 0.8 of the bits or more). Candidates: with ``min_keys`` 0, all pairs, found exactly through keys
-    that close fingerprints must share; else the pairs that share one of ``min_keys`` smallest shingle hashes, which
-    a pair with a shingle similarity of 0.8 misses once in 0.2**-min_keys times. ``component_id`` is the smallest
-    doc_id that links reach. Null and empty texts have the fingerprint 0 and link to each other. Null ids keep their
-    rows. Repeated rows each give a row; an empty table gives none. Other columns of ``docs`` are ignored.
+    ``part`` is a text's part of the ``parts`` of its cluster, of about ``SIMILAR`` texts each; each pair of its parts is compared by a task of
+    its own. A task holds two parts at most. Fingerprints within ``radius`` are found bit-sliced, diagonal by diagonal;
+    only pairs that are not connected yet are compared shingle by shingle.
     """
-    per_doc = stored(fingerprints(docs, shingle, min_keys), "fingerprints")
+    n_tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ("cluster", "parts", "part", "id", "fp")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(fingerprint(t, shingle)[1].astype(np.uint32)).view(np.int32) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(sets, pa.list_(pa.int32()))], names=[*own, "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, fps, sets = None, [], [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                label = _similar(np.array(fps, np.int64).view(_U), sets, radius, similarity)
+                child = np.flatnonzero(label != np.arange(len(ids)))
+                names = np.array(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[label[child]])], names=["a", "b"])
+
+        for batch in batches:
+            values = batch.column("s")
+            for r, (k, i, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "id", "fp")), strict=True)):
+                if k != key:
+                    yield from links()
+                    key, ids, fps, sets = k, [], [], []
+                ids.append(i)
+                fps.append(fp)
+                sets.append(values[r].values.to_numpy())
+        yield from links()
+
+    # shingles are made once for a text, and dealt to its cells after that
+    hashed = texts.select(*own, "text").mapInArrow(shingles, ", ".join(f"{c} long" for c in own) + ", s array<int>")
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    cells = hashed.select(F.explode(F.transform(others, lambda o: F.xxhash64("cluster", F.least("part", o), F.greatest("part", o)))).alias("k"), "id", "fp", "s")
+    return cells.repartition(n_tasks, "k").sortWithinPartitions("k", "id").mapInArrow(compare, "a long, b long")
+
+
+def _similar(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """A label for each text: the first text that links reach."""
+    n = len(fp)
+    label, planes, words, at = np.arange(n), _planes(fp), -(-n // 64), np.arange(n)
+    size = np.array([len(s) for s in sets])
+    for shift in range(1, n):
+        wanted = at < n - shift
+        wanted[: n - shift] &= label[: n - shift] != label[shift:]
+        if not wanted.any():
+            if (label == label[0]).all():
+                break
+            continue
+        for a, b in zip(*(x.tolist() for x in within(planes, shift, _words(wanted, words), radius)), strict=True):
+            if label[a] != label[b] and min(size[a], size[b]) >= similarity * max(size[a], size[b]):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (size[a] + size[b] - both):
+                    low, high = min(label[a], label[b]), max(label[a], label[b])
+                    label[label == high] = low
+    return label
+
+
+def _components(per_doc: DataFrame, keyed: DataFrame, radius: int) -> DataFrame:
+    """``fp`` and ``component_id``, the smallest doc_id that links of fingerprints reach."""
     ids = per_doc.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    if min_keys:
-        # equal fingerprints are one node; their rows may hold different keys
-        keyed = per_doc.select("fp", F.explode("keys").alias("k")).distinct().select("fp", F.array("k").alias("keys"))
-    else:
-        keyed = ids.select("fp", band_keys(F.col("fp"), radius).alias("keys"))
     parts = connected_components(close_links(keyed, radius))
     named = parts.withColumnRenamed("node", "fp").join(ids, "fp")
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(smallest, "component").select("fp", "component_id")
     alone = ids.join(parts.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("doc_id").alias("component_id"))
-    of_fp = stored(linked.union(alone), "components")
-    return per_doc.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stored(linked.union(alone), "components")
+
+
+def close_fingerprints(docs: DataFrame, *, shingle: int, radius: int) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
+
+    Fingerprints are SimHashes of word shingles; two link where at most ``radius`` of the 64 bits differ; all such
+    pairs are found, through keys of which close fingerprints must share one. ``component_id`` is the smallest doc_id
+    that links reach. Null and empty texts have the fingerprint 0 and link like any other. Rows with a null id keep
+    their rows. Repeated rows each give a row; an empty table gives none. Other columns of ``docs`` are ignored.
+    """
+    per_doc = stored(fingerprints(docs, shingle), "fingerprints")
+    keyed = per_doc.select("fp").distinct().select("fp", band_keys(F.col("fp"), radius).alias("keys"))
+    return per_doc.join(_components(per_doc, keyed, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 18, min_keys: int = 8) -> DataFrame:
+    """Per row of ``docs``: ``doc_id`` and ``component_id``, the smallest doc_id of its group of near-duplicates.
+
+    Two texts link where their sets of word shingles have a Jaccard similarity of at least ``similarity``. Candidates
+    share one of ``min_keys`` smallest shingle hashes, which such a pair misses once in 0.2**-min_keys times, and
+    their SimHashes differ in at most ``radius`` bits (for a pair at 0.8 about 10 are expected, with a deviation of
+    3); candidates' clusters are then compared exactly. Texts with the same words are one node. Texts without words
+    are one group. Rows with a null id are alone, with a null component. Repeated rows each give a row; an empty
+    table gives none. Other columns of ``docs`` are ignored.
+    """
+    small_batches(docs.sparkSession)
+    per_doc = stored(fingerprints(docs, shingle, min_keys), "fingerprints")
+    keyed = per_doc.select("fp", F.explode("keys").alias("k")).distinct().select("fp", F.array("k").alias("keys"))
+    clusters = _components(per_doc, keyed, radius)
+    # one row for each different sequence of words: its smallest id
+    kinds = per_doc.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("id"))
+    kinds = stored(kinds.join(clusters, "fp").select("node", "fp", "id", F.col("component_id").alias("cluster")), "kinds")
+    several = kinds.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = kinds.join(several, "cluster").withColumn("parts", F.ceil(F.col("n") / SIMILAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    chosen = stored(dealt.select(F.col("id").alias("doc_id"), F.col("cluster").cast("long").alias("cluster"), "parts", "part", "fp"), "chosen")
+    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).withColumn("id", F.col("doc_id").cast("long"))
+    parts = connected_components(similar_links(texts, shingle, radius, similarity))
+    groups = kinds.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    named = stored(groups.select("node", F.coalesce("component", "id").cast(dict(docs.dtypes)["doc_id"]).alias("component_id")), "groups")
+    some = per_doc.where("doc_id is not null").join(named, "node").select("doc_id", "component_id")
+    return some.union(per_doc.where("doc_id is null").select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, fingerprint of 4-word shingles, component_id; links at 4 or fewer differing bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, min_keys=0)
+    return close_fingerprints(table(spark, sf_dir, "documents"), shingle=4, radius=4)
