@@ -31,8 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_quality": op3_quality,
-    "op4_decontamination": op4_decontamination,
     "op5_line_dedup": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_warc": OP9_SQL,
