@@ -13,9 +13,17 @@ from tessella.functions.vectors import cosine, from_blob, to_blob
 from tessella.operators.faces import candidates
 from tessella.operators.relational import in_folders
 from tessella.plans.base import FACES, MEDIA, faces, media, query, read
+from tessella.scratch import new_path
 from tessella.sources import catalogue as S
 
 
+@query("A1")
+def scan(spark: SparkSession, d: str) -> DataFrame:
+    """The given folder itself: its table files."""
+    files = S.scanned(spark, [d], extensions=["parquet"])
+    return files.select(P.basename("path").alias("file_name"), (F.col("file_size") > 0).alias("filled"), F.col("mtime").isNotNull().alias("dated"))
+
+
 @query("A2", f"WITH {MEDIA} SELECT file_path, file_name, file_size FROM media")
 def manifest_(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).select(F.when(F.col("doc_id") % 2 == 0, F.col("file_path")).alias("file_path"), F.when(F.col("doc_id") % 2 == 1, F.col("file_path")).alias("file"), "file_size")
@@ -50,6 +58,15 @@ def _sidecars(spark: SparkSession, d: str) -> DataFrame:
                  tags.alias("tags"), F.when(F.col("media_type") == "video", F.array(event)).alias("timeline_events")).alias("gemini_analysis"))
 
 
+@query("A4", f"""WITH {MEDIA} SELECT file_path, media_type, file_size, len(list_filter((string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'))[1:3], lambda x: x <> '')) AS n_tags FROM media WHERE media_type IS NOT NULL""")
+def sidecar_write(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as sidecars and read again."""
+    docs, path = _sidecars(spark, d), new_path(spark, "sidecars")
+    S.write_sidecars(docs, path)
+    back = spark.read.schema("file_path string, file_size bigint, tags array<struct<tag:string>>, media_type string").json(path)
+    return back.select("file_path", "media_type", "file_size", F.size("tags").alias("n_tags"))
+
+
 @query("A6", f"""WITH {MEDIA}, w AS (
   SELECT file_path, lang, list_filter((string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'))[1:3], lambda x: x <> '') AS ws FROM media WHERE media_type IS NOT NULL
 ), t AS (SELECT DISTINCT sha256(file_path)[1:16] AS media_id, lower(trim(unnest(ws))) AS tag, lower(lang) AS category FROM w)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -15,11 +15,12 @@ from tessella.functions.times import first_filled, parse_datetime, seconds
 from tessella.schemas import SIDECAR
 
 
-def scanned(spark: SparkSession, roots: list[str], vault: bool = False) -> DataFrame:
-    """A1: media files below the roots: path, file_size, mtime and media_type. The content is not read."""
+def scanned(spark: SparkSession, roots: list[str], vault: bool = False, extensions: Sequence[str] = (*PHOTO, *VIDEO)) -> DataFrame:
+    """A1: files below the roots with one of the extensions: path, file_size, mtime and media_type (null for other than
+    media). The content is not read; private folders are left out unless asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     out = files.select("path", F.col("length").alias("file_size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
-    out = out.where(extension("path").isin(*PHOTO, *VIDEO)).withColumn("media_type", media_type("path"))
+    out = out.where(extension("path").isin(*extensions)).withColumn("media_type", media_type("path"))
     return out if vault else out.where(~is_vault("path"))
 
 
