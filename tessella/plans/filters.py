@@ -13,7 +13,7 @@ from tessella.functions.vectors import cosine, from_blob, to_blob
 from tessella.operators.faces import candidates
 from tessella.operators.relational import in_folders
 from tessella.plans.base import FACES, MEDIA, faces, media, query, read
-from tessella.scratch import new_path
+from tessella.scratch import new_path, ship_package
 from tessella.sources import catalogue as S
 
 
@@ -273,6 +273,7 @@ def cosines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("H17", "SELECT vec_id, len(embedding) * 4 AS n_bytes, true AS same FROM embeddings")
 def blobs(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
     e = read(spark, d, "embeddings").withColumn("blob", to_blob("embedding"))
     return e.select("vec_id", F.octet_length("blob").alias("n_bytes"), (from_blob("blob") == F.col("embedding").cast("array<float>")).alias("same"))
 
