@@ -16,10 +16,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     equi-joins, written to the shared folder. Self-loops, repeated and null edges are allowed; edges with a null end
     are ignored. An empty table gives an empty result.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    loops = links.where("u = v").select("u", "v")
-    pairs = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = stored(pairs, "cc-edges")
+    links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    links = stored(links.distinct(), "cc-edges")  # written once: edges may be costly to make
+    loops, pairs = links.where("u = v"), links.where("u <> v")
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select("v", "u"))
