@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -52,8 +53,8 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
-    """SimHash of all shingles of the text's words, repeats included, and the shingles' hashes.
+def fingerprint(text: bytes, shingle: int, distinct: bool = False) -> tuple[int, np.ndarray]:
+    """SimHash of all shingles of the text's words, repeats included unless ``distinct``, and the shingles' hashes.
 
     Words are separated by ASCII white space and A-Z is lowered; a text of fewer words is one shingle; without words
     the fingerprint is 0.
@@ -72,37 +73,45 @@ def fingerprint(text: bytes, shingle: int) -> tuple[int, np.ndarray]:
         else:
             starts, ends = starts[:1], ends[-1:]
         h = np.array([digest(joined[i:j], 42) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], _U)
-        total += bit_counts(h)
+        if not distinct:
+            total += bit_counts(h)
         parts.append(h)
+    h = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    if distinct:
+        h = np.unique(h)
+        total, n = bit_counts(h), len(h)
     bits = (2 * total > n).astype(_U)
-    return int((bits << np.arange(64, dtype=_U)).sum()), np.concatenate(parts) if len(parts) > 1 else parts[0]
+    return int((bits << np.arange(64, dtype=_U)).sum()), h
 
 
 def fingerprints(docs: DataFrame, shingle: int, min_keys: int = 0) -> DataFrame:
     """``doc_id``, ``fp`` (signed) and, with ``min_keys``, ``keys``, the smallest shingle hashes in that many orders,
-    and ``node``, a hash of the words. One map over the rows."""
+    ``node``, a hash of the words, and ``size``, the number of distinct shingles; ``fp`` is then of distinct shingles.
+    One map over the rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, nodes = [], [], []
+            fps, keys, nodes, sizes = [], [], [], []
             for text in texts_of(batch):
-                fp, h = fingerprint(text, shingle)
+                fp, h = fingerprint(text, shingle, distinct=min_keys > 0)
                 fps.append(fp)
                 if min_keys:
                     keys.append(minima(h, min_keys))
                     nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())))
+                    sizes.append(len(h))
             out = [batch.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64))]
             names = ["doc_id", "fp"]
             if min_keys:
                 out.append(pa.array(keys, pa.list_(pa.int64())))
                 out.append(pa.array(np.array(nodes, _U).view(np.int64)))
-                names += ["keys", "node"]
+                out.append(pa.array(sizes, pa.int64()))
+                names += ["keys", "node", "size"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = docs.select("doc_id").schema.add("fp", "long")
     if min_keys:
-        schema = schema.add("keys", T.ArrayType(T.LongType())).add("node", "long")
+        schema = schema.add("keys", T.ArrayType(T.LongType())).add("node", "long").add("size", "long")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -303,69 +312,91 @@ def close_links(keyed: DataFrame, radius: int) -> DataFrame:
     return found.where("k is null").select("a", "b").union(more)
 
 
-def similar_links(texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
-    """``a`` and ``b``: links of texts (id, cluster, parts, part, fp, text) of one cluster whose sets of shingles have a Jaccard
+def similar_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a`` and ``b``: links of texts (id, cells, text) that share a cell and whose sets of shingles have a Jaccard
     similarity of at least ``similarity``, enough of them to connect all such texts.
 
-    ``part`` is a text's part of the ``parts`` of its cluster, of about ``SIMILAR`` texts each; each pair of its parts is compared by a task of
-    its own. A task holds two parts at most. Fingerprints within ``radius`` are found bit-sliced, diagonal by diagonal;
-    only pairs that are not connected yet are compared shingle by shingle.
+    ``cells`` are the groups that a text is compared in: their key, their number of ``parts`` of about ``SIMILAR`` texts
+    each, and the text's part. Each pair of parts is compared by a task of its own, which holds two parts at most.
     """
     n_tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = ("cluster", "parts", "part", "id", "fp")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(fingerprint(t, shingle)[1].astype(np.uint32)).view(np.int32) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(sets, pa.list_(pa.int32()))], names=[*own, "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cells"), pa.array(sets, pa.list_(pa.int32()))], names=["id", "cells", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, fps, sets = None, [], [], []
+        key, ids, sets = None, [], []
 
         def links() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                label = _similar(np.array(fps, np.int64).view(_U), sets, radius, similarity)
+                label = similar_sets(sets, similarity)
                 child = np.flatnonzero(label != np.arange(len(ids)))
                 names = np.array(ids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[label[child]])], names=["a", "b"])
 
         for batch in batches:
             values = batch.column("s")
-            for r, (k, i, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "id", "fp")), strict=True)):
+            for r, (k, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "id")), strict=True)):
                 if k != key:
                     yield from links()
-                    key, ids, fps, sets = k, [], [], []
+                    key, ids, sets = k, [], []
                 ids.append(i)
-                fps.append(fp)
                 sets.append(values[r].values.to_numpy())
         yield from links()
 
     # shingles are made once for a text, and dealt to its cells after that
-    hashed = texts.select(*own, "text").mapInArrow(shingles, ", ".join(f"{c} long" for c in own) + ", s array<int>")
-    others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
-    cells = hashed.select(F.explode(F.transform(others, lambda o: F.xxhash64("cluster", F.least("part", o), F.greatest("part", o)))).alias("k"), "id", "fp", "s")
-    return cells.repartition(n_tasks, "k").sortWithinPartitions("k", "id").mapInArrow(compare, "a long, b long")
-
-
-def _similar(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """A label for each text: the first text that links reach."""
-    n = len(fp)
-    label, planes, words, at = np.arange(n), _planes(fp), -(-n // 64), np.arange(n)
-    size = np.array([len(s) for s in sets])
-    for shift in range(1, n):
-        wanted = at < n - shift
-        wanted[: n - shift] &= label[: n - shift] != label[shift:]
-        if not wanted.any():
-            if (label == label[0]).all():
-                break
-            continue
-        for a, b in zip(*(x.tolist() for x in within(planes, shift, _words(wanted, words), radius)), strict=True):
-            if label[a] != label[b] and min(size[a], size[b]) >= similarity * max(size[a], size[b]):
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= similarity * (size[a] + size[b] - both):
-                    low, high = min(label[a], label[b]), max(label[a], label[b])
+    cell = "struct<cell: bigint, parts: bigint, part: bigint>"
+    hashed = texts.select("id", F.col("cells").cast(f"array<{cell}>").alias("cells"), "text").mapInArrow(shingles, f"id long, cells array<{cell}>, s array<int>")
+    own = hashed.select("id", F.explode("cells").alias("c"), "s")
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("c.parts") - 1)
+    dealt = own.select(F.explode(F.transform(others, lambda o: F.xxhash64("c.cell", F.least("c.part", o), F.greatest("c.part", o)))).alias("k"), "id", "s")
+    return dealt.repartition(n_tasks, "k").sortWithinPartitions("k", "id").mapInArrow(compare, "a long, b long")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """A label for each set: the first set that links of a Jaccard similarity of at least ``similarity`` reach.
+
+    Values are put in one order, rare ones first. Two sets that link must share a value among the first
+    ``n - ceil(similarity * n) + 1`` of each, so only sets that do, and whose sizes allow it, are compared; no pair is
+    left out. Pairs that are connected already are not compared again.
+    """
+    n = len(sets)
+    label, size = np.arange(n), np.array([len(s) for s in sets], np.int64)
+    if not size.sum():
+        return label
+    owner = np.repeat(np.arange(n), size)
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((value, count[value], owner))
+    owner, value = owner[order], value[order]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    first = place <= (size - np.ceil(similarity * size - 1e-9).astype(np.int64))[owner]
+    owner, value = owner[first], value[first]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    tried: set[int] = set()
+    shift = 1
+    while True:
+        # runs of one value that are long enough for this shift and not connected yet
+        edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+        if not len(edge):
+            return label
+        run, own = np.diff(np.append(edge, len(value))), label[owner]
+        keep = np.repeat((run > shift) & (np.minimum.reduceat(own, edge) != np.maximum.reduceat(own, edge)), run)
+        owner, value = owner[keep], value[keep]
+        a, b = owner[:-shift], owner[shift:]
+        wanted = (value[:-shift] == value[shift:]) & (label[a] != label[b])
+        wanted &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        for code in np.unique(a[wanted] * n + b[wanted]).tolist():
+            i, j = divmod(code, n)
+            if label[i] != label[j] and code not in tried:
+                tried.add(code)
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (size[i] + size[j] - both):
+                    low, high = min(label[i], label[j]), max(label[i], label[j])
                     label[label == high] = low
-    return label
+        shift += 1
 
 
 def _components(per_doc: DataFrame, keyed: DataFrame, radius: int) -> DataFrame:
@@ -396,26 +427,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     """Per row of ``docs``: ``doc_id`` and ``component_id``, the smallest doc_id of its group of near-duplicates.
 
     Two texts link where their sets of word shingles have a Jaccard similarity of at least ``similarity``. Candidates
-    share one of ``min_keys`` smallest shingle hashes, which such a pair misses once in 0.2**-min_keys times, and
-    their SimHashes differ in at most ``radius`` bits (for a pair at 0.8 about 10 are expected, with a deviation of
-    3); candidates' clusters are then compared exactly. Texts with the same words are one node. Texts without words
-    are one group. Rows with a null id are alone, with a null component. Repeated rows each give a row; an empty
-    table gives none. Other columns of ``docs`` are ignored.
+    share one of ``min_keys`` smallest shingle hashes, which such a pair misses once in 0.2**-min_keys times, and all of
+    them are compared exactly: those whose SimHashes connect within ``radius`` bits in their cluster, the others with
+    the texts of other clusters that have the same key and about as many shingles. Texts with the same words are one
+    node. Texts without words are one group. Rows with a null id are alone, with a null component. Repeated rows each
+    give a row; an empty table gives none. Other columns of ``docs`` are ignored.
     """
     small_batches(docs.sparkSession)
     per_doc = stored(fingerprints(docs, shingle, min_keys), "fingerprints")
     keyed = per_doc.select("fp", F.explode("keys").alias("k")).distinct().select("fp", F.array("k").alias("keys"))
     clusters = _components(per_doc, keyed, radius)
     # one row for each different sequence of words: its smallest id
-    kinds = per_doc.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("id"))
-    kinds = stored(kinds.join(clusters, "fp").select("node", "fp", "id", F.col("component_id").alias("cluster")), "kinds")
+    kinds = per_doc.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    kinds = stored(kinds.join(clusters, "fp").select("node", F.col("id").cast("long").alias("id"), "keys", "size", F.col("component_id").cast("long").alias("cluster")), "kinds")
+    # texts that may be similar have sizes of the same class or of neighbours: each comes to its own class and the next
+    step = F.floor(F.log("size") / F.lit(-math.log(similarity) + 1e-6))
+    by_key = kinds.select("id", "cluster", F.explode("keys").alias("k"), step.alias("step")).select("id", "cluster", F.explode(F.array(F.xxhash64("k", "step"), F.xxhash64("k", F.col("step") + 1))).alias("cell"))
+    by_key = stored(by_key, "cells")
+    apart = by_key.groupBy("cell").agg(F.count("*").alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("cell", "n")
     several = kinds.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = kinds.join(several, "cluster").withColumn("parts", F.ceil(F.col("n") / SIMILAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    chosen = stored(dealt.select(F.col("id").alias("doc_id"), F.col("cluster").cast("long").alias("cluster"), "parts", "part", "fp"), "chosen")
+    held = kinds.join(several, "cluster").select("id", F.xxhash64("cluster", F.lit("cluster")).alias("cell"), "n").union(by_key.join(apart.hint("merge"), "cell").select("id", "cell", "n"))
+    dealt = held.withColumn("parts", F.ceil(F.col("n") / SIMILAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    kind = dict(docs.dtypes)["doc_id"]
+    chosen = stored(dealt.groupBy(F.col("id").cast(kind).alias("doc_id")).agg(F.collect_list(F.struct("cell", "parts", "part")).alias("cells")), "chosen")
     texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).withColumn("id", F.col("doc_id").cast("long"))
-    parts = connected_components(similar_links(texts, shingle, radius, similarity))
+    parts = connected_components(similar_links(texts, shingle, similarity))
     groups = kinds.join(parts.withColumnRenamed("node", "id"), "id", "left")
-    named = stored(groups.select("node", F.coalesce("component", "id").cast(dict(docs.dtypes)["doc_id"]).alias("component_id")), "groups")
+    named = stored(groups.select("node", F.coalesce("component", "id").cast(kind).alias("component_id")), "groups")
     some = per_doc.where("doc_id is not null").join(named, "node").select("doc_id", "component_id")
     return some.union(per_doc.where("doc_id is null").select("doc_id", F.col("doc_id").alias("component_id")))
 

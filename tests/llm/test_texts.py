@@ -219,6 +219,49 @@ def test_near_duplicates_equal_jaccard(documents, monkeypatch, part):
     assert got == dict(enumerate(to))
 
 
+def brute_groups(texts, similarity=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    to = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if to[i] != to[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            low, high = sorted((to[i], to[j]))
+            to = [low if x == high else x for x in to]
+    return to
+
+
+@pytest.mark.parametrize("part", [512, 4])
+def test_near_duplicates_beyond_the_radius(documents, monkeypatch, part):
+    monkeypatch.setattr(simhash, "SIMILAR", part)
+    rng, texts = random.Random(8), []
+    for _ in range(12):  # a line that is repeated inside one copy, which changes no set but counts
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        texts += [" ".join(base), " ".join(base[:60] + base[48:60] * 30 + base[60:])]
+    for n in (8, 9, 10, 11, 12):  # short texts: one word more, or another one in the middle
+        for _ in range(12):
+            base = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join([*base, "more"]), " ".join(["less", *base]), " ".join(base[:4] + ["other"] + base[5:])]
+    want = brute_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(texts), min_keys=24).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts) * 3 // 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.5, 0.8, 0.9]))
+def test_similar_sets_equal_brute_force(seed, similarity):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(30):
+        base = sets[rng.integers(len(sets))] if sets and rng.random() < 0.6 else rng.integers(0, 60, rng.integers(0, 30))
+        sets.append(np.unique(np.append(base[rng.random(len(base)) < 0.9], rng.integers(0, 60, rng.integers(0, 4)))).astype(np.int32))
+    to = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if len(sets[i]) and len(sets[j]) and both >= similarity * (len(sets[i]) + len(sets[j]) - both) and to[i] != to[j]:
+            low, high = sorted((to[i], to[j]))
+            to = [low if x == high else x for x in to]
+    assert simhash.similar_sets(sets, similarity).tolist() == to
+
+
 def test_near_duplicates_of_odd_rows(odd, documents):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (6, 6), (None, None), (8, 8)], key=str)
