@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,7 +24,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: fewer than SHORT words match nothing.
 SHORT = 5
 #: Characters of benchmark text in one broadcast block; of a longer item's pieces and their overlap; bytes of a
-#: document that are read at a time, and their overlap.
+#: document whose words are hashed at a time, and words of it whose seeds are looked up again at a time.
 BLOCK, PIECE, OVERLAP = 8 << 20, 1 << 20, 1 << 13
 READ, AGAIN = 1 << 19, 1 << 14
 
@@ -79,13 +80,14 @@ class Benchmark:
         """Pairs of an item and a diagonal (document place less item place) with a hit."""
         out: set[tuple[int, int]] = set()
         for number, mask in enumerate((*MASKS, tuple(range(SHORT)))):
-            found = seeds(h, mask, number)
-            which, absent = self.table.find(found)
-            at = np.flatnonzero(~absent)
-            if len(at):
-                n = self.count[which[at]]
-                post = np.repeat(self.first[which[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.update(zip(self.item[post].tolist(), (np.repeat(at, n) - self.place[post]).tolist(), strict=True))
+            for start in range(0, len(h), AGAIN):
+                found = seeds(h[start : start + AGAIN + mask[-1]], mask, number)
+                which, absent = self.table.find(found)
+                at = np.flatnonzero(~absent)
+                if len(at):
+                    n = self.count[which[at]]
+                    post = np.repeat(self.first[which[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    out.update(zip(self.item[post].tolist(), (np.repeat(at + start, n) - self.place[post]).tolist(), strict=True))
         return out
 
     def verify(self, h: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
@@ -107,21 +109,18 @@ class Benchmark:
         return int(good[0] + low + diagonal), int(inside.sum()), int((inside & ~equal).sum())
 
 
-def _reads(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """Parts of a text that overlap, each cut at white space, and the words before each."""
-    if len(text) <= READ:
-        yield 0, text
-        return
-    at, before = 0, 0
-    while at < len(text):
-        end = min(len(text), at + READ)
-        yield before, text[at:end] if end == len(text) else text[at : max(text.rfind(b" ", at, end), at + 1)]
-        if end == len(text):
-            return
-        step = text.rfind(b" ", at, end - AGAIN)
-        step = step if step > at else end - AGAIN
-        before += len(words(text[at:step])[0])
-        at = step
+_WHITE_SPACE = re.compile(rb"[\t-\r ]")
+
+
+def _reads(text: bytes) -> Iterator[bytes]:
+    """Parts of a text, each cut at white space: a part has more than ``READ`` bytes only to keep its last word whole."""
+    at = 0
+    while len(text) - at > READ:
+        found = _WHITE_SPACE.search(text, at + READ)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
 
 
 def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
@@ -143,11 +142,10 @@ def _broadcast(block: DataFrame):
 
 def matches(items: Benchmark, text: bytes) -> Iterator[tuple[int, int, int, int]]:
     """Item, first word, words and substitutions of each stretch that a text shares with an item."""
-    for before, part in _reads(text):
-        h = words(part)[0]
-        for item, diagonal in items.candidates(h):
-            if got := items.verify(h, item, diagonal):
-                yield items.ids[item], got[0] + before, got[1], got[2]
+    h = np.concatenate([words(part)[0] for part in _reads(text)])
+    for item, diagonal in items.candidates(h):
+        if got := items.verify(h, item, diagonal):
+            yield items.ids[item], *got
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -312,6 +312,25 @@ def test_contamination_equals_brute_force(spark, documents, monkeypatch, block):
     assert left == set(range(40)) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "\r\n", "\x0b", "\x0c"])
+def test_long_texts_are_searched_whole(gap):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    items = decontam.Benchmark([5], [" ".join(item).encode()])
+    for before in (0, 10_000, 80_000, 150_000, decontam.READ // 7, decontam.READ // 7 - 9):
+        text = gap.join([f"x{k % 90_000 + 10_000}" for k in range(before)] + item + ["y"] * 90_000)
+        assert list(decontam.matches(items, text.encode())) == [(5, before, 40, 0)]
+
+
+def test_passages_beside_spaceless_stretches_are_found():
+    item = [f"w{k}" for k in range(20)]
+    items = decontam.Benchmark([5], [" ".join(item).encode()])
+    for first in range(7, 20):  # the last space of the block lies inside the passage
+        text = "a " * (decontam.READ // 2 - 20_000) + " ".join(item[:first]) + " " + item[first] + "\n" + "\n".join(item[first + 1 :]) + "\n" + "z" * 3_000_000
+        assert list(decontam.matches(items, text.encode())) == [(5, decontam.READ // 2 - 20_000, 20, 0)]
+    assert list(decontam.matches(items, b"z" * 2_000_000 + b"\t" + " ".join(item).encode())) == [(5, 1, 20, 0)]
+
+
 def test_contamination_of_odd_tables(spark, odd, documents):
     bench = spark.createDataFrame([(1, "w0 w7919 w5831 w3743 w1655 w9574")], "item_id long, text string")
     decontam.contamination(odd, bench).collect()
