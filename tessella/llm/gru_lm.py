@@ -26,9 +26,10 @@ GROUPS = SLOTS - FIRST_GROUP
 UNITS, WINDOW, TRAIN_LANES, LANES = 24, 32, 64, 256
 #: Tokens of a lane whose outputs are computed together when scoring.
 STRETCH = 96
-#: Share of the training documents, by a hash of the text, that each round of training reads; rounds; tokens of a
-#: trainer. The number of trainers grows with the corpus; their weights are averaged after each round.
-SHARE, ROUNDS, TRAINER_TOKENS = 0.04, 2, 1 << 20
+#: Share of the training documents, by a hash of the text, that each round of training reads; tokens of a trainer.
+#: The rounds together read every training document once. The number of trainers grows with the corpus; their weights
+#: are averaged after each round.
+SHARE, TRAINER_TOKENS = 0.25, 1 << 20
 #: Words whose counts are broadcast at most; counts of all others are joined.
 TABLE_WORDS = 1 << 19
 #: Tokens that a worker scores at a time.
@@ -336,14 +337,15 @@ def _shaped(flat: np.ndarray, like: Net) -> Net:
     return Net(*out)
 
 
-def trained(docs: DataFrame, v: Vocabulary, shared_vocabulary, fold: int, held: int, share: float, rounds: int) -> Net:
-    """Weights after ``rounds`` of training: trainers start alike, each reads its part of the round's documents, and
-    their weights are averaged by tokens, block by block, in Spark; only the average comes to the driver."""
-    spark, net = docs.sparkSession, start(v)
+def trained(docs: DataFrame, v: Vocabulary, shared_vocabulary, fold: int, held: int, share: float) -> tuple[Net, int]:
+    """Weights after all rounds of training, and how many tokens they saw: the training documents are dealt to the
+    rounds, ``share`` of them each. Trainers start alike, each reads its part of the round's documents, and their
+    weights are averaged by tokens, block by block, in Spark; only the average comes to the driver."""
+    spark, net, seen = docs.sparkSession, start(v), 0
     number = max(1, min(4096, round(v.total * share / TRAINER_TOKENS)))
     parts = max(1, round(1 / share))
     chosen = docs.where(remainder(F.col("doc_id"), fold) != held).withColumn("__part", F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts)))
-    for r in range(rounds):
+    for r in range(parts):
         weights = spark.sparkContext.broadcast(_flat(net))
 
         def learn(batches: Iterator[pa.RecordBatch], weights=weights, like=net) -> Iterator[pa.RecordBatch]:
@@ -370,19 +372,20 @@ def trained(docs: DataFrame, v: Vocabulary, shared_vocabulary, fold: int, held:
                     s = sums.setdefault(k, [0, 0])
                     s[0], s[1] = s[0] + np.frombuffer(w, np.float32) * np.float64(n), s[1] + n
             for k, (w, n) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(w / n).tobytes()], pa.binary())], names=["k", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(w / n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["k", "w", "n"])
 
-        own = chosen.where(F.col("__part") == r % parts).select("text").repartition(number)
-        got = own.mapInArrow(learn, "k int, w binary, n long").repartition(min(number, BLOCKS), "k").mapInArrow(average, "k int, w binary").collect()
+        own = chosen.where(F.col("__part") == r).select("text").repartition(number)
+        got = own.mapInArrow(learn, "k int, w binary, n long").repartition(min(number, BLOCKS), "k").mapInArrow(average, "k int, w binary, n long").collect()
         if got:
             net = _shaped(np.concatenate([np.frombuffer(x["w"]) for x in sorted(got, key=lambda x: x["k"])]), net)
-    return net
+            seen += got[0]["n"]
+    return net, seen
 
 
 SCORED = "held_out boolean, n_tokens long, top_known long, top_base double, network double, row long, rare array<long>, rare_n array<int>"
 
 
-def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = SHARE, rounds: int = ROUNDS, table_words: int = TABLE_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = SHARE, table_words: int = TABLE_WORDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score``, both log10 probabilities of the whole text.
 
@@ -402,7 +405,7 @@ def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = S
     documents = source.where(remainder(F.col("doc_id"), fold) != held).count()
     v = vocabulary(counts, documents, table_words)
     shared = spark.sparkContext.broadcast(v)
-    net = trained(source, v, shared, fold, held, share, rounds)
+    net, _ = trained(source, v, shared, fold, held, share)
     weights = spark.sparkContext.broadcast(_flat(net))
     like = Net(*[np.empty(p.shape, np.float32) for p in net])
     shapes = [p.shape for p in like]

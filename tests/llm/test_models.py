@@ -172,6 +172,17 @@ def test_counts_and_base_equal_brute_force(spark, documents, table_words):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+@pytest.mark.parametrize("share", [gru_lm.SHARE, 1.0, 0.1])
+def test_every_training_document_reaches_the_network(spark, documents, share):
+    texts = [*labelled(60)[0], None, "", "only_here once"]
+    docs = documents(texts).select("doc_id", "text")
+    train = docs.where(gru_lm.remainder(F.col("doc_id"), 5) != 1)
+    v = gru_lm.vocabulary(gru_lm.word_counts(docs, 5, 1), train.count(), 1 << 19)
+    net, seen = gru_lm.trained(docs, v, spark.sparkContext.broadcast(v), 5, 1, share)
+    assert seen == v.total == sum(len((r["text"] or "").split()) + 1 for r in train.collect())
+    assert all(np.isfinite(p).all() for p in net)
+
+
 def test_language_model_of_odd_tables(odd, documents):
     assert gru_lm.lm_scores(odd).count() == odd.count()
     assert gru_lm.lm_scores(documents([])).collect() == []
