@@ -89,14 +89,14 @@ def fill_template(template: Column | str, parts: dict[str, Column]) -> Column:
     return F.trim(F.regexp_replace(out, "\\n{3,}", "\n\n"))
 
 
-def repair_json(raw: Column | str, longest: int = 100_000) -> Column:
+def repair_json(raw: Column | str) -> Column:
     """JSON text out of a fenced, surrounded or cut-off answer; null where it stays no object.
 
     Tried in turn: the text without its fence; from the first brace to the last; with words that repeat five times
-    and more cut to one, an open string closed, and missing brackets and then braces added. Texts over ``longest``
-    characters are not repaired.
+    and more cut to one, an open string closed, and missing brackets and then braces added. Texts of any length are
+    tried whole; the repeats are matched possessively, which takes no stack.
     """
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.substring(col(raw), 1, longest), "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", ""))
+    t = F.trim(F.regexp_replace(F.regexp_replace(col(raw), "^\\s*```(?:json)?\\s*", ""), "\\s*```\\s*$", ""))
     good = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{")), x)
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
 
@@ -107,7 +107,7 @@ def repair_json(raw: Column | str, longest: int = 100_000) -> Column:
     def tried(x: Column) -> Column:
         outer = F.nullif(F.regexp_extract(x, "(?s)(\\{.*\\})", 1), F.lit(""))
         from_brace = F.nullif(F.regexp_extract(x, "(?s)(\\{.*)$", 1), F.lit(""))
-        once = F.regexp_replace(from_brace, "(?U)(\\b\\w+\\b)(?:[\\s,]+\\1\\b){4,}", "$1")
+        once = F.regexp_replace(from_brace, "(?U)(\\b\\w+\\b)(?:[\\s,]+\\1\\b){4,}+", "$1")
         return F.coalesce(good(x), _let(outer, good), _let(_let(once, completed), good))
 
     return _let(t, tried)

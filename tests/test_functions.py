@@ -144,6 +144,17 @@ def test_repair_collapses_repeats(spark):
     assert value(spark, X.repair_json(F.lit('{"a": "go go go go go go go'))) == '{"a": "go"}'
 
 
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("```json\n", "\n```"), ("Here: ", " done")])
+def test_repair_of_long_answers(spark, before, after):
+    inner = '{"a": "' + "x y, " * 60_000 + '", "last": 1}'
+    assert value(spark, X.repair_json(F.lit(before + inner + after))) == inner
+
+
+def test_repair_of_long_cut_answers(spark):
+    held = '{"a": "' + "x y, " * 60_000 + '", "b": "'
+    assert value(spark, X.repair_json(F.lit(held + "go, " * 200_000 + "go"))) == held + 'go"}'
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("en", "EN-us", True), ("en", "de", False), ("e", "en", False), (None, "en", False)])
 def test_language(spark, a, b, same):
     assert value(spark, X.same_language(F.lit(a).cast("string"), F.lit(b))) is same
