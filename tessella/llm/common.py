@@ -71,16 +71,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int, chars: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``bound`` labelled training texts, ``chars`` characters of each at most, and their labels, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, bound: int, size: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``bound`` labelled training texts, whole, of ``size`` bytes together at most, and their labels, in the
+    order of a hash of the id. A text that would exceed ``size`` is left out; shorter ones behind it are not.
 
     A training row's crc32 remainder by ``fold`` is not ``held``; rows without a label are left out. A document with
-    several label rows counts once, with the largest. The order by hash makes the sample the same on every run.
+    several label rows counts once, with the largest; of a doc_id's texts the smallest counts. The order by hash makes
+    the sample the same on every run.
     """
     known = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__y"))
     known = known.where(remainder(F.col("doc_id"), fold) != held)
-    # ids first, so that only the chosen texts are joined
+    # ids first, so that only the chosen texts are joined; their lengths before their texts, so that the bound holds
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    lengths = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()
+    if sum(r["n"] for r in lengths) > size:
+        kept, total = [], 0
+        for doc_id, n in sorted(((r[0], r["n"]) for r in lengths), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
+            if total + n <= size:
+                kept.append((doc_id,))
+                total += n
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(kept, docs.select("doc_id").schema)), "doc_id", "left_semi")
+    rows = texts.groupBy("doc_id", "__y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return [(r["text"] or "").encode() for r in rows], np.array([r["__y"] for r in rows], np.float64)
+    return [r["text"].encode() for r in rows], np.array([r["__y"] for r in rows], np.float64)

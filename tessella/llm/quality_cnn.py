@@ -16,9 +16,9 @@ from tessella.llm.common import labelled_sample, remainder, sigmoid, small_batch
 CHUNK, WIDTH, STRIDE = 512, 8, 2
 #: Numbers for a byte, and filters.
 EMBED, FILTERS = 8, 16
-#: Labelled documents to learn from at most, and characters of each; steps, documents of a step, chunks of each of
-#: them at most (others are drawn anew each time).
-SAMPLE, SAMPLE_CHARS = 8000, 50_000
+#: Labelled documents to learn from at most, and bytes of all their texts; steps, documents of a step, chunks of each
+#: of them at most (others are drawn anew each time, from the whole text).
+SAMPLE, SAMPLE_BYTES = 8000, 40 << 20
 STEPS, DOCS, CHUNKS = 500, 48, 8
 THRESHOLD = 0.3
 _NEXT = CHUNK - WIDTH + STRIDE
@@ -159,8 +159,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Net:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held: int = 0, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
 
-    Learns from at most ``sample`` rows of ``labels`` whose crc32 remainder by ``fold`` is not ``held`` (at most
-    ``SAMPLE_CHARS`` characters of each; scoring reads whole texts). Every filter slides over every chunk of a text;
+    Learns from at most ``sample`` rows of ``labels`` whose crc32 remainder by ``fold`` is not ``held``, whole texts
+    of ``SAMPLE_BYTES`` together at most. Every filter slides over every chunk of a text;
     its largest answers, and their largest and mean over the chunks, become one probability. Null and empty texts are
     one chunk of padding. Repeated rows get a row each; an empty table gives none; without labels of both kinds every
     score is the rate of the label.
@@ -168,7 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held: i
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(train(*labelled_sample(source, labels, "quality", fold, held, sample, SAMPLE_CHARS)))
+    shared = spark.sparkContext.broadcast(train(*labelled_sample(source, labels, "quality", fold, held, sample, SAMPLE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value

@@ -195,7 +195,39 @@ def test_language_model_beats_the_base_on_held_out_text(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
-@pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op1_toxicity, "toxic", 0.93), (quality_cnn.op3_quality, "quality", 0.97)])
-def test_accuracy_on_the_test_tables(spark, query, label, least):
-    rows = query(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("predicted", label).collect()
-    assert np.mean([r[0] == r[1] for r in rows]) >= least
+@pytest.mark.parametrize(
+    ("query", "label", "area", "recall", "left"), [(toxicity.op1_toxicity, "toxic", 0.94, 0.8, 0.97), (quality_cnn.op3_quality, "quality", 0.99, 0.95, 0.9)])
+def test_held_out_scores_on_the_test_tables(spark, query, label, area, recall, left):
+    rows = query(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").select("score", "predicted", label).collect()
+    score, said, y = (np.array([r[k] for r in rows]) for k in range(3))
+    assert auc(score, y) > area and said[y == 1].mean() >= recall and 1 - said[y == 0].mean() >= left
+
+
+def test_windows_cover_every_byte():
+    for text in (b"", b"a", b"x" * 1000, b"a " * 400, b"one two " + b"y" * 777 + b" three", b"\n\t ", "äöü ".encode() * 99):
+        t = toxicity.plain(text)
+        start, length = toxicity.windows(t)
+        seen = np.zeros(len(t), bool)
+        for s, n in zip(start, length, strict=True):
+            assert 1 <= n <= 2 * toxicity.STEP + 1 + toxicity.STEP
+            seen[s : s + n] = True
+        assert seen.all()
+
+
+def test_texts_score_alone_as_together():
+    texts, labels = labelled(80)
+    m = toxicity.train([t.encode() for t in texts], np.array(labels, float))
+    many = [toxicity.plain(t) for t in (b"", b"x" * 300_000, *(t.encode() for t in texts[:9]), " ".join(texts * 30).encode())]
+    scorer = toxicity.Scorer(m.ordinary, m.toxic)
+    assert np.allclose(scorer.features(many), [scorer.features([t])[0] for t in many])
+
+
+def test_labelled_sample_holds_whole_texts_within_its_bound(spark, documents):
+    docs, labels, _ = tables(spark, documents, 60)
+    from tessella.llm.common import labelled_sample
+
+    whole = {r["text"].encode() for r in docs.collect()}
+    texts, y = labelled_sample(docs, labels, "toxic", 3, 1, 1000, 1 << 30)
+    assert len(texts) == len(y) == sum(crc_remainder(i, 3) != 1 for i in range(60)) and set(texts) <= whole
+    fewer, _ = labelled_sample(docs, labels, "toxic", 3, 1, 1000, 5000)
+    assert fewer and sum(map(len, fewer)) <= 5000 and set(fewer) <= whole
