@@ -54,7 +54,7 @@ def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
     start = space[np.unique(space // STEP, return_index=True)[1]]
     end = np.append(start[1:], max(len(text) - 1, 1))
-    cuts = np.maximum(1, (end - start) // (2 * STEP))
+    cuts = np.maximum(1, -(-(end - start) // (2 * STEP)))
     if len(start) != cuts.sum():
         within = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         start = np.repeat(start, cuts) + within * 2 * STEP
