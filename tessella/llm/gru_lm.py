@@ -15,21 +15,27 @@ from tessella.llm.spans import LOWER, HashTable, mix, span_hashes, word_spans
 from tessella.scratch import stored
 
 _U = np.uint64
-#: Words that the network knows one by one; classes of its output and outputs in a class: the words, the end, and
-#: groups of all other words by how they end.
-WORDS, CLASSES = 4096, 64
-SIZE = WORDS // CLASSES + 1
+#: The output's classes: of words, the commonest in small ones, and of groups of all other words by how they end.
+WORD_CLASSES, GROUP_CLASSES, GROUP_SIZE = 44, 4, 16
+CLASSES, GROUPS = WORD_CLASSES + GROUP_CLASSES, GROUP_CLASSES * GROUP_SIZE
+SIZES = np.array([8 + 3 * k for k in range(WORD_CLASSES)] + [GROUP_SIZE] * GROUP_CLASSES)
+SIZE = int(SIZES.max())
+#: A slot is a class times SIZE and a place in it: the end, the words that the network knows one by one, the groups.
 SLOTS = CLASSES * SIZE
-END, FIRST_GROUP = WORDS, WORDS + 1
-GROUPS = SLOTS - FIRST_GROUP
-#: Units; tokens through which gradients are followed; documents that are trained on, or scored, side by side.
-UNITS, WINDOW, TRAIN_LANES, LANES = 24, 32, 64, 256
+LIVE = np.concatenate([k * SIZE + np.arange(n) for k, n in enumerate(SIZES)]).astype(np.int32)
+END, WORD_SLOT, GROUP_SLOT = int(LIVE[0]), LIVE[1:-GROUPS], LIVE[-GROUPS:]
+WORDS, FIRST_GROUP = len(WORD_SLOT), int(GROUP_SLOT[0])
+#: Numbers for a token; units; tokens through which gradients are followed; documents scored side by side.
+EMBED, UNITS, WINDOW, LANES = 16, 16, 32, 256
+#: Documents trained on side by side, at first and at most: doubled after each chunk, of DEPTH tokens a lane.
+#: Documents of more than PIECE tokens are trained on in pieces.
+FEW_LANES, MANY_LANES, DEPTH, PIECE = 16, 256, 2048, 1024
 #: Tokens of a lane whose outputs are computed together when scoring.
 STRETCH = 96
-#: Share of the training documents, by a hash of the text, that each round of training reads; tokens of a trainer.
-#: The rounds together read every training document once. The number of trainers grows with the corpus; their weights
-#: are averaged after each round.
-SHARE, TRAINER_TOKENS = 0.25, 1 << 20
+#: Share of the training documents, by a hash of the text, that each round of training reads; tokens of a trainer at
+#: least; trainers of a round at most (beyond that, each reads more). The rounds together read every training document
+#: once; weights are averaged after each round.
+SHARE, TRAINER_TOKENS, TRAINERS = 0.25, 1 << 20, 4096
 #: Words whose counts are broadcast at most; counts of all others are joined.
 TABLE_WORDS = 1 << 19
 #: Tokens that a worker scores at a time.
@@ -38,8 +44,10 @@ BLOCKS = 16
 
 
 class Net(NamedTuple):
-    table: np.ndarray  # SLOTS + 1 x 3 * UNITS: what a token (or the start) gives the gates
+    embed: np.ndarray  # SLOTS + 1 x EMBED: a token, or the start
+    into: np.ndarray  # EMBED x 3 * UNITS: what it gives the gates
     gates: np.ndarray  # UNITS x 3 * UNITS
+    gate_bias: np.ndarray
     to_class: np.ndarray  # UNITS x CLASSES
     class_bias: np.ndarray
     to_word: np.ndarray  # CLASSES x UNITS x SIZE
@@ -133,23 +141,28 @@ class Lookup:
     def slots(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The network's slot of each word, its place in the table and whether it is absent there."""
         rank, absent = self.table.find(h)
-        slot = np.where(absent | (rank >= WORDS), FIRST_GROUP + g, rank)
-        return slot.astype(np.int32), rank, absent
+        known = ~absent & (rank < WORDS)
+        slot = GROUP_SLOT[g]
+        slot[known] = WORD_SLOT[rank[known]]
+        return slot, rank, absent
 
 
 def start(v: Vocabulary, seed: int = 1) -> Net:
     """Weights before training: the biases make it the unigram model."""
     rng, f32 = np.random.default_rng(seed), np.float32
-    mass = np.full(SLOTS, 0.5)
-    mass[: len(v.counts[:WORDS])] += v.counts[:WORDS]
+    mass = np.zeros(SLOTS)
+    mass[LIVE] = 0.5
+    mass[WORD_SLOT[: len(v.counts)]] += v.counts[:WORDS]
     mass[END] += v.documents
-    mass[FIRST_GROUP:] += v.groups[:, 0]
+    mass[GROUP_SLOT] += v.groups[:, 0]
     mass = mass.reshape(CLASSES, SIZE)
     by_class = mass.sum(1)
+    share = np.log(np.maximum(mass, 0.5) / by_class[:, None])
     return Net(
-        rng.normal(0, 0.3, (SLOTS + 1, 3 * UNITS)).astype(f32), rng.normal(0, UNITS**-0.5, (UNITS, 3 * UNITS)).astype(f32),
-        rng.normal(0, 0.05, (UNITS, CLASSES)).astype(f32), np.log(by_class / by_class.sum()).astype(f32),
-        rng.normal(0, 0.05, (CLASSES, UNITS, SIZE)).astype(f32), np.log(mass / by_class[:, None]).astype(f32))
+        rng.normal(0, 1, (SLOTS + 1, EMBED)).astype(f32), rng.normal(0, 0.3 * EMBED**-0.5, (EMBED, 3 * UNITS)).astype(f32),
+        rng.normal(0, UNITS**-0.5, (UNITS, 3 * UNITS)).astype(f32), np.zeros(3 * UNITS, f32),
+        rng.normal(0, 0.02, (UNITS, CLASSES)).astype(f32), np.log(by_class / by_class.sum()).astype(f32),
+        rng.normal(0, 0.02, (CLASSES, UNITS, SIZE)).astype(f32), share.astype(f32))
 
 
 class Lanes:
@@ -184,145 +197,191 @@ class Lanes:
             yield a, min(a + size, self.steps), int((self.length > a).sum())
 
 
-def _gates(net: Net, given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    own = h @ net.gates
-    zr = given[:, : 2 * UNITS] + own[:, : 2 * UNITS]
-    np.negative(zr, out=zr)
-    np.exp(zr, out=zr)
-    zr += 1
-    np.reciprocal(zr, out=zr)
-    r = zr[:, UNITS:]
-    new = np.tanh(given[:, 2 * UNITS :] + r * own[:, 2 * UNITS :])
-    return zr, own[:, 2 * UNITS :], new, new + zr[:, :UNITS] * (h - new)
+def table_of(net: Net) -> np.ndarray:
+    """What each token gives the gates."""
+    return net.embed @ net.into + net.gate_bias
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _step(net: Net, given: np.ndarray, h: np.ndarray, own: np.ndarray, gate: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """One step of the network: fills what the state gives, the gates (update and reset), the new values and the state."""
+    np.matmul(h, net.gates, out=own)
+    np.add(own[:, : 2 * UNITS], given[:, : 2 * UNITS], out=gate)
+    np.negative(gate, out=gate)
+    np.exp(gate, out=gate)
+    gate += 1
+    np.reciprocal(gate, out=gate)
+    np.multiply(gate[:, UNITS:], own[:, 2 * UNITS :], out=new)
+    new += given[:, 2 * UNITS :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= gate[:, :UNITS]
+    out += new
+
+
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Turns logits into their exponentials in place; the sums of rows."""
+    np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def score(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each document's slots; the state runs through the whole document."""
-    out = np.zeros(len(docs))
+    out, table, kind = np.zeros(len(docs)), table_of(net), net.gates.dtype
     lanes = Lanes(docs, max(1, min(LANES, len(docs))))
-    h = np.zeros((lanes.target.shape[1], UNITS), np.float32)
+    h = np.zeros((lanes.target.shape[1], UNITS), kind)
     for a, b, n in lanes.windows(STRETCH):
-        states = np.empty((b - a, n, UNITS), np.float32)
-        given = net.table[lanes.source[a:b, :n]]
-        h = h[:n]
+        states = np.empty((b - a, n, UNITS), kind)
+        given = table[lanes.source[a:b, :n]]
+        own, gate, new = np.empty((n, 3 * UNITS), kind), np.empty((n, 2 * UNITS), kind), np.empty((n, UNITS), kind)
         fresh = lanes.fresh[a:b, :n]
+        begins = fresh.any(1).tolist()
+        h = h[:n]
         for t in range(b - a):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            h = _gates(net, given[t], h)[3]
-            states[t] = h
+            if begins[t]:
+                h = np.where(fresh[t][:, None], kind.type(0), h)
+            _step(net, given[t], h, own, gate, new, states[t])
+            h = states[t]
         doc = lanes.doc[a:b, :n].ravel()
-        live = doc >= 0
+        live = np.flatnonzero(doc >= 0)
         out += np.bincount(doc[live], weights=_output(net, states.reshape(-1, UNITS)[live], lanes.target[a:b, :n].ravel()[live]), minlength=len(docs))
     return out
 
 
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of targets, their order by class and where each class begins in it."""
+    c = target // SIZE
+    order = np.argsort(c.astype(np.uint8), kind="stable")
+    return c, order, np.searchsorted(c[order], np.arange(CLASSES + 1))
+
+
 def _output(net: Net, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target: its class, then its place in the class, class by class."""
-    c = target // SIZE
-    logits = states @ net.to_class + net.class_bias
-    logits -= logits.max(1, keepdims=True)
-    got = logits[np.arange(len(c)), c] - np.log(np.exp(logits).sum(1))
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    c, order, bounds = _by_class(target)
+    states, target, c = states[order], target[order], c[order]
+    rows = np.arange(len(c))
+    x = states @ net.to_class
+    x += net.class_bias
+    total = _shares(x)
+    got = np.log(x[rows, c] / total)
+    place = target - c * SIZE
     for k in range(CLASSES):
-        at = order[bounds[k] : bounds[k + 1]]
-        if len(at):
-            x = states[at] @ net.to_word[k] + net.word_bias[k]
-            x -= x.max(1, keepdims=True)
-            got[at] += x[np.arange(len(at)), target[at] - k * SIZE] - np.log(np.exp(x).sum(1))
-    return got
+        i, j = bounds[k], bounds[k + 1]
+        if i < j:
+            x = states[i:j] @ net.to_word[k, :, : SIZES[k]]
+            x += net.word_bias[k, : SIZES[k]]
+            total = _shares(x)
+            got[i:j] += np.log(x[rows[: j - i], place[i:j]] / total)
+    out = np.empty_like(got)
+    out[order] = got
+    return out
 
 
 class Trainer:
     """Adam on the log loss with gradients through ``WINDOW`` tokens; the state goes on from window to window."""
 
-    def __init__(self, net: Net, speed: float = 0.006):
-        self.net, self.speed, self.step = Net(*[p.copy() for p in net]), speed, 0
+    def __init__(self, net: Net, speed: float = 0.02, lanes: int = FEW_LANES):
+        self.net, self.speed, self.step, self.lanes = Net(*[p.copy() for p in net]), speed, 0, lanes
         self.m, self.v = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
         self.tokens = 0
 
     def learn(self, docs: list[np.ndarray]) -> None:
+        """One pass over documents; the next one has twice the lanes."""
+        docs = [d[i : i + PIECE] for d in docs for i in range(0, len(d), PIECE)]
         if not docs:
             return
-        lanes = Lanes(docs, max(1, min(TRAIN_LANES, len(docs))))
-        h = np.zeros((lanes.target.shape[1], UNITS), np.float32)
+        lanes = Lanes(docs, max(1, min(self.lanes, len(docs))))
+        h = np.zeros((lanes.target.shape[1], UNITS), self.net.gates.dtype)
         for a, b, n in lanes.windows():
             h = self._window(lanes, a, b, n, h[:n])
+        self.lanes = min(2 * self.lanes, MANY_LANES)
 
     def _window(self, lanes: Lanes, a: int, b: int, n: int, h: np.ndarray) -> np.ndarray:
-        net, steps = self.net, b - a
-        source, fresh = lanes.source[a:b, :n], lanes.fresh[a:b, :n]
-        given = net.table[source]
-        before, zrs, owns, news, states = [], [], [], [], np.empty((steps, n, UNITS), np.float32)
+        net, steps, kind = self.net, b - a, self.net.gates.dtype
+        source, going = lanes.source[a:b, :n], ~lanes.fresh[a:b, :n, None]
+        seen = net.embed[source.ravel()]
+        given = (seen @ net.into + net.gate_bias).reshape(steps, n, 3 * UNITS)
+        before, states, new = (np.empty((steps, n, UNITS), kind) for _ in range(3))
+        own, gate = np.empty((steps, n, 3 * UNITS), kind), np.empty((steps, n, 2 * UNITS), kind)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            before.append(h)
-            zr, own, new, h = _gates(net, given[t], h)
-            zrs.append(zr)
-            owns.append(own)
-            news.append(new)
-            states[t] = h
+            np.multiply(h, going[t], out=before[t])
+            _step(net, given[t], before[t], own[t], gate[t], new[t], states[t])
+            h = states[t]
         live = np.flatnonzero(lanes.doc[a:b, :n].ravel() >= 0)
-        flat, target = states.reshape(-1, UNITS), lanes.target[a:b, :n].ravel()
-        s, y = flat[live], target[live]
-        grads = [np.zeros_like(p) for p in net]
+        grads: list[np.ndarray] = [np.zeros(0)] * 4 + [np.zeros_like(p) for p in net[4:]]
+        g_states = np.zeros((steps * n, UNITS), kind)
+        target = lanes.target[a:b, :n].ravel()[live]
         # a window with few lanes left counts by its tokens
-        gs, scale = np.zeros_like(s), np.float32(1 / (WINDOW * lanes.target.shape[1]))
-        c = y // SIZE
-        p = np.exp(_log_softmax(s @ net.to_class + net.class_bias))
-        p[np.arange(len(c)), c] -= 1
-        p *= scale
-        grads[2], grads[3] = s.T @ p, p.sum(0)
-        gs += p @ net.to_class.T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                q = np.exp(_log_softmax(s[at] @ net.to_word[k] + net.word_bias[k]))
-                q[np.arange(len(at)), y[at] - k * SIZE] -= 1
-                q *= scale
-                grads[4][k], grads[5][k] = s[at].T @ q, q.sum(0)
-                gs[at] += q @ net.to_word[k].T
-        g_states = np.zeros_like(flat)
-        g_states[live] = gs
+        self._outputs(states.reshape(-1, UNITS), live, target, 1 / (WINDOW * lanes.target.shape[1]), grads, g_states)
         g_states = g_states.reshape(steps, n, UNITS)
-        g_given, gh = np.empty((steps, n, 3 * UNITS), np.float32), np.zeros((n, UNITS), np.float32)
+        z, r = gate[:, :, :UNITS], gate[:, :, UNITS:]
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own[:, :, 2 * UNITS :] * r * (1 - r)
+        g_own, g_new = own, new  # their values are not needed again
+        gh = np.zeros((n, UNITS), kind)
+        back = np.ascontiguousarray(net.gates.T)
         for t in range(steps - 1, -1, -1):
-            gh = gh + g_states[t]
-            z, r, new, own, prev = zrs[t][:, :UNITS], zrs[t][:, UNITS:], news[t], owns[t], before[t]
-            g_new = gh * (1 - z) * (1 - new * new)
-            gz = gh * (prev - new) * z * (1 - z)
-            gr = g_new * own * r * (1 - r)
-            g_own = np.concatenate([gz, gr, g_new * r], axis=1)
-            g_given[t] = np.concatenate([gz, gr, g_new], axis=1)
-            grads[1] += prev.T @ g_own
-            gh = (gh * z + g_own @ net.gates.T) * ~fresh[t][:, None]
+            gh += g_states[t]
+            np.multiply(gh, to_new[t], out=g_new[t])
+            np.multiply(gh, to_z[t], out=g_own[t, :, :UNITS])
+            np.multiply(g_new[t], to_r[t], out=g_own[t, :, UNITS : 2 * UNITS])
+            np.multiply(g_new[t], r[t], out=g_own[t, :, 2 * UNITS :])
+            gh *= z[t]
+            gh += g_own[t] @ back
+            gh *= going[t]
+        flat = g_own.reshape(-1, 3 * UNITS)
+        grads[2] = before.reshape(-1, UNITS).T @ flat
+        flat[:, 2 * UNITS :] = g_new.reshape(-1, UNITS)
+        grads[1], grads[3] = seen.T @ flat, flat.sum(0)
         rows = source.ravel()
         order = np.argsort(rows, kind="stable")
         which, first = np.unique(rows[order], return_index=True)
-        grads[0][which] = np.add.reduceat(g_given.reshape(-1, 3 * UNITS)[order], first)
+        g_seen = np.add.reduceat((flat @ net.into.T)[order], first)
+        grads[0] = np.zeros_like(net.embed)
+        grads[0][which] = g_seen
         self._update(grads)
-        self.tokens += len(y)
+        self.tokens += len(target)
         return h
 
+    def _outputs(self, states: np.ndarray, live: np.ndarray, target: np.ndarray, scale: float, grads: list[np.ndarray], g_states: np.ndarray) -> None:
+        """Gradients of the outputs' weights, and into ``g_states`` those of the states."""
+        net, kind = self.net, states.dtype
+        c, order, bounds = _by_class(target)
+        live, target, c = live[order], target[order], c[order]
+        s, rows, place = states[live], np.arange(len(c)), target - c * SIZE
+        p = s @ net.to_class
+        p += net.class_bias
+        p *= (scale / _shares(p))[:, None].astype(kind)
+        p[rows, c] -= kind.type(scale)
+        grads[4], grads[5] = s.T @ p, p.sum(0)
+        gs = p @ net.to_class.T
+        for k in range(CLASSES):
+            i, j = bounds[k], bounds[k + 1]
+            if i < j:
+                own = net.to_word[k, :, : SIZES[k]]
+                q = s[i:j] @ own
+                q += net.word_bias[k, : SIZES[k]]
+                q *= (scale / _shares(q))[:, None].astype(kind)
+                q[rows[: j - i], place[i:j]] -= kind.type(scale)
+                grads[6][k, :, : SIZES[k]], grads[7][k, : SIZES[k]] = s[i:j].T @ q, q.sum(0)
+                gs[i:j] += q @ own.T
+        g_states[live] = gs
+
     def _update(self, grads: list[np.ndarray]) -> None:
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         rate = self.speed * min(1.0, self.step / 20)
         c1, c2 = 1 - 0.9**self.step, 1 - 0.99**self.step
         for p, g, m, v in zip(self.net, grads, self.m, self.v, strict=True):
             g *= clip
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (np.float32(rate / c1) * m / (np.sqrt(v / np.float32(c2)) + 1e-8)).astype(np.float32)
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.01) * (g - v)
+            np.sqrt(v * np.float32(1 / c2), out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / c1)
+            p -= g
 
 
 def _flat(net: Net) -> np.ndarray:
@@ -337,29 +396,29 @@ def _shaped(flat: np.ndarray, like: Net) -> Net:
     return Net(*out)
 
 
-def trained(docs: DataFrame, v: Vocabulary, shared_vocabulary, fold: int, held: int, share: float) -> tuple[Net, int]:
-    """Weights after all rounds of training, and how many tokens they saw: the training documents are dealt to the
-    rounds, ``share`` of them each. Trainers start alike, each reads its part of the round's documents, and their
-    weights are averaged by tokens, block by block, in Spark; only the average comes to the driver."""
-    spark, net, seen = docs.sparkSession, start(v), 0
-    number = max(1, min(4096, round(v.total * share / TRAINER_TOKENS)))
-    parts = max(1, round(1 / share))
-    chosen = docs.where(remainder(F.col("doc_id"), fold) != held).withColumn("__part", F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts)))
-    for r in range(parts):
+def trained(rows: DataFrame, v: Vocabulary, share: float) -> tuple[Net, int]:
+    """Weights after all rounds of training on rows of ``row``, ``part`` and ``slots``, and how many tokens they saw.
+
+    A round reads the rows of one part. Trainers start alike, each reads its share of the round's documents in the
+    order of ``row``, and their weights are averaged by tokens, block by block, in Spark; only the average comes to the
+    driver."""
+    spark, net, seen = rows.sparkSession, start(v), 0
+    number = max(1, min(TRAINERS, round(v.total * share / TRAINER_TOKENS)))
+    for r in range(parts_of(share)):
         weights = spark.sparkContext.broadcast(_flat(net))
 
         def learn(batches: Iterator[pa.RecordBatch], weights=weights, like=net) -> Iterator[pa.RecordBatch]:
-            lookup, trainer = Lookup(shared_vocabulary.value), Trainer(_shaped(weights.value, like))
-            held_docs: list[np.ndarray] = []
+            trainer = Trainer(_shaped(weights.value, like))
+            held: list[np.ndarray] = []
+            size = 0
             for batch in batches:
-                for h, g, n in _blocks(batch):
-                    slot = lookup.slots(h, g)[0]
-                    cut = np.cumsum(n)[:-1]
-                    held_docs += [np.append(x, np.int32(END)) for x in np.split(slot, cut)]
-                if sum(map(len, held_docs)) > 1 << 18:
-                    trainer.learn(held_docs)
-                    held_docs = []
-            trainer.learn(held_docs)
+                for x in batch.column("slots"):
+                    held.append(np.frombuffer(x.as_buffer(), np.int16).astype(np.int32))
+                    size += len(held[-1])
+                    if size >= trainer.lanes * DEPTH:
+                        trainer.learn(held)
+                        held, size = [], 0
+            trainer.learn(held)
             if trainer.tokens:
                 flat = _flat(trainer.net)
                 for k, part in enumerate(np.array_split(flat, BLOCKS)):
@@ -374,15 +433,96 @@ def trained(docs: DataFrame, v: Vocabulary, shared_vocabulary, fold: int, held:
             for k, (w, n) in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(w / n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["k", "w", "n"])
 
-        own = chosen.where(F.col("__part") == r).select("text").repartition(number)
-        got = own.mapInArrow(learn, "k int, w binary, n long").repartition(min(number, BLOCKS), "k").mapInArrow(average, "k int, w binary, n long").collect()
+        own = rows.where(F.col("part") == r).select("row", "slots").repartition(number, "row").sortWithinPartitions("row").select("slots")
+        got = own.mapInArrow(learn, "k int, w binary, n long").repartition(min(number, BLOCKS), "k").sortWithinPartitions("k", "n", "w").mapInArrow(average, "k int, w binary, n long").collect()
         if got:
             net = _shaped(np.concatenate([np.frombuffer(x["w"]) for x in sorted(got, key=lambda x: x["k"])]), net)
             seen += got[0]["n"]
     return net, seen
 
 
-SCORED = "held_out boolean, n_tokens long, top_known long, top_base double, network double, row long, rare array<long>, rare_n array<int>"
+def parts_of(share: float) -> int:
+    """Rounds of training."""
+    return max(1, round(1 / share))
+
+
+def looked_up(docs: DataFrame, v: Vocabulary, fold: int, held: int, share: float) -> DataFrame:
+    """Per row of ``docs``, written once and read by training and by scoring: ``doc_id``, ``row`` (a number of its own),
+    ``held_out``, ``part`` (the round that trains on it, null if none), ``slots`` (of 16 bits), and of the table's words
+    what counts give: ``n_tokens``, ``top_known``, ``top_base``, ``extra`` (what the words of groups add to the
+    network's probability); hashes and counts of the words that the table does not have in ``rare`` and ``rare_n``."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(v)
+    names = ["doc_id", "row", "held_out", "part", "slots", "n_tokens", "top_known", "top_base", "extra", "rare", "rare_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        v = shared.value
+        lookup, row = Lookup(v), TaskContext.get().partitionId() << 36
+        log_counts = np.log10(v.counts + 0.5)
+        group_total = np.log10(v.groups[:, 0] + 0.5 * (v.groups[:, 1] + 1))
+        end_log = np.log10(v.documents + 0.5)
+        for batch in batches:
+            cols: list[list] = [[] for _ in names[4:]]
+            for text in texts_of(batch):
+                parts = [tokens([p]) for p in _pieces(text)]
+                h, g = (np.concatenate([p[i] for p in parts]) if len(parts) > 1 else parts[0][i] for i in (0, 1))
+                slot, rank, absent = lookup.slots(h, g)
+                here = ~absent
+                other = slot >= FIRST_GROUP
+                rare, rare_n = np.unique(h[absent], return_counts=True)
+                of_table = log_counts[rank[here]]
+                values = (
+                    np.append(slot, np.int32(END)).astype(np.int16).tobytes(), len(h) + 1, len(of_table) + int(v.documents > 0), float(of_table.sum()) + end_log,
+                    float(log_counts[rank[other & here]].sum() - group_total[g[other]].sum()), rare.view(np.int64), rare_n.astype(np.int32))
+                for c, x in zip(cols, values, strict=True):
+                    c.append(x)
+            n = batch.num_rows
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.arange(row, row + n)), batch.column("held_out"), batch.column("part"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
+                names=names)
+            row += n
+
+    out = F.col("held_out")
+    source = docs.withColumn("held_out", remainder(F.col("doc_id"), fold) == held).withColumn(
+        "part", F.when(~out, F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts_of(share))).cast("int")))
+    schema = f"doc_id {kind}, row long, held_out boolean, part int, slots binary, n_tokens long, top_known long, top_base double, extra double, rare array<long>, rare_n array<int>"
+    return stored(source.mapInArrow(run, schema), "lm-rows")
+
+
+def network_scores(rows: DataFrame, net: Net) -> DataFrame:
+    """``rows`` with ``network``, log10 of the network's probability of each row's ``slots``, in their place."""
+    weights = rows.sparkSession.sparkContext.broadcast(_flat(net))
+    shapes = [p.shape for p in net]
+    names = [c for c in rows.columns if c != "slots"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _shaped(weights.value, Net(*[np.empty(s, np.float32) for s in shapes]))
+        waiting: list[pa.RecordBatch] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            likely, at = score(own, held) / np.log(10), 0
+            for batch in waiting:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(likely[at : at + n])], names=[*names, "network"])
+                at += n
+
+        for batch in batches:
+            some = [np.frombuffer(x.as_buffer(), np.int16).astype(np.int32) for x in batch.column("slots")]
+            waiting.append(batch.select(names))
+            held += some
+            size += sum(map(len, some))
+            if size >= HELD:
+                yield from flush()
+                waiting, held, size = [], [], 0
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(run, rows.select(*names).schema.add("network", "double"))
 
 
 def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = SHARE, table_words: int = TABLE_WORDS) -> DataFrame:
@@ -390,10 +530,10 @@ def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = S
     ``score``, both log10 probabilities of the whole text.
 
     Tokens are the words, A-Z lowered, and one end. Counts are taken over all documents whose crc32 remainder by
-    ``fold`` is not ``held``. The base is the smoothed unigram model. The network gives each token a class and a
-    place in it; a word that it does not know one by one gets its group's probability times its smoothed share of the
-    group, in which half a count is left to words never seen. Counts of the commonest ``table_words`` words are
-    broadcast; those of other words are joined, counted per document.
+    ``fold`` is not ``held``, and the network is trained on all of them. The base is the smoothed unigram model. The
+    network gives each token a class and a place in it; a word that it does not know one by one gets its group's
+    probability times its smoothed share of the group, in which half a count is left to words never seen. Counts of
+    the commonest ``table_words`` words are broadcast; those of other words are joined, counted per document.
 
     Null and empty texts are one end. Rows with a null id count by the crc32 of empty text. Repeated rows give a row
     each. An empty table gives none.
@@ -404,69 +544,18 @@ def lm_scores(docs: DataFrame, *, fold: int = 5, held: int = 1, share: float = S
     counts = stored(word_counts(source, fold, held), "word-counts")
     documents = source.where(remainder(F.col("doc_id"), fold) != held).count()
     v = vocabulary(counts, documents, table_words)
-    shared = spark.sparkContext.broadcast(v)
-    net, _ = trained(source, v, shared, fold, held, share)
-    weights = spark.sparkContext.broadcast(_flat(net))
-    like = Net(*[np.empty(p.shape, np.float32) for p in net])
-    shapes = [p.shape for p in like]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        v, own = shared.value, _shaped(weights.value, Net(*[np.empty(s, np.float32) for s in shapes]))
-        lookup, row = Lookup(v), TaskContext.get().partitionId() << 36
-        log_counts = np.log10(v.counts + 0.5)
-        group_total = np.log10(v.groups[:, 0] + 0.5 * (v.groups[:, 1] + 1))
-        end_log = np.log10(v.documents + 0.5)
-
-        def flush(held_rows: list[tuple], slots: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal row
-            likely = score(own, slots) / np.log(10)
-            cols = list(zip(*held_rows, strict=True))
-            n = len(held_rows)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cols[0], id_type), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]),
-                    pa.array(likely + np.array(cols[5])), pa.array(np.arange(row, row + n)), pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "top_known", "top_base", "network", "row", "rare", "rare_n"])
-            row += n
-            return out
-
-        held_rows: list[tuple] = []
-        slots: list[np.ndarray] = []
-        size, id_type = 0, pa.int64()
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            for doc_id, out_of, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch), strict=True):
-                parts = [tokens([p]) for p in _pieces(text)]
-                h, g = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                slot, rank, absent = lookup.slots(h, g)
-                seen = rank[~absent]
-                base = float(log_counts[seen].sum()) + end_log
-                other = slot >= FIRST_GROUP
-                extra = float(log_counts[rank[other & ~absent]].sum() - group_total[g[other]].sum())
-                rare, rare_n = np.unique(h[absent], return_counts=True)
-                held_rows.append((doc_id, out_of, len(h) + 1, len(seen) + int(v.documents > 0), base, extra, rare.view(np.int64), rare_n.astype(np.int32)))
-                slots.append(np.append(slot, np.int32(END)))
-                size += len(h) + 1
-                if size >= HELD:
-                    yield flush(held_rows, slots)
-                    held_rows, slots, size = [], [], 0
-        if held_rows:
-            yield flush(held_rows, slots)
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    once = stored(source.withColumn("held_out", remainder(F.col("doc_id"), fold) == held).mapInArrow(run, f"doc_id {kind}, {SCORED}"), "lm-rows")
-    pairs = once.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("k"))
+    rows = looked_up(source, v, fold, held, share)
+    net, _ = trained(rows, v, share)
+    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.rare_n").alias("k"))
     known = pairs.join(counts.select("h", F.col("n")), "h", "left")
     rest = known.groupBy("row").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"))
     scale = float(np.log10(v.total + 0.5 * (v.kinds + 1)))
-    return once.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("top_base") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("network") + F.coalesce("rare_log", F.lit(0.0))).alias("score"))
+    rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
+    scored = network_scores(rows.select("row", "doc_id", "held_out", "n_tokens", "top_known", "top_base", "extra", "slots"), net)
+    return scored.join(rest, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("top_known") + rare_known).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        (F.col("top_base") + rare_log - F.col("n_tokens") * F.lit(scale)).alias("base_score"), (F.col("network") + F.col("extra") + rare_log).alias("score"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,19 @@ def small_vocabulary(texts):
     return gru_lm.Vocabulary(u[order], k[order], np.zeros((gru_lm.GROUPS, 2), np.int64), len(h) + len(texts), len(u) + 1, len(texts)), h, n
 
 
+def one_step(net, given, state):
+    n, u, kind = len(given), gru_lm.UNITS, net.gates.dtype
+    own, gate, new, out = np.empty((n, 3 * u), kind), np.empty((n, 2 * u), kind), np.empty((n, u), kind), np.empty((n, u), kind)
+    gru_lm._step(net, gru_lm.table_of(net)[given], state, own, gate, new, out)
+    return out
+
+
+def test_slots_and_classes():
+    assert len(set(gru_lm.LIVE.tolist())) == len(gru_lm.LIVE) == gru_lm.SIZES.sum() == gru_lm.WORDS + gru_lm.GROUPS + 1
+    assert gru_lm.SLOTS < 1 << 15 and (gru_lm.LIVE % gru_lm.SIZE < gru_lm.SIZES[gru_lm.LIVE // gru_lm.SIZE]).all()
+    assert (gru_lm.GROUP_SLOT >= gru_lm.FIRST_GROUP).all() and (gru_lm.WORD_SLOT < gru_lm.FIRST_GROUP).all() and gru_lm.END < gru_lm.FIRST_GROUP
+
+
 def test_state_runs_through_the_whole_document(monkeypatch):
     texts = [t.encode() for t in labelled(12)[0]]
     v, h, n = small_vocabulary(texts)
@@ -115,7 +128,7 @@ def test_state_runs_through_the_whole_document(monkeypatch):
     for d in docs:  # token by token
         state, given, total = np.zeros((1, gru_lm.UNITS), np.float32), gru_lm.SLOTS, 0.0
         for t in d:
-            state = gru_lm._gates(net, net.table[[given]], state)[3]
+            state = one_step(net, [given], state)
             total += float(gru_lm._output(net, state, np.array([t]))[0])
             given = t
         want.append(total)
@@ -129,20 +142,19 @@ def test_outputs_are_a_distribution():
     v, _, _ = small_vocabulary([b"a b c"])
     net = gru_lm.start(v)
     state = np.random.default_rng(1).normal(size=(1, gru_lm.UNITS)).astype(np.float32)
-    whole = gru_lm._output(net, np.repeat(state, gru_lm.SLOTS, 0), np.arange(gru_lm.SLOTS))
+    whole = gru_lm._output(net, np.repeat(state, len(gru_lm.LIVE), 0), gru_lm.LIVE)
     assert math.isclose(np.exp(whole.astype(float)).sum(), 1, rel_tol=1e-3)
 
 
 def test_gradients_equal_differences(monkeypatch):
-    monkeypatch.setattr(gru_lm, "TRAIN_LANES", 2)
     monkeypatch.setattr(gru_lm, "WINDOW", 16)
     v, _, _ = small_vocabulary([b"a b c d e f"])
     rng = np.random.default_rng(2)
-    docs = [np.append(rng.integers(0, 6, n), gru_lm.END).astype(np.int32) for n in (5, 4, 3)]
+    docs = [np.append(gru_lm.WORD_SLOT[rng.integers(0, 40, n)], gru_lm.END).astype(np.int32) for n in (5, 4, 3)]
     net = gru_lm.Net(*[p.astype(np.float64) for p in gru_lm.start(v)])
     found = {}
     monkeypatch.setattr(gru_lm.Trainer, "_update", lambda self, grads: found.setdefault("g", grads))
-    gru_lm.Trainer(net).learn(docs)
+    gru_lm.Trainer(net, lanes=2).learn(docs)
     scale = 16 * 2
     loss = lambda n: -gru_lm.score(n, docs).sum() / scale
     for k, p in enumerate(net):
@@ -178,7 +190,7 @@ def test_every_training_document_reaches_the_network(spark, documents, share):
     docs = documents(texts).select("doc_id", "text")
     train = docs.where(gru_lm.remainder(F.col("doc_id"), 5) != 1)
     v = gru_lm.vocabulary(gru_lm.word_counts(docs, 5, 1), train.count(), 1 << 19)
-    net, seen = gru_lm.trained(docs, v, spark.sparkContext.broadcast(v), 5, 1, share)
+    net, seen = gru_lm.trained(gru_lm.looked_up(docs, v, 5, 1, share), v, share)
     assert seen == v.total == sum(len((r["text"] or "").split()) + 1 for r in train.collect())
     assert all(np.isfinite(p).all() for p in net)
 
@@ -188,9 +200,13 @@ def test_language_model_of_odd_tables(odd, documents):
     assert gru_lm.lm_scores(documents([])).collect() == []
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
-def test_language_model_beats_the_base_on_held_out_text(spark):
-    r = gru_lm.op6_lm_score(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_language_model_beats_the_base_on_held_out_text(spark, size):
+    folder = f"/root/testdata/{size}"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables are not here")
+    r = gru_lm.op6_lm_score(spark, folder).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print(size, r[0] / r[2], r[1] / r[2])
     assert r[0] > r[1]
 
 
