@@ -98,7 +98,7 @@ class ByteBpe:
             self._core = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
             self._marks = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if self._special else None
         self._lengths = HashTable(bits, np.int64)
-        self._places = HashTable(bits, np.int64)  # place in the pool << 20 | number of ids
+        self._places = HashTable(bits, np.int64)  # place in the pool << 32 | number of ids
         self._pool, self._used = np.zeros(1 << 16, np.uint32), 0
 
     def merged(self, piece: bytes) -> list[int]:
@@ -199,12 +199,12 @@ class ByteBpe:
                 if self._used + len(flat) > len(self._pool):
                     self._pool = np.concatenate([self._pool[: self._used], np.zeros(max(len(self._pool), len(flat)), np.uint32)])
                 self._pool[self._used : self._used + len(flat)] = flat
-                values = ((self._used + np.cumsum(n) - n) << 20) | n
+                values = ((self._used + np.cumsum(n) - n) << 32) | n
                 self._used += len(flat)
                 v[absent] = values[np.searchsorted(new, h[absent])]
                 if self._places.room(len(new)):
                     self._places.insert(new, values)
-            n, at = v & 0xFFFFF, v >> 20
+            n, at = v & 0xFFFFFFFF, v >> 32
             total = np.cumsum(n)
             flat = self._pool[np.repeat(at - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)]
             cut = np.flatnonzero(np.diff(of)) + 1

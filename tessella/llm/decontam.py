@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import rows_to_batches, small_batches, table, texts_of
+from tessella.scratch import stored
 from tessella.llm.spans import LOWER, HashTable, mix, span_hashes, word_spans
 
 _U = np.uint64
@@ -27,6 +27,8 @@ SHORT = 5
 #: document whose words are hashed at a time, and words of it whose seeds are looked up again at a time.
 BLOCK, PIECE, OVERLAP = 8 << 20, 1 << 20, 1 << 13
 READ, AGAIN = 1 << 19, 1 << 14
+#: Places of seeds in items that are looked at together.
+POSTINGS = 1 << 20
 
 _KEEP = np.ones(256, bool)
 _KEEP[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = False
@@ -53,22 +55,28 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mix(total)
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of equal neighbours."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(key)) - 1 if len(key) else first
+
+
 class Benchmark:
-    """Items' words and a table from seed to the places that have it."""
+    """Items' words and a table from seed to the places that have it: runs of places, where words repeat."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids, self.items = ids, [words(t)[0] for t in texts]
-        keys, items, places = [], [], []
+        found: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for i, h in enumerate(self.items):
             for number, mask in enumerate(self.masks(len(h))):
-                found = seeds(h, mask, number) if len(h) >= WINDOW else seeds(h, mask, len(MASKS))[:1]
-                keys.append(found)
-                items.append(np.full(len(found), i))
-                places.append(np.arange(len(found)))
-        key = np.concatenate(keys) if keys else np.zeros(0, _U)
+                own = seeds(h, mask, number) if len(h) >= WINDOW else seeds(h, mask, len(MASKS))[:1]
+                first, last = _runs(own)
+                for column, x in zip(found, (own[first], np.full(len(first), i), first, last), strict=True):
+                    column.append(x)
+        key, item, low, high = (np.concatenate(x) for x in found)
         order = np.argsort(key, kind="stable")
-        key, self.item, self.place = key[order], np.concatenate(items or [np.zeros(0, np.int64)])[order], np.concatenate(places or [np.zeros(0, np.int64)])[order]
-        unique, self.first, self.count = np.unique(key, return_index=True, return_counts=True)
+        self.item, self.low, self.high = item[order], low[order], high[order]
+        unique, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
         self.table = HashTable(max(8, (4 * len(unique)).bit_length()), np.int32)
         self.table.insert(unique, np.arange(len(unique), dtype=np.int32))
 
@@ -76,19 +84,31 @@ class Benchmark:
     def masks(n: int) -> tuple[tuple[int, ...], ...]:
         return MASKS if n >= WINDOW else (tuple(range(SHORT)),) if n >= SHORT else ()
 
-    def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """Pairs of an item and a diagonal (document place less item place) with a hit."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of an item and a diagonal (document place less item place) with a hit, each once."""
+        pairs = [np.zeros((0, 3), np.int64)]
         for number, mask in enumerate((*MASKS, tuple(range(SHORT)))):
             for start in range(0, len(h), AGAIN):
                 found = seeds(h[start : start + AGAIN + mask[-1]], mask, number)
-                which, absent = self.table.find(found)
+                first, last = _runs(found)
+                which, absent = self.table.find(found[first])
                 at = np.flatnonzero(~absent)
-                if len(at):
-                    n = self.count[which[at]]
-                    post = np.repeat(self.first[which[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    out.update(zip(self.item[post].tolist(), (np.repeat(at + start, n) - self.place[post]).tolist(), strict=True))
-        return out
+                total = np.cumsum(self.count[which[at]])
+                # as many runs at a time as have about POSTINGS places in the items
+                for part in np.split(at, np.searchsorted(total, np.arange(POSTINGS, total[-1] if len(total) else 0, POSTINGS))):
+                    if len(part):
+                        n = self.count[which[part]]
+                        post = np.repeat(self.first[which[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        span = np.stack([self.item[post], np.repeat(first[part] + start, n) - self.high[post], np.repeat(last[part] + start, n) - self.low[post]], axis=1)
+                        pairs.append(np.unique(span, axis=0))
+        spans = np.unique(np.concatenate(pairs), axis=0)
+        item, done = -1, 0
+        for i, low, high in spans.tolist():  # by item and first diagonal: what was given before is left out
+            if i != item:
+                item, done = i, low
+            for diagonal in range(max(low, done), high + 1):
+                yield i, diagonal
+            done = max(done, high + 1)
 
     def verify(self, h: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """Start in the document, words and substitutions of what matches on a diagonal."""
@@ -129,10 +149,12 @@ def blocks_of(benchmark: DataFrame) -> list[DataFrame]:
     pieces = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.explode(starts).alias("at"), "text").select("item_id", "at", F.substring("text", F.col("at"), F.lit(PIECE)).alias("text"))
     size = pieces.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-2 * size // BLOCK)) if size > BLOCK else 1
-    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "at"), F.lit(n)))
-    if n > 1 and numbered.groupBy("block").agg(F.sum(F.length("text")).alias("s")).agg(F.max("s")).first()[0] > 2 * BLOCK:
-        raise ValueError("a block of the benchmark is over its bound; its pieces hash unevenly")
-    return [numbered.where(F.col("block") == b).select("item_id", "text").orderBy("item_id") for b in range(n)]
+    while True:
+        numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "at", "text"), F.lit(n)))
+        largest = numbered.groupBy("block").agg(F.sum(F.length("text")).alias("s"), F.count("*").alias("k")).agg(F.max(F.when(F.col("k") > 1, F.col("s")))).first()[0] if n > 1 else 0
+        if (largest or 0) <= 2 * BLOCK or n > 16 * size // BLOCK:  # repeated pieces cannot be parted
+            return [numbered.where(F.col("block") == b).select("item_id", "text").distinct().orderBy("item_id", "text") for b in range(n)]
+        n *= 2
 
 
 def _broadcast(block: DataFrame):
@@ -148,6 +170,19 @@ def matches(items: Benchmark, text: bytes) -> Iterator[tuple[int, int, int, int]
             yield items.ids[item], *got
 
 
+def longest(items: Benchmark, text: bytes) -> list[tuple[int, int, int, int]]:
+    """Of ``matches``, the longest of each item; of those the one with the fewest substitutions, then the first."""
+    h = np.concatenate([words(part)[0] for part in _reads(text)])
+    best: dict[int, tuple[int, int, int]] = {}
+    for item, diagonal in items.candidates(h):
+        found = best.get(item, (0, 0, 0))
+        if found[0] == len(items.items[item]) and not found[1]:
+            continue  # the whole item, and diagonals rise
+        if got := items.verify(h, item, diagonal):
+            best[item] = max(found, (got[1], -got[2], -got[0]))
+    return [(items.ids[item], -start, n, -wrong) for item, (n, wrong, start) in best.items()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``doc_start``, ``n_words``, ``n_substitutions``: for each document and item that
     share a stretch, the longest one: its first word in the document, its words and how many of them differ.
@@ -161,17 +196,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
     source = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def against(block: DataFrame) -> DataFrame:
-        shared = _broadcast(block)
-
+    def against(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Benchmark(*shared.value)
-            found = ((doc_id, *m) for batch in batches for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for m in matches(items, text))
+            found = ((doc_id, *m) for batch in batches for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True) for m in longest(items, text))
             yield from rows_to_batches(["doc_id", "item_id", "doc_start", "n_words", "n_substitutions"], [pa.int64()] * 5, found)
 
         return source.mapInArrow(run, "doc_id long, item_id long, doc_start long, n_words long, n_substitutions long")
 
-    found = reduce(DataFrame.unionByName, map(against, blocks_of(benchmark)))
+    blocks = blocks_of(benchmark)
+    found = against(_broadcast(blocks[0]))
+    for block in blocks[1:]:
+        # one block after another, so that the driver and the workers hold one at a time
+        shared = _broadcast(block)
+        found = found.unionByName(stored(against(shared), "leaks"))
+        shared.destroy()
     best = F.max(F.struct("n_words", (-F.col("n_substitutions")).alias("fewer"), (-F.col("doc_start")).alias("sooner"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         F.col("doc_id").cast(doc_kind), F.col("item_id").cast(item_kind), (-F.col("b.sooner")).alias("doc_start"), F.col("b.n_words"), (-F.col("b.fewer")).alias("n_substitutions"))
@@ -181,9 +220,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` less the rows that hold a stretch of an item: a map over the rows for each block, without a shuffle."""
     small_batches(docs.sparkSession)
 
-    def against(rest: DataFrame, block: DataFrame) -> DataFrame:
-        shared = _broadcast(block)
-
+    def against(rest: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Benchmark(*shared.value)
             for batch in batches:
@@ -191,7 +228,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return rest.mapInArrow(run, docs.schema)
 
-    return reduce(against, blocks_of(benchmark), docs)
+    *others, last = blocks_of(benchmark)
+    for block in others:
+        shared = _broadcast(block)
+        docs = stored(against(docs, shared), "without-leaks")
+        shared.destroy()
+    return against(docs, _broadcast(last))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from tessella.scratch import new_path, stored
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records in a frame and of frames in a bundle, before which a new one is begun.
 FRAME, BUNDLE = 256 << 10, 64 << 20
+#: Bytes of records that a task reads back, and neighbouring frames that go to one task.
+READ, SLICE = 64 << 20, 64
 #: Payloads of fewer bytes are always stored.
 LEAST = 100
 
@@ -158,10 +160,12 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST, frame:
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    first = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = stored(first.where("n > 1").select("digest", "first"), "repeated-payloads")
-    typed = rows.join(repeated, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    typed = typed.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "digest", "refers_to")
+    # only ids and digests meet by digest, however many records share one; pages then meet their own row of that
+    digests = stored(rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest"), "payload-digests")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = stored(digests.join(first, "digest").where("page_id > refers_to").distinct(), "revisits")
+    typed = rows.join(revisits, ["page_id", "digest"], "left").select(
+        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "digest", "refers_to")
     bundles = folder.rstrip("/") + "/bundles"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,27 +214,28 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that the rows of an index name, each frame that holds one read once.
 
     Columns: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, where asked for, payload
-    (empty for a revisit). Payloads of responses are checked against their digests. A task reads the frames of its
-    rows in order; memory holds one frame.
+    (empty for a revisit). Payloads of responses are checked against their digests. A task reads about ``READ`` bytes
+    of records, slices of ``SLICE`` frames, in order; memory holds one frame.
     """
     spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
-    wanted = wanted.repartition(n, "bundle", "frame").sortWithinPartitions("bundle", "frame")
+    stored_bytes = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(spark.sparkContext.defaultParallelism, -(-stored_bytes // READ))
+    piece = F.floor(F.col("frame") / SLICE)
+    wanted = index.select("bundle", "frame", "offset").repartition(n, "bundle", piece).sortWithinPartitions("bundle", "frame", "offset")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            name, reader = None, None
+            name, reader, number, frame = None, None, None, {}
             for batch in batches:
-                for bundle, k, offsets in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offsets")), strict=True):
+                for bundle, k, offset in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset")), strict=True):
                     if bundle != name:
-                        name, reader = bundle, BundleReader(bundle)
-                    asked = set(offsets)
-                    for at, _, r in parse_records(reader.frame(k)):
-                        if at in asked:
-                            yield (r.page_id, r.url or None, r.payload_bytes, r.digest, r.kind, r.refers_to, *([r.payload] * with_payload))
+                        name, reader, number = bundle, BundleReader(bundle), None
+                    if k != number:
+                        number, frame = k, {at: r for at, _, r in parse_records(reader.frame(k))}
+                    r = frame[offset]
+                    yield (r.page_id, r.url or None, r.payload_bytes, r.digest, r.kind, r.refers_to, *([r.payload] * with_payload))
 
         yield from rows_to_batches(names, types, rows(), 512)
 

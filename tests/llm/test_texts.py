@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -331,6 +332,22 @@ def test_passages_beside_spaceless_stretches_are_found():
     assert list(decontam.matches(items, b"z" * 2_000_000 + b"\t" + " ".join(item).encode())) == [(5, 1, 20, 0)]
 
 
+def test_contamination_of_repeated_words(spark, documents):
+    items = decontam.Benchmark([1, 2], [" ".join(["ha"] * 300).encode(), " ".join(["ab cd"] * 100).encode()])
+    started = time.monotonic()
+    found = sorted(decontam.longest(items, " ".join(["x"] * 9 + ["ha"] * 60_000 + ["y z"] * 20 + ["ab cd"] * 9_000).encode()))
+    assert found == [(1, 9, 300, 0), (2, 9 + 60_000 + 40, 200, 0)] and time.monotonic() - started < 60
+    assert decontam.longest(items, " ".join(["ha"] * 100).encode()) == [(1, 0, 100, 0)]
+
+
+def test_blocks_of_a_benchmark_hold_all_of_it(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"{i} " * 50) for i in range(40)] + [(7, "7 " * 50)] * 3, "item_id long, text string")
+    for size in (2000, 1 << 20):
+        monkeypatch.setattr(decontam, "BLOCK", size)
+        rows = [(r[0], r[1]) for b in decontam.blocks_of(bench) for r in b.collect()]
+        assert sorted(rows) == sorted({(i, f"{i} " * 50) for i in range(40)})
+
+
 def test_contamination_of_odd_tables(spark, odd, documents):
     bench = spark.createDataFrame([(1, "w0 w7919 w5831 w3743 w1655 w9574")], "item_id long, text string")
     decontam.contamination(odd, bench).collect()
@@ -444,3 +461,21 @@ def test_damaged_records_are_refused():
     r = warc.record_bytes(warc.Record(1, "response", "u", "0" * 64, b"abc", 3, None))
     with pytest.raises(ValueError, match="digest"):
         list(warc.parse_records(r))
+
+
+def test_ids_of_a_pre_token_without_end():
+    rng = random.Random(3)
+    text = "".join(rng.choice("qxzjkvwpyg") for _ in range(2_000_000))
+    ids = bpe.loaded("byte_bpe_50k.json").ids(["a b", text, "c " + text[:50]])
+    library = bpe.loaded("byte_bpe_50k.json").by_library
+    assert len(ids[1]) > 1 << 20 and ids[1].tolist() == library(text) and ids[2].tolist() == library("c " + text[:50])
+
+
+def test_records_are_read_back_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "READ", 4000)
+    monkeypatch.setattr(warc, "SLICE", 2)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 40) for i in range(200)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, f"{tmp_path}/w", frame=1000)
+    back = warc.read_records(index, with_payload=True)
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in back.collect()} == {(r["page_id"], r["html"]) for r in pages.collect()}
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 8
