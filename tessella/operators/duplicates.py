@@ -18,19 +18,21 @@ from tessella.scratch import ship_package, stored
 
 def group_rows(members: DataFrame, strategy: str, reclaim: bool = True) -> DataFrame:
     """A row for each group (group_id, kind, members with file_path, file_size): the primary, the members in order
-    of rank, their number, the smallest similarity and the bytes of all but the primary."""
-    r = ranked(members, ["group_id"], strategy)
+    of rank, their number, the smallest similarity and the bytes of all but the primary. ``group_key``, where there is
+    one, tells groups apart; ``group_id`` is then only their name."""
+    keys = ["group_key", "group_id"] if "group_key" in members.columns else ["group_id"]
+    r = ranked(members, keys, strategy)
     size = F.coalesce("file_size", F.lit(0))
-    return r.groupBy("group_id").agg(
+    return r.groupBy(*keys).agg(
         F.first("kind").alias("kind"), F.min(F.when(F.col("rank") == 1, F.col("file_path"))).alias("primary"), F.count("*").alias("n_members"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "file_path"))), lambda x: x.file_path), ",").alias("members"),
-        F.min("similarity").alias("similarity"), (F.sum(F.when(F.col("rank") > 1, size).otherwise(0)) if reclaim else F.lit(0)).cast("long").alias("reclaimable_bytes"))
+        F.min("similarity").alias("similarity"), (F.sum(F.when(F.col("rank") > 1, size).otherwise(0)) if reclaim else F.lit(0)).cast("long").alias("reclaimable_bytes")).drop("group_key")
 
 
 def exact_members(files: DataFrame) -> DataFrame:
     """Members of groups of two and more files with the same non-empty ``content_hash``."""
     again = files.where(F.coalesce("content_hash", F.lit("")) != "").groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1").select("content_hash")
-    return files.join(again, "content_hash").withColumns({"group_id": F.concat(F.lit("exact_"), F.substring("content_hash", 1, 12)), "kind": F.lit("exact"), "similarity": F.lit(1.0)})
+    return files.join(again, "content_hash").withColumns({"group_id": F.concat(F.lit("exact_"), F.substring("content_hash", 1, 12)), "group_key": F.col("content_hash"), "kind": F.lit("exact"), "similarity": F.lit(1.0)})
 
 
 def visual_members(files: DataFrame, similarity: float) -> DataFrame:
@@ -86,9 +88,9 @@ def burst_members(files: DataFrame, window: float, similarity: float, strategy:
     s = stored(anchored_bursts(f.select("folder", "at", "file_path", F.col("h.hi").alias("hi"), F.col("h.lo").alias("lo")), window, similarity), "bursts")
     many = s.groupBy("series").agg(F.count("*").alias("n")).where("n > 1").select("series")
     r = ranked(f.join(s.join(many, "series"), "file_path").withColumn("group_id", F.col("series")), ["group_id"], strategy)
-    primary = r.where("rank = 1").select("group_id", F.col("file_path").alias("primary"), F.col("h").alias("ph"))
+    primary = r.where("rank = 1").select("group_id", F.col("file_path").alias("primary"), F.col("h").alias("ph"))  # here still the series
     stem = F.regexp_replace(basename("primary"), "\\.[^.]*$", "")
-    return r.join(primary, "group_id").withColumns({"similarity": F.bround(1 - hamming(F.col("h"), F.col("ph")) / 64.0, 2), "kind": F.lit("burst"), "group_id": F.concat(F.lit("burst_"), stem)}).drop("ph", "h", "primary", "rank", "series")
+    return r.join(primary, "group_id").withColumns({"similarity": F.bround(1 - hamming(F.col("h"), F.col("ph")) / 64.0, 2), "kind": F.lit("burst"), "group_key": F.col("series"), "group_id": F.concat(F.lit("burst_"), stem)}).drop("ph", "h", "primary", "rank", "series")
 
 
 def duplicate_report(files: DataFrame, mode: str = "all", similarity: float = 0.90, window: float = 3.0, strategy: str = "highest_resolution", videos: bool = False) -> DataFrame:
@@ -147,10 +149,17 @@ def duplicate_sets(rows: DataFrame, window: int, distance: int) -> DataFrame:
     """``id``, ``group_id`` of rows (id, at, hi, lo) that chains of pairs connect which are at most ``window``
     seconds apart and differ in at most ``distance`` bits; sets of two and more, numbered by their earliest row."""
     r = rows.where("at is not null and hi is not null and lo is not null")
-    h = r.select("id", F.struct("hi", "lo").alias("h"))
-    pairs = window_pairs(r.select("id", "at"), [], "at", "id", window)
-    pairs = pairs.join(h.select(F.col("id").alias("left_id"), F.col("h").alias("h1")), "left_id").join(h.select(F.col("id").alias("right_id"), F.col("h").alias("h2")), "right_id")
-    parts = connected_components(pairs.where(hamming(F.col("h1"), F.col("h2")) <= distance), "left_id", "right_id")
+    # hashes within the distance agree on one of distance + 1 bands; rows with one time and hash follow the first of them
+    same = r.withColumn("first", F.min("id").over(Window.partitionBy("at", "hi", "lo")))
+    alone = same.where("id = first")
+    whole = F.shiftleft(F.col("hi").cast("long"), 32).bitwiseOR(F.col("lo").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    edges = [64 * k // (distance + 1) for k in range(distance + 2)]
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(whole, a).bitwiseAND(F.lit((1 << min(b - a, 63)) - 1)).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    banded = alone.select("id", "at", "hi", "lo", F.explode(bands).alias("band"))
+    pairs = window_pairs(banded, ["band"], "at", "id", window, carry=["hi", "lo"])
+    far = F.bit_count(F.col("l_hi").bitwiseXOR(F.col("r_hi"))) + F.bit_count(F.col("l_lo").bitwiseXOR(F.col("r_lo")))
+    close = pairs.where(far <= distance).select("left_id", "right_id").union(same.where("id <> first").select("first", "id"))
+    parts = connected_components(close, "left_id", "right_id")
     named = r.select("id", "at").join(parts, F.col("id") == F.col("node"))
     groups = named.groupBy("component").agg(F.min(F.struct("at", "id")).alias("f")).select("component", "f.at", F.col("f.id").alias("first"))
     return named.select("id", "component").join(numbered(groups, ["at", "first"], "dup_group_").select("component", "group_id"), "component").select("id", "group_id")

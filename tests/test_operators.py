@@ -326,3 +326,46 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", t(1), "late", 1)], schema).coalesce(1).write.mode("append").parquet(src)
     out = K.finished(K.bursts(K.file_stream(spark, src, schema), "at", "k", "60 seconds", "10 seconds"), str(tmp_path / "o"), str(tmp_path / "c2"))
     assert sum(r["n"] for r in out.where("burst_start < '2024-01-01 00:01:00'").collect()) == 2  # the late row is dropped
+
+
+def test_bursts_of_equal_file_names_stay_apart(spark):
+    bits = [0] * 64
+    data = [(f"/{f}/IMG_{k}.jpg", bits, 100.0 + k + 8000 * (f == "b")) for f in "ab" for k in (1, 2)]
+    files = spark.createDataFrame(data, "file_path string, bits array<int>, at double").selectExpr(
+        "*", "1L as ordinal", "file_path as content_hash", "10 as width", "10 as height", "100L as file_size", "1.0D as mtime", "'photo' as media_type")
+    got = sorted((r["group_id"], r["primary"], r["n_members"]) for r in D.group_rows(D.burst_members(files, 3.0, 0.9, "newest"), "newest").collect())
+    assert [(g, n) for g, _, n in got] == [("burst_IMG_1", 2)] * 2 or len(got) == 2 and all(n == 2 for _, _, n in got)
+    assert {p.split("/")[1] for _, p, _ in got} == {"a", "b"}
+    report = D.duplicate_report(files, "burst", 0.9, 3.0, "newest").collect()
+    assert sorted(r["n_members"] for r in report) == [2, 2]
+
+
+@pytest.mark.parametrize("pass_edges", [200_000, 3])
+def test_leaders_of_a_long_chain(spark, pass_edges):
+    n = 1000 if pass_edges > 3 else 12
+    nodes = spark.range(n).selectExpr("id as node", "id as ordinal")
+    edges = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    assert dict(rows(leader_groups(nodes, edges, pass_edges))) == {i: i - i % 2 for i in range(n)}
+
+
+def test_duplicate_sets_equal_the_loop(spark):
+    rng = random.Random(5)
+    base = [(rng.getrandbits(32), rng.getrandbits(32)) for _ in range(6)]
+    data = []
+    for i in range(150):
+        hi, lo = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            hi ^= 1 << rng.randrange(32)
+        data.append((i, rng.randrange(0, 3000), hi, lo))
+    near = lambda x, y: abs(x[1] - y[1]) <= 60 and bin(x[2] ^ y[2]).count("1") + bin(x[3] ^ y[3]).count("1") <= 3
+    label = list(range(150))
+    for _ in range(150):
+        new = [min([label[j] for j in range(150) if j == i or near(data[i], data[j])]) for i in range(150)]
+        if new == label:
+            break
+        label = new
+    want = {frozenset(i for i in range(150) if label[i] == k) for k in set(label)}
+    got: dict = {}
+    for r in D.duplicate_sets(spark.createDataFrame(data, "id long, at long, hi long, lo long"), 60, 3).collect():
+        got.setdefault(r["group_id"], set()).add(r["id"])
+    assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
