@@ -19,7 +19,7 @@ STEP = 20
 SAMPLE, SAMPLE_BYTES = 8_000, 40 << 20
 #: Grams by which stretches that mark toxic documents are found: their bytes, and slots of the table that counts
 #: documents; a marked gram is RATIO times commoner in toxic documents, with a likelihood ratio of EVIDENCE or more.
-GRAM, SLOTS = 6, 1 << 24
+GRAM, SLOTS = 6, 1 << 23
 RATIO, EVIDENCE = 4, 20
 #: Bytes of the ordinary dictionary and of what the toxic one has more.
 ORDINARY, TOXIC = 64 << 10, 4 << 10
@@ -70,7 +70,7 @@ def _slots(text: bytes) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for j in range(GRAM):
         h = (h << np.uint64(8)) | a[j : j + n]
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32)
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int32)
 
 
 def _documents(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
@@ -206,7 +206,9 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         counts = _documents(mine, toxic[own])
         both += counts
         other = np.flatnonzero(half == side)
-        x[other] = Scorer(*dictionaries(mine, toxic[own], counts)).features([texts[i] for i in other])
+        pair = dictionaries(mine, toxic[own], counts)
+        del counts, mine
+        x[other] = Scorer(*pair).features([texts[i] for i in other])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     times = np.where(toxic > 0, RARE, 1)
     weights = logistic(np.repeat((x - mean) / scale, times, axis=0), np.repeat(toxic, times))
