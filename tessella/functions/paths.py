@@ -61,22 +61,22 @@ def in_workspace(path: Column | str, roots: Column, admin: Column | None = None)
 
 
 def matches_folder(path: Column | str, folder: Column | str, wanted: Column) -> Column:
-    """Whether a wanted folder is the file's folder or its end, a prefix of the path or of the folder, the name of
-    the folder, or lies in between."""
-    p, f = F.lower(slashes(path)), F.rtrim(F.lower(slashes(folder)), F.lit("/"))
-    w = F.trim(F.lower(slashes(wanted)), F.lit("/"))
-    return (w != "") & (
-        (F.trim(f, F.lit("/")) == w) | F.endswith(f, F.concat(F.lit("/"), w))
-        | F.startswith(F.ltrim(p, F.lit("/")), F.concat(w, F.lit("/"))) | F.startswith(F.ltrim(f, F.lit("/")), F.concat(w, F.lit("/")))
-        | (basename(f) == w) | F.contains(p, F.concat(F.lit("/"), w, F.lit("/")))
-    )
+    """Whether a wanted folder is the file's folder or its end, the path or a prefix of it, lies in between, or it
+    or its last segment is the name of the folder. Compared without case."""
+    tidy = lambda c: F.rtrim(F.lower(slashes(c)), F.lit("/"))
+    p, f, w = tidy(path), tidy(folder), tidy(wanted)
+    parent = dirname(p)
+    names = F.array(w, basename(w))
+    return (wanted != "") & (
+        (f == w) | F.endswith(f, F.concat(F.lit("/"), w)) | (p == w) | F.startswith(p, F.concat(w, F.lit("/"))) | (parent == w)
+        | F.array_contains(names, basename(parent)) | F.array_contains(names, basename(f)) | F.contains(p, F.concat(F.lit("/"), w, F.lit("/"))))
 
 
 def sidecar_path(path: Column | str, root: str, out: str, preserve: bool = True) -> Column:
     """A5: where a file's sidecar lies below ``out``: in the file's place below ``root`` (compared without case), or
-    flat by its name."""
+    flat by its name; a file that is not below ``root`` by its name too."""
     p, r = slashes(path), root.replace("\\", "/").rstrip("/") + "/"
-    rest = F.when(F.startswith(F.lower(p), F.lit(r.lower())), F.ltrim(F.substring(p, len(r) + 1, 1 << 20), F.lit("/"))).otherwise(F.ltrim(p, F.lit("/")))
+    rest = F.when(F.startswith(F.lower(p), F.lit(r.lower())), F.ltrim(F.substring(p, len(r) + 1, 1 << 20), F.lit("/"))).otherwise(basename(p))
     return F.concat(F.lit(out.rstrip("/") + "/"), rest if preserve else basename(p), F.lit(".json"))
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions.paths import col, is_placeholder_name
 
-#: Categories of content, and names by which they also occur.
+#: Categories of content, and names by which they also occur. People come before all others.
+PEOPLE = "family_memories"
 CATEGORIES = {
-    "people": ("person", "portrait", "family", "people"), "nature": ("landscape", "nature", "outdoor"),
-    "animals": ("animal", "pet", "animals"), "food": ("food", "meal", "drink"), "documents": ("document", "documents", "receipt", "screenshot"),
-    "travel": ("travel", "city", "architecture"), "events": ("event", "events", "party"), "other": ("other", "misc"),
+    "family_memories": ("family_memories", "person", "portrait", "family", "people"), "food": ("food", "meal", "drink"), "nature": ("nature", "landscape", "outdoor"),
+    "animals": ("animals", "animal", "pet"), "documents": ("documents", "document", "receipt", "screenshot"), "business_card": ("business_card", "sign", "schedule"),
+    "dashcam": ("dashcam", "dash camera"), "other": ("other", "misc"),
 }
 TAG = "struct<tag:string,category:string,confidence:double>"
 
@@ -53,10 +54,10 @@ def stored_tags(tags: Column | str) -> Column:
 
 
 def format_tag(tag: Column, category: Column, style: str) -> Column:
-    """A tag as text: categorized ``category:tag``, flat ``tag`` or prefixed ``#tag``."""
-    if style not in ("categorized", "flat", "prefixed"):
+    """A tag as text: categorized or prefixed ``category:tag``, flat ``tag`` or, where asked for, hash ``#tag``."""
+    if style not in ("categorized", "flat", "prefixed", "hash"):
         raise ValueError(f"unknown style {style}")
-    return {"categorized": F.concat(category, F.lit(":"), tag), "flat": tag, "prefixed": F.concat(F.lit("#"), tag)}[style]
+    return {"flat": tag, "hash": F.concat(F.lit("#"), tag)}.get(style, F.concat(category, F.lit(":"), tag))
 
 
 def with_people(tags: Column | str, names: Column | str) -> Column:
@@ -138,5 +139,5 @@ def module_status(media_type: Column, transcription: Column, faces: Column, time
     return F.struct(
         F.when(video, filled(transcription)).alias("transcribe"),
         F.when(video, timeline.isNotNull()).otherwise(faces.isNotNull()).alias("faces"),
-        F.when(video, F.lit(True)).otherwise(filled(phash)).alias("duplicates"),
+        filled(phash).alias("duplicates"),
         (analysis.isNotNull() & error.isNull()).alias("vision"))

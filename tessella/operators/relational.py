@@ -88,7 +88,10 @@ def by_suffix(requests: DataFrame, files: DataFrame, request: str, path: str) ->
 
 
 def in_folders(files: DataFrame, folders: DataFrame, path: str, folder: str, wanted: str) -> DataFrame:
-    """Files that match one of the requested folders. The request is a short list, given as a table."""
+    """Files that match one of the requested folders, all where none is requested. The request is a short list,
+    given as a table."""
+    if not folders.limit(1).count():
+        return files
     return files.join(folders.select(F.col(wanted).alias("__w")).distinct(), matches_folder(path, folder, F.col("__w")), "left_semi")
 
 

@@ -37,7 +37,7 @@ def sidecar_read(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "j.k", F.col("j._corrupt_record").isNotNull().alias("broken"))
 
 
-@query("A5", """SELECT page_id, '/out/' || CASE WHEN starts_with(lower(url), 'https://') THEN substr(url, 9) ELSE ltrim(url, '/') END || '.json' AS nested,
+@query("A5", """SELECT page_id, '/out/' || CASE WHEN starts_with(lower(url), 'https://') THEN substr(url, 9) ELSE regexp_extract(url, '[^/]*$') END || '.json' AS nested,
   '/out/' || regexp_extract(url, '[^/]*$') || '.json' AS flat FROM pages""")
 def sidecar_paths(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", P.sidecar_path("url", "HTTPS:/", "/out").alias("nested"), P.sidecar_path("url", "HTTPS:/", "/out", False).alias("flat"))
@@ -101,18 +101,20 @@ def vault(spark: SparkSession, d: str) -> DataFrame:
     return p.where(P.is_vault(F.concat(folder, F.lit("\\"), "url"))).select("page_id")
 
 
-@query("B3", """SELECT page_id FROM pages, (SELECT unnest(['en', 'x', '/de/']) AS f) w WHERE
-  contains('/' || lower(url), '/' || trim(f, '/') || '/') GROUP BY page_id""")
+@query("B3", """WITH p AS (SELECT page_id, rtrim(lower(url), '/') AS u, regexp_replace(rtrim(lower(url), '/'), '/[^/]*$', '') AS parent, rtrim(regexp_replace(lower(url), '/[^/]*$', ''), '/') AS folder FROM pages),
+w AS (SELECT rtrim(f, '/') AS nt, regexp_extract(rtrim(f, '/'), '[^/]*$') AS base FROM (SELECT unnest(['en', 'x', '/de/', 'elsewhere/fr']) AS f))
+SELECT DISTINCT page_id FROM p, w WHERE folder = nt OR ends_with(folder, '/' || nt) OR starts_with(u, nt || '/') OR u = nt OR starts_with(parent, nt || '/') OR parent = nt
+  OR regexp_extract(parent, '[^/]*$') IN (nt, base) OR regexp_extract(folder, '[^/]*$') IN (nt, base) OR contains(u, '/' || nt || '/')""")
 def folders(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages").select("page_id", "url", P.dirname("url").alias("folder"))
-    wanted = spark.createDataFrame([("en",), ("x",), ("/de/",)], "wanted string")
+    wanted = spark.createDataFrame([("en",), ("x",), ("/de/",), ("elsewhere/fr",)], "wanted string")
     return in_folders(p, wanted, "url", "folder", "wanted").select("page_id")
 
 
-@query("B4", "SELECT page_id FROM pages WHERE (starts_with(url, 'https://m.') OR page_id % 50 = 0) AND (page_id % 50 = 0 OR NOT list_contains(string_split(url, '/'), '..')) AND (page_id % 50 = 0 OR false)")
+@query("B4", "SELECT page_id FROM pages WHERE page_id % 50 = 0 OR (starts_with(url, 'http:/') AND NOT list_contains(string_split(url, '/'), '..'))")
 def workspace(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages")
-    return p.where(P.in_workspace("url", F.array(F.lit("https://m")), F.col("page_id") % 50 == 0)).select("page_id")
+    return p.where(P.in_workspace("url", F.array(F.lit("http:")), F.col("page_id") % 50 == 0)).select("page_id")
 
 
 @query("B6", "SELECT doc_id FROM documents WHERE lang = 'fr'")
@@ -153,7 +155,7 @@ def candidate_faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("B13", f"""WITH {MEDIA} SELECT doc_id, CASE WHEN media_type = 'video' THEN quality IS NOT NULL END AS transcribe,
-  CASE WHEN media_type = 'video' THEN toxic IS NOT NULL ELSE quality IS NOT NULL END AS faces, media_type = 'video' OR lang <> '' AS duplicates, toxic = 0 AND toxic IS NOT NULL AS vision
+  CASE WHEN media_type = 'video' THEN toxic IS NOT NULL ELSE quality IS NOT NULL END AS faces, coalesce(lang <> '', false) AS duplicates, toxic = 0 AND toxic IS NOT NULL AS vision
 FROM media LEFT JOIN labels USING (doc_id) WHERE media_type IS NOT NULL""")
 def modules(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).where("media_type is not null").join(read(spark, d, "labels"), "doc_id", "left")
@@ -293,10 +295,10 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "t.category", "t.tag", "t.confidence")
 
 
-@query("H20", "SELECT doc_id, lang || ':' || source AS a, source AS b, '#' || source AS c FROM documents")
+@query("H20", "SELECT doc_id, lang || ':' || source AS a, source AS b, lang || ':' || source AS c, '#' || source AS d FROM documents")
 def tag_formats(spark: SparkSession, d: str) -> DataFrame:
     f = lambda s: X.format_tag(F.col("source"), F.col("lang"), s)
-    return read(spark, d, "documents").select("doc_id", f("categorized").alias("a"), f("flat").alias("b"), f("prefixed").alias("c"))
+    return read(spark, d, "documents").select("doc_id", f("categorized").alias("a"), f("flat").alias("b"), f("prefixed").alias("c"), f("hash").alias("d"))
 
 
 @query("H21", "SELECT doc_id, source || ',' || CASE WHEN doc_id % 2 = 0 THEN 'Ann' ELSE 'Bob,Ann' END AS tags FROM documents")
@@ -350,10 +352,10 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint").k.alias("k"))
 
 
-@query("H32", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'people' WHEN lang = 'fr' THEN 'food' WHEN lang = 'de' THEN 'nature' ELSE 'other' END AS content_type FROM documents")
+@query("H32", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'family_memories' WHEN lang = 'fr' THEN 'food' WHEN lang = 'de' THEN 'nature' ELSE 'other' END AS content_type FROM documents")
 def taxonomy(spark: SparkSession, d: str) -> DataFrame:
     alias = spark.createDataFrame([(a, c) for c, names_ in X.CATEGORIES.items() for a in names_], "alias string, content_type string")
     raw = F.when(F.col("lang") == "fr", "meal").when(F.col("lang") == "de", "Landscape").otherwise("?")
     m = read(spark, d, "documents").select("doc_id", raw.alias("raw")).join(F.broadcast(alias), F.lower("raw") == F.col("alias"), "left")
-    return m.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "people").otherwise(F.coalesce("content_type", F.lit("other"))).alias("content_type"))
+    return m.select("doc_id", F.when(F.col("doc_id") % 10 == 0, X.PEOPLE).otherwise(F.coalesce("content_type", F.lit("other"))).alias("content_type"))
 

@@ -33,7 +33,7 @@ def test_workspace(spark):
     assert value(spark, P.in_workspace(F.lit("/x"), roots, F.lit(True)))
 
 
-@pytest.mark.parametrize(("wanted", "hit"), [("trip", True), ("/photos/trip/", True), ("photos", True), ("tri", False), ("", False)])
+@pytest.mark.parametrize(("wanted", "hit"), [("trip", True), ("/photos/trip/", True), ("photos", True), ("tri", False), ("", False), ("elsewhere/trip", True), ("/photos/trip/a.jpg", True)])
 def test_folder(spark, wanted, hit):
     assert value(spark, P.matches_folder(F.lit("/photos/trip/a.jpg"), F.lit("/photos/trip"), F.lit(wanted))) is hit
 
@@ -42,6 +42,7 @@ def test_sidecar_path(spark):
     p = F.lit("C:\\Photos\\trip\\a.jpg")
     assert value(spark, P.sidecar_path(p, "c:/photos", "/out")) == "/out/trip/a.jpg.json"
     assert value(spark, P.sidecar_path(p, "c:/photos", "/out", False)) == "/out/a.jpg.json"
+    assert value(spark, P.sidecar_path(p, "d:/other", "/out")) == "/out/a.jpg.json"
 
 
 @pytest.mark.parametrize(("name", "hit"), [("FACE_ID_01", True), ("face-2", True), ("Person_3", True), ("Unknown", True), (None, True), (" ", True), ("Faceless", False), ("Ann", False)])
@@ -174,4 +175,5 @@ def test_module_status(spark):
     photo = value(spark, X.module_status(F.lit("photo"), n, F.lit("x"), n, F.lit("h"), F.lit("a"), n))
     assert tuple(photo) == (None, True, True, True)
     video = value(spark, X.module_status(F.lit("video"), F.lit("words"), n, F.lit("t"), n, F.lit("a"), F.lit("quota")))
-    assert tuple(video) == (True, True, True, False)
+    assert tuple(video) == (True, True, False, False)  # duplicates are known by a hash, for videos too
+    assert value(spark, X.module_status(F.lit("video"), n, n, n, F.lit("h"), n, n))["duplicates"]
