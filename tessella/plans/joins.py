@@ -147,7 +147,7 @@ def path_mapping(spark: SparkSession, d: str) -> DataFrame:
 @query("C16", """WITH q AS (SELECT o_orderkey, (o_custkey % 160) / 2.0 - 40 + 0.1 AS lat, (o_orderkey % 340) / 2.0 - 85 + 0.2 AS lon FROM orders),
 p AS (SELECT s_suppkey AS place, (s_suppkey * 7 % 160) / 2.0 - 40 AS lat, (s_suppkey * 13 % 340) / 2.0 - 85 AS lon FROM supplier),
 x AS (SELECT o_orderkey, place, round(12742.0176 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - q.lon) / 2), 2)))), 6) AS km
-  FROM q JOIN p ON abs(floor(q.lat / 2) - floor(p.lat / 2)) <= 1 AND abs(floor(q.lon / 2) - floor(p.lon / 2)) <= 1)
+  FROM q, p)
 SELECT o_orderkey, min(struct_pack(km := km, place := place)).place AS place, round(min(km), 3) AS km FROM x GROUP BY o_orderkey""")
 def nearest_place_(spark: SparkSession, d: str) -> DataFrame:
     q = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 160 / 2.0 - 40 + 0.1).alias("lat"), (F.col("o_orderkey") % 340 / 2.0 - 85 + 0.2).alias("lon"))

@@ -369,3 +369,19 @@ def test_duplicate_sets_equal_the_loop(spark):
     for r in D.duplicate_sets(spark.createDataFrame(data, "id long, at long, hi long, lo long"), 60, 3).collect():
         got.setdefault(r["group_id"], set()).add(r["id"])
     assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
+
+
+def test_nearest_place_equals_brute_force(spark):
+    import math
+
+    rng = random.Random(8)
+    spot = lambda: (rng.uniform(-89, 89), rng.uniform(-180, 180))
+    points = [(i, *spot()) for i in range(60)] + [(100, 10.0, 179.9), (101, 89.9, 0.0), (102, None, 1.0)]
+    places = [(*spot(), k) for k in range(15)] + [(10.0, -179.9, 50), (89.9, 179.0, 51)]
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742.0176 * math.asin(math.sqrt(min(1, h)))
+
+    got = {r["i"]: r["place"] for r in R.nearest_place(spark.createDataFrame(points, "i int, lat double, lon double"), spark.createDataFrame(places, "lat double, lon double, place int"), "i", 2.0).collect()}
+    assert got == {i: None if a is None else min((km(a, b, c, d), k) for c, d, k in places)[1] for i, a, b in points}
