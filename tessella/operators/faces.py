@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.paths import is_placeholder_name
+from tessella.functions.paths import basename, is_placeholder_name
 from tessella.operators.graph import connected_components, leader_groups
-from tessella.operators.relational import numbered
+from tessella.operators.relational import first_per, numbered
 from tessella.operators.similarity import near_vectors, nearest_reference
 from tessella.scratch import stored
 
@@ -28,11 +28,36 @@ def candidates(registry: DataFrame, with_embedding: bool = True) -> DataFrame:
 
 def cluster_summary(faces: DataFrame, group: str) -> DataFrame:
     """For each cluster its size, the mean confidence (1.0 where none is known), its distinct sources and
-    the representative: with an image first, then by confidence and time."""
-    best = F.max_by("face_id", F.struct(F.coalesce(F.col("image_path") != "", F.lit(False)), F.coalesce("confidence", F.lit(0.0)), F.coalesce("created_at", F.lit("")), "face_id"))
-    return faces.groupBy(group).agg(
-        best.alias("representative"), F.count("*").alias("n_faces"), F.bround(F.coalesce(F.avg("confidence"), F.lit(1.0)), 3).alias("avg_confidence"),
-        F.array_join(F.sort_array(F.collect_set("source_file")), ",").alias("sources"))
+    the representative: with an image first, then by confidence and time.
+
+    Sources stand as they are first seen, newest face first (at one time, the larger name first); faces without a
+    source add none. Faces meet by cluster and source before they meet by cluster.
+    """
+    rank = F.struct(F.coalesce(F.col("image_path") != "", F.lit(False)), F.coalesce("confidence", F.lit(0.0)), F.coalesce("created_at", F.lit("")), "face_id")
+    parts = faces.groupBy(group, F.nullif("source_file", F.lit("")).alias("__source")).agg(
+        F.max(rank).alias("__best"), F.count("*").alias("__n"), F.sum("confidence").alias("__sum"), F.count("confidence").alias("__known"),
+        F.max(F.coalesce("created_at", F.lit(""))).alias("__seen"))
+    seen = F.sort_array(F.collect_list(F.when(F.col("__source").isNotNull(), F.struct("__seen", "__source"))), False)
+    return parts.groupBy(group).agg(
+        F.max("__best").getField("face_id").alias("representative"), F.sum("__n").alias("n_faces"),
+        F.bround(F.coalesce(F.sum("__sum") / F.nullif(F.sum("__known"), F.lit(0)), F.lit(1.0)), 3).alias("avg_confidence"),
+        F.array_join(F.transform(seen, lambda s: s["__source"]), ",").alias("sources"))
+
+
+def faces_of_files(requests: DataFrame, items: DataFrame, item_faces: DataFrame, registry: DataFrame) -> DataFrame:
+    """For each requested ``file`` its faces: file, face_id, name, confidence, found_in.
+
+    A request finds the items (id, file_path) of the same path or file name, in any case, and each face id of theirs
+    (media_id, face_id, name, confidence) once, the surest first; where no item has faces, the registry's (source_file).
+    """
+    want = requests.select("file", F.lower(basename("file")).alias("__base")).distinct()
+    paths = items.select(F.col("id").alias("media_id"), F.lower(basename("file_path")).alias("__base"))
+    held = want.join(paths, "__base").join(item_faces.select("media_id", "face_id", "name", "confidence"), "media_id")
+    first = first_per(held.where("face_id is not null"), ["file", "face_id"], [F.desc_nulls_last("confidence"), F.col("name"), F.col("media_id")])
+    known = registry.select(F.lower(basename("source_file")).alias("__base"), "face_id", "name", "confidence")
+    spare = want.join(held.select("file").distinct(), "file", "left_anti").join(known, "__base")
+    columns = ["file", "face_id", "name", "confidence"]
+    return first.select(*columns, F.lit("items").alias("found_in")).unionByName(spare.select(*columns, F.lit("registry").alias("found_in")))
 
 
 def face_components(faces: DataFrame, threshold: float) -> DataFrame:

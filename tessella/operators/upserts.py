@@ -41,20 +41,41 @@ def inserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequenc
 
 
 def renamed(faces: DataFrame, changes: DataFrame) -> DataFrame:
-    """Faces (face_id, name, is_reference) after changes (face_id, op, name, seq): assign sets the name and makes
-    a reference, reset gives the placeholder back, delete removes. The last change of a face counts."""
+    """Faces (face_id, name, is_reference, perhaps person_id) after changes (face_id, op, name, seq): assign sets
+    the name and makes a reference, rename only sets the name, reset gives the placeholder back, delete removes. The
+    last change of a face counts. The registry and the faces of items take the same changes."""
     last = changes.groupBy("face_id").agg(F.max_by(F.struct("op", F.col("name").alias("to")), "seq").alias("c"))
     out = faces.join(last, "face_id", "left").where("c is null or c.op <> 'delete'")
+    names = [n for n in ("name", "person_id") if n in faces.columns]
     return out.withColumns({
-        "name": F.when(F.col("c.op") == "assign", F.col("c.to")).when(F.col("c.op") == "reset", F.col("face_id")).otherwise(F.col("name")),
+        **{n: F.when(F.col("c.op").isin("assign", "rename"), F.col("c.to")).when(F.col("c.op") == "reset", F.col("face_id")).otherwise(F.col(n)) for n in names},
         "is_reference": F.when(F.col("c.op") == "assign", True).when(F.col("c.op") == "reset", False).otherwise(F.col("is_reference"))}).drop("c")
 
 
+def resets_by_file(registry: DataFrame, wanted: Sequence[str], seq: int) -> DataFrame:
+    """Changes that reset every face whose source holds the base name of a wanted file, in any case; blank
+    requests reset nothing."""
+    names = [w.strip().rstrip("/").rsplit("/", 1)[-1].lower() for w in wanted]
+    hit = F.lit(False)
+    for n in names:
+        if n:
+            hit = hit | F.lower("source_file").contains(n)
+    return registry.where(hit).select("face_id", F.lit("reset").alias("op"), F.lit(None).cast("string").alias("name"), F.lit(seq).alias("seq"))
+
+
+def manual_faces(links: DataFrame, registry: DataFrame) -> DataFrame:
+    """A reference face for each person linked to an item by hand (media_id, name), with the image and embedding
+    of the person's first face that has an image; both are null where there is none, and blank names are left out."""
+    sample = registry.where(F.coalesce("image_path", F.lit("")) != "").groupBy("name").agg(F.min_by(F.struct("image_path", "embedding"), "face_id").alias("s"))
+    named = links.select("media_id", F.trim("name").alias("name")).where("name <> ''")
+    face_id = F.concat(F.lit("manual_"), F.substring(F.sha2(F.concat_ws("/", "media_id", "name"), 256), 1, 12))
+    return named.join(sample, "name", "left").select(
+        "media_id", face_id.alias("face_id"), "name", F.col("s.image_path").alias("image_path"), F.col("s.embedding").alias("embedding"), F.lit(1.0).alias("confidence"), F.lit(True).alias("is_reference"))
+
+
 def linked(item_faces: DataFrame, links: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rows for persons linked to items by hand (media_id, name), with a sample image of the person."""
-    sample = registry.where(F.coalesce("image_path", F.lit("")) != "").groupBy("name").agg(F.min(F.struct("face_id", "image_path")).alias("s"))
-    rows = links.join(sample, "name", "left").select("media_id", F.concat(F.lit("manual_"), F.substring(F.sha2(F.concat_ws("/", "media_id", "name"), 256), 1, 12)).alias("face_id"), "name", F.col("s.image_path").alias("image_path"))
-    return inserted(item_faces, rows, ["media_id", "face_id"], [F.col("name")])
+    """The faces of items with those of ``manual_faces``, in the columns of ``item_faces``."""
+    return inserted(item_faces, manual_faces(links, registry).select(item_faces.columns), ["media_id", "face_id"], [F.col("name")])
 
 
 def unlinked(item_faces: DataFrame, links: DataFrame) -> DataFrame:

@@ -63,8 +63,10 @@ def group_summaries(spark: SparkSession, d: str) -> DataFrame:
     return group_rows(_exact(spark, d), "newest").select("group_id", "primary", "n_members", "similarity", "reclaimable_bytes")
 
 
-@query("D7", f"""WITH {FACES} SELECT person AS cluster, arg_max(face_id, (image_path <> '', confidence, created_at, face_id)) AS representative, count(*) AS n_faces,
-  round_even(avg(confidence), 3) AS avg_confidence, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS sources FROM faces GROUP BY person""")
+@query("D7", f"""WITH {FACES}, seen AS (SELECT person, source_file, max(created_at) AS last FROM faces GROUP BY ALL),
+  o AS (SELECT person, string_agg(source_file, ',' ORDER BY last DESC, source_file DESC) AS sources FROM seen GROUP BY person)
+SELECT person AS cluster, arg_max(face_id, (image_path <> '', confidence, created_at, face_id)) AS representative, count(*) AS n_faces,
+  round_even(avg(confidence), 3) AS avg_confidence, any_value(sources) AS sources FROM faces JOIN o USING (person) GROUP BY person""")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster_summary(faces(spark, d).withColumn("cluster", F.col("person")), "cluster")
 

@@ -72,24 +72,31 @@ def register(spark: SparkSession, d: str) -> DataFrame:
     return out.join(f.select("face_id", "embedding"), "face_id").select("face_id", "name", (F.col("e") == F.col("embedding")).alias("same"))
 
 
-@query("J9", f"""WITH {FACES} SELECT face_id, CASE WHEN face_id % 5 = 0 THEN 'Ann' WHEN face_id % 5 = 1 THEN face_id::VARCHAR ELSE name END AS name,
-  CASE WHEN face_id % 5 = 0 THEN true WHEN face_id % 5 = 1 THEN false ELSE is_reference END AS is_reference FROM faces WHERE face_id % 5 <> 2""")
+@query("J9", f"""WITH {FACES}, t AS (
+  SELECT face_id, CASE WHEN source_file LIKE '%/7.jpg%' OR face_id % 5 = 1 THEN face_id::VARCHAR WHEN face_id % 5 = 0 THEN 'Ann' ELSE name END AS name,
+    CASE WHEN source_file LIKE '%/7.jpg%' OR face_id % 5 = 1 THEN false WHEN face_id % 5 = 0 THEN true ELSE is_reference END AS is_reference
+  FROM faces WHERE face_id % 5 <> 2 OR source_file LIKE '%/7.jpg%')
+SELECT *, name AS person_id, 'registry' AS held_in FROM t UNION ALL SELECT *, name, 'items' FROM t WHERE face_id % 3 = 0""")
 def rename(spark: SparkSession, d: str) -> DataFrame:
-    f = faces(spark, d).select(F.col("face_id").cast("string").alias("face_id"), "name", "is_reference")
+    f = faces(spark, d).select(F.col("face_id").cast("string").alias("face_id"), "name", F.col("name").alias("person_id"), "is_reference", F.concat(F.lit("x"), F.regexp_replace("source_file", "^.*/", "-")).alias("source_file"))
     i = F.col("face_id").cast("bigint") % 5
     first = f.where(i < 3).select("face_id", F.lit("assign").alias("op"), F.lit("Bob").alias("name"), F.lit(1).alias("seq"))
     last = f.where(i < 3).select("face_id", F.when(i == 0, "assign").when(i == 1, "reset").otherwise("delete").alias("op"), F.lit("Ann").alias("name"), F.lit(2).alias("seq"))
-    return U.renamed(f, first.unionByName(last)).select(F.col("face_id").cast("bigint").alias("face_id"), "name", "is_reference")
+    changes = first.unionByName(last).unionByName(U.resets_by_file(f, ["/in/X-7.JPG", " "], 3))
+    f = f.drop("source_file")
+    both = U.renamed(f, changes).withColumn("held_in", F.lit("registry")).unionByName(U.renamed(f.where(F.col("face_id").cast("bigint") % 3 == 0), changes).withColumn("held_in", F.lit("items")))
+    return both.withColumn("face_id", F.col("face_id").cast("bigint"))
 
 
-@query("J10", f"""WITH {FACES}, s AS (SELECT name, min(image_path) AS x, arg_min(image_path, face_id) AS image_path FROM faces WHERE image_path <> '' GROUP BY name)
-SELECT item_id AS media_id, 'Person ' || (item_id % 12) AS name, image_path FROM benchmark LEFT JOIN s ON s.name = 'Person ' || (item_id % 12) WHERE item_id % 4 <> 3""")
+@query("J10", f"""WITH {FACES}, s AS (SELECT name, arg_min(embedding, face_id)[1]::DOUBLE AS first_value, arg_min(image_path, face_id) AS image_path FROM faces WHERE image_path <> '' GROUP BY name)
+SELECT item_id AS media_id, 'Person ' || (item_id % 12) AS name, image_path, first_value FROM benchmark LEFT JOIN s ON s.name = 'Person ' || (item_id % 12) WHERE item_id % 4 <> 3""")
 def link_person(spark: SparkSession, d: str) -> DataFrame:
-    b = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("media_id"), F.concat(F.lit("Person "), (F.col("item_id") % 12).cast("string")).alias("name"))
-    none = b.limit(0).select("media_id", F.lit("").alias("face_id"), "name", F.lit("").alias("image_path"))
-    out = U.linked(none, b, faces(spark, d).select("face_id", "name", "image_path"))
+    b = read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("media_id"), F.concat(F.lit(" Person "), (F.col("item_id") % 12).cast("string")).alias("name"))
+    f = faces(spark, d).select("face_id", "name", "image_path", "embedding")
+    none = U.manual_faces(b, f).limit(0)
+    out = U.linked(none, b, f)
     gone = out.where("cast(media_id as bigint) % 4 = 3").select("media_id", "face_id")
-    return U.unlinked(out, gone).select(F.col("media_id").cast("bigint").alias("media_id"), "name", "image_path")
+    return U.unlinked(out, gone).select(F.col("media_id").cast("bigint").alias("media_id"), "name", "image_path", F.element_at("embedding", 1).cast("double").alias("first_value"))
 
 
 @query("J11", "SELECT l_suppkey, tag FROM (SELECT DISTINCT l_suppkey, 'new' AS tag FROM lineitem WHERE l_suppkey % 2 = 0 UNION ALL SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_suppkey % 2 = 1)")

@@ -30,11 +30,13 @@ def manifest_(spark: SparkSession, d: str) -> DataFrame:
     return S.manifest(m)
 
 
-@query("A3", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 5 = 0 AS broken FROM events")
+@query("A3", "SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 5 = 0 AS broken, count(*) AS n FROM events GROUP BY ALL")
 def sidecar_read(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").withColumn("raw", F.when(F.col("event_id") % 5 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
-    e = e.withColumn("j", F.from_json("raw", "k bigint, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return e.select("event_id", "j.k", F.col("j._corrupt_record").isNotNull().alias("broken"))
+    """Documents written as lines, one of five cut off, and read by the reader."""
+    path = new_path(spark, "raw-sidecars")
+    read(spark, d, "events").select(F.when(F.col("event_id") % 5 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))).write.text(path)
+    back = S.sidecars(spark, path, "k bigint, _corrupt_record string", whole_files=False)
+    return back.select("k", F.col("_corrupt_record").isNotNull().alias("broken")).groupBy("k", "broken").agg(F.count("*").alias("n"))
 
 
 @query("A5", """SELECT page_id, '/out/' || CASE WHEN starts_with(lower(url), 'https://') THEN substr(url, 9) ELSE regexp_extract(url, '[^/]*$') END || '.json' AS nested,
@@ -47,14 +49,17 @@ def _sidecars(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).where("media_type is not null")
     words = F.slice(F.split("text", "\\s+"), 1, 3)
     tags = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(w.alias("tag"), F.col("lang").alias("category"), F.lit(1.0).alias("confidence")))
+    face = F.struct(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("bbox"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("face_id"), F.nullif("lang", F.lit("en")).alias("name"), F.lit(0.5).alias("confidence"))
+    found = F.when(F.col("doc_id") % 3 == 0, F.array(face, face))
     event = F.struct(F.lit("00:10").alias("timestamp_start"), F.lit("01:02:03").alias("timestamp_end"), F.col("lang").alias("activity"), F.lit(None).cast("string").alias("activity_ru"))
     return m.select(
         "file_path", "file_name", "file_size", "mtime", "media_type", tags.alias("tags"),
         F.struct(F.lit("2024:01:02 03:04:05").alias("datetime"), F.col("lang").alias("camera_make"), F.col("source").alias("camera_model"),
                  F.struct(F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude")).alias("gps"),
                  F.struct(F.lit("X").alias("city"), F.lit(None).cast("string").alias("region"), F.lit("Y").alias("country")).alias("location")).alias("exif"),
-        F.struct(F.lit(12.5).alias("duration"), F.lit(None).cast("string").alias("datetime")).alias("video_metadata"), F.lit(None).cast("string").alias("phash"),
-        F.struct(F.col("source").alias("summary"), F.lit("").alias("description"), F.lit(None).cast("string").alias("ocr_text"), F.when(F.col("doc_id") % 9 == 0, "timed out").alias("error"),
+        F.struct(F.lit(12.5).alias("duration"), F.lit(None).cast("string").alias("datetime")).alias("video_metadata"), F.lit(None).cast("string").alias("phash"), found.alias("faces"),
+        F.struct(F.col("source").alias("summary"), F.lit("").alias("description"), F.col("lang").alias("summary_ru"), F.lit(None).cast("string").alias("description_ru"),
+                 F.lit("outdoors").alias("environment"), F.lit(" ").alias("lighting"), F.col("source").alias("weather"), F.col("lang").alias("time_of_day"), F.lit(None).cast("string").alias("ocr_text"), F.when(F.col("doc_id") % 9 == 0, "timed out").alias("error"),
                  tags.alias("tags"), F.when(F.col("media_type") == "video", F.array(event)).alias("timeline_events")).alias("gemini_analysis"))
 
 
@@ -76,12 +81,15 @@ def ingest_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("A7", f"""WITH {MEDIA} SELECT sha256(file_path)[1:16] AS id, media_type, file_size, 1704164645 AS taken, CASE WHEN doc_id % 9 = 0 THEN 'FAILED' ELSE 'PROCESSED' END AS status,
-  CASE WHEN media_type = 'video' THEN 3723.0 END::DOUBLE AS end_sec, source AS summary, 'X, Y' AS location_name FROM media WHERE media_type IS NOT NULL""")
+  CASE WHEN media_type = 'video' THEN 3723.0 END::DOUBLE AS end_sec, source AS summary, lang AS summary_ru, source AS weather, lang AS time_of_day, 'outdoors' AS environment, doc_id % 9 <> 0 AS analysed,
+  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN lang = 'en' THEN 'f' || doc_id ELSE lang END END AS face_name, 'X, Y' AS location_name FROM media WHERE media_type IS NOT NULL""")
 def ingest_results(spark: SparkSession, d: str) -> DataFrame:
     t = S.ingested(_sidecars(spark, d))
     out = t.items.select("id", "file_path", "media_type", "file_size", F.unix_timestamp("media_date").alias("taken"))
     out = out.join(t.sync.select("file_path", "status"), "file_path").join(t.timeline.select(F.col("media_id").alias("id"), "end_sec"), "id", "left")
-    return out.join(t.metadata.select(F.col("media_id").alias("id"), "summary", "location_name"), "id").drop("file_path")
+    out = out.join(t.faces.select(F.col("media_id").alias("id"), F.col("name").alias("face_name")), "id", "left")
+    seen = t.metadata.select(F.col("media_id").alias("id"), "summary", "summary_ru", "weather", "time_of_day", "environment", F.col("raw_analysis").isNotNull().alias("analysed"), "location_name")
+    return out.join(seen, "id").drop("file_path")
 
 
 @query("A8", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 250000")

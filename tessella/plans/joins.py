@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.paths import media_id
 from tessella.operators import relational as R
+from tessella.operators.faces import faces_of_files
 from tessella.operators.similarity import near_hashes, near_vectors, nearest_reference
-from tessella.plans.base import CAPTURES, FACES, captures, faces, query, read
+from tessella.plans.base import CAPTURES, FACES, captures, faces, media, query, read
 
 
 @query("C1", """SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey""")
@@ -47,13 +49,18 @@ def page_with_children(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.array_join(F.transform("s", lambda x: x.l_suppkey.cast("string")), ",").alias("suppliers"))
 
 
-@query("C6", """SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'labels' ELSE 'fallback' END AS found_in, coalesce(toxic, -1) AS toxic
-FROM documents LEFT JOIN labels l USING (doc_id)""")
+@query("C6", f"""WITH {FACES}, r AS (SELECT doc_id, '/in/' || doc_id || '.JPG' AS file FROM documents WHERE doc_id % 10 = 0), h AS (
+  SELECT doc_id, 'q' || quality AS face_id, 0.9::DOUBLE AS confidence FROM labels UNION ALL SELECT doc_id, 'q' || quality, 0.5 FROM labels UNION ALL SELECT doc_id, 't' || toxic, 0.7 FROM labels
+), a AS (SELECT file, face_id, max(confidence) AS confidence, 'items' AS found_in FROM r JOIN h USING (doc_id) GROUP BY file, face_id)
+SELECT * FROM a UNION ALL SELECT file, face_id::VARCHAR, confidence, 'registry' FROM r JOIN faces ON face_id * 10 = doc_id WHERE file NOT IN (SELECT file FROM a)""")
 def faces_of_file(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id")
-    first = docs.join(read(spark, d, "labels"), "doc_id").select("doc_id", "toxic", F.lit(0).alias("priority"), F.lit("labels").alias("found_in"))
-    both = first.unionByName(docs.select("doc_id", F.lit(-1).alias("toxic"), F.lit(1).alias("priority"), F.lit("fallback").alias("found_in")))
-    return R.first_per(both, ["doc_id"], [F.col("priority")]).select("doc_id", "found_in", "toxic")
+    m = media(spark, d).where("doc_id % 10 = 0")
+    items = m.select(media_id("file_path").alias("id"), "file_path", "doc_id")
+    found = F.array(*[F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("face_id"), F.lit(x).alias("confidence")) for p, c, x in (("q", "quality", 0.9), ("q", "quality", 0.5), ("t", "toxic", 0.7))])
+    held = items.join(read(spark, d, "labels"), "doc_id").select(F.col("id").alias("media_id"), F.inline(found)).withColumn("name", F.col("face_id"))
+    known = faces(spark, d).select(F.col("face_id").cast("string").alias("face_id"), "name", "confidence", F.concat(F.lit("/media/a/"), (F.col("face_id") * 10).cast("string"), F.lit(".jpg")).alias("source_file"))
+    asked = m.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".JPG")).alias("file"))
+    return faces_of_files(asked, items, held, known).select("file", "face_id", "confidence", "found_in")
 
 
 @query("C7", """WITH t AS (SELECT url, page_id FROM pages WHERE page_id % 2 = 0), b AS (

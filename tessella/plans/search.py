@@ -83,9 +83,10 @@ def visual_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("I7", f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.42),
 c(node, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach), {FACES},
-g AS (SELECT node AS face_id, min(reach) AS cluster FROM c GROUP BY node), s AS (SELECT * FROM faces JOIN g USING (face_id))
+g AS (SELECT node AS face_id, min(reach) AS cluster FROM c GROUP BY node), s AS (SELECT * FROM faces JOIN g USING (face_id)),
+seen AS (SELECT cluster, source_file, max(created_at) AS last FROM s GROUP BY ALL), o AS (SELECT cluster, string_agg(source_file, ',' ORDER BY last DESC, source_file DESC) AS sources FROM seen GROUP BY cluster)
 SELECT cluster, arg_max(face_id, (image_path <> '', confidence, created_at, face_id)) AS representative, count(*) AS n_faces,
-  round_even(avg(confidence), 3) AS avg_confidence, string_agg(DISTINCT source_file, ',' ORDER BY source_file) AS sources FROM s GROUP BY cluster""")
+  round_even(avg(confidence), 3) AS avg_confidence, any_value(sources) AS sources FROM s JOIN o USING (cluster) GROUP BY cluster""")
 def components(spark: SparkSession, d: str) -> DataFrame:
     f = faces(spark, d)
     return P.cluster_summary(f.join(P.face_components(f, 0.42), "face_id"), "cluster")

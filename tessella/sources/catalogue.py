@@ -14,6 +14,9 @@ from tessella.functions.texts import error_class, parse_tags, stored_tags
 from tessella.functions.times import first_filled, parse_datetime, seconds
 from tessella.schemas import SIDECAR
 
+#: Texts of an analysis that metadata rows carry.
+DESCRIBED = ("summary", "summary_ru", "description", "description_ru", "environment", "lighting", "weather", "time_of_day", "ocr_text")
+
 
 def scanned(spark: SparkSession, roots: list[str], vault: bool = False, extensions: Sequence[str] = (*PHOTO, *VIDEO)) -> DataFrame:
     """A1: files below the roots with one of the extensions: path, file_size, mtime and media_type (null for other than
@@ -34,9 +37,9 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.select(path.alias("file_path"), first_filled(*given, basename(path)).alias("file_name"), *[c for c in rows.columns if c not in (*names, *given)]).where("file_path is not null")
 
 
-def sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """A3: sidecar documents, one a file; a broken one is a row with its text in ``_corrupt_record``."""
-    return spark.read.schema(SIDECAR).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
+def sidecars(spark: SparkSession, path: str, schema: str = SIDECAR, whole_files: bool = True) -> DataFrame:
+    """A3: sidecar documents, one a file (or one a line); a broken one is a row with its text in ``_corrupt_record``."""
+    return spark.read.schema(schema).option("multiLine", whole_files).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
 
 
 def write_sidecars(docs: DataFrame, path: str, by: tuple[str, ...] = ("media_type",)) -> None:
@@ -53,12 +56,13 @@ class Ingest(NamedTuple):
     items: DataFrame
     metadata: DataFrame
     tags: DataFrame
+    faces: DataFrame
     timeline: DataFrame
     sync: DataFrame
 
 
 def ingested(docs: DataFrame) -> Ingest:
-    """Sidecar documents as rows of five tables. The documents are read once for each table that is used;
+    """Sidecar documents as rows of six tables. The documents are read once for each table that is used;
     write or cache them before where that costs more."""
     a = F.col("gemini_analysis")
     d = docs.where("file_path is not null").withColumn("media_id", media_id("file_path"))
@@ -67,14 +71,17 @@ def ingested(docs: DataFrame) -> Ingest:
         "file_size", "mtime", F.col("video_metadata.duration").alias("duration"),
         parse_datetime(first_filled("exif.datetime", "video_metadata.datetime"), F.col("mtime")).alias("media_date"), "phash", F.lit("PROCESSED").alias("status"))
     metadata = d.select(
-        "media_id", first_filled(a["summary"]).alias("summary"), first_filled(a["description"]).alias("description"), first_filled(a["ocr_text"]).alias("ocr_text"),
+        "media_id", *[first_filled(a[c]).alias(c) for c in DESCRIBED],
         F.col("exif.camera_make").alias("camera_make"), F.col("exif.camera_model").alias("camera_model"), F.col("exif.gps.latitude").alias("latitude"), F.col("exif.gps.longitude").alias("longitude"),
-        F.nullif(F.concat_ws(", ", "exif.location.city", "exif.location.region", "exif.location.country"), F.lit("")).alias("location_name"))
+        F.nullif(F.concat_ws(", ", "exif.location.city", "exif.location.region", "exif.location.country"), F.lit("")).alias("location_name"),
+        F.nullif(F.to_json("exif"), F.lit("{}")).alias("raw_exif"), F.when(a["error"].isNull(), F.to_json(a)).alias("raw_analysis"))
     tags = d.select("media_id", F.explode(stored_tags(F.coalesce("tags", a["tags"]))).alias("t")).select("media_id", "t.*")
+    found = d.select("media_id", F.explode("faces").alias("f"))
+    faces = found.select("media_id", "f.face_id", F.coalesce(first_filled("f.name"), F.col("f.face_id")).alias("name"), "f.confidence", "f.bbox").where("face_id is not null").dropDuplicates(["media_id", "face_id"])
     events = d.select("media_id", F.explode(a["timeline_events"]).alias("e")).select("media_id", "e.*")
     timeline = events.withColumns({"start_sec": seconds("timestamp_start"), "end_sec": seconds("timestamp_end")})
     sync = d.select("file_path", "file_size", "mtime", F.when(a["error"].isNull(), "PROCESSED").otherwise("FAILED").alias("status"), a["error"].alias("error_message"))
-    return Ingest(items, metadata, tags, timeline, sync)
+    return Ingest(items, metadata, tags, faces, timeline, sync)
 
 
 def raw_tags(rows: DataFrame, id_: str, raw: str) -> DataFrame:

@@ -277,6 +277,37 @@ def test_last_change_of_a_face_counts(spark):
     assert rows(U.renamed(f, c)) == [("1", "Z", True), ("3", "c", False)]
 
 
+def test_resets_by_file_name(spark):
+    f = spark.createDataFrame([("1", "a", "a", True, "/p/IMG_1.jpg"), ("2", "b", "b", True, "/q/img_12.jpg"), ("3", "c", "c", False, None)], "face_id string, name string, person_id string, is_reference boolean, source_file string")
+    assert rows(U.resets_by_file(f, ["/z/img_1.JPG ", "", "  "], 1).select("face_id")) == [("1",)]
+    assert rows(U.resets_by_file(f, ["img_1"], 1).select("face_id")) == [("1",), ("2",)]
+    assert U.resets_by_file(f, [], 1).count() == 0
+    assert rows(U.renamed(f, U.resets_by_file(f, ["img_1."], 1)).select("face_id", "person_id", "is_reference")) == [("1", "1", False), ("2", "b", True), ("3", "c", False)]
+
+
+def test_manual_faces_take_a_sample(spark):
+    r = spark.createDataFrame([("f2", "Ann", "/b.jpg", [2.0]), ("f1", "Ann", "", [1.0]), ("f3", "Ann", "/c.jpg", [3.0]), ("f4", "Bob", None, [4.0])], "face_id string, name string, image_path string, embedding array<double>")
+    links = spark.createDataFrame([("m1", " Ann "), ("m2", "Bob"), ("m3", " "), ("m4", None)], "media_id string, name string")
+    got = U.manual_faces(links, r)
+    assert rows(got.select("media_id", "name", "image_path", "confidence", "is_reference").fillna("")) == [("m1", "Ann", "/b.jpg", 1.0, True), ("m2", "Bob", "", 1.0, True)]
+    assert got.where("name = 'Ann'").first()["embedding"] == [2.0] and got.where("name = 'Bob'").first()["embedding"] is None
+    assert U.linked(got.select("media_id", "face_id", "name"), links, r).count() == 2  # linked already
+
+
+def test_faces_of_files(spark):
+    ask = spark.createDataFrame([("/x/A.jpg",), ("/x/b.jpg",), ("/x/none.jpg",), (None,)], "file string")
+    items = spark.createDataFrame([("1", "/p/a.jpg"), ("2", "/q/a.JPG"), ("3", "/p/b.jpg")], "id string, file_path string")
+    held = spark.createDataFrame([("1", "f", "n", 0.4), ("2", "f", "m", 0.8), ("2", "g", "k", None)], "media_id string, face_id string, name string, confidence double")
+    known = spark.createDataFrame([("r", "z", 0.1, "/o/B.jpg"), ("s", "z", 0.2, "/o/a.jpg")], "face_id string, name string, confidence double, source_file string")
+    assert sorted((tuple(r) for r in P.faces_of_files(ask, items, held, known).collect()), key=str) == sorted([("/x/A.jpg", "f", "m", 0.8, "items"), ("/x/A.jpg", "g", "k", None, "items"), ("/x/b.jpg", "r", "z", 0.1, "registry")], key=str)
+
+
+def test_sources_as_first_seen(spark):
+    f = spark.createDataFrame([(1, "a", "", None, "1", "s"), (2, "a", "/i", 0.5, "2", "t"), (3, "a", None, 0.7, "3", "s"), (4, "a", "/i", 0.5, "0", None), (5, "b", None, None, None, "")],
+                              "face_id int, g string, image_path string, confidence double, created_at string, source_file string")
+    assert rows(P.cluster_summary(f, "g")) == [("a", 2, 4, 0.567, "s,t"), ("b", 5, 1, 1.0, "")]
+
+
 def test_snapshots_are_not_overwritten(spark, tmp_path):
     U.swap_snapshot(spark, spark.range(1), str(tmp_path), 1)
     with pytest.raises(Exception, match=r"(?i)exist"):
@@ -292,11 +323,14 @@ def test_scan_and_sidecars(spark, tmp_path):
     assert C.scanned(spark, [str(tmp_path)], vault=True).count() == 3
     side = tmp_path / "side"
     side.mkdir()
-    (side / "1.json").write_text(json.dumps({"file_path": "/p/a.jpg", "mtime": 5.0, "tags": [{"tag": "Sea", "category": "Nature", "confidence": 0.5}], "extra": 1}, indent=1))
+    (side / "1.json").write_text(json.dumps({"file_path": "/p/a.jpg", "mtime": 5.0, "tags": [{"tag": "Sea", "category": "Nature", "confidence": 0.5}], "extra": 1, "faces": [{"face_id": "f1", "name": "", "confidence": 0.5}, {"face_id": "f2", "name": "Ann"}, {"name": "x"}], "gemini_analysis": {"weather": "rain", "summary_ru": "s", "lighting": ""}}, indent=1))
     (side / "2.json").write_text('{"file_path": "/p/b.jpg", ')
     docs = C.sidecars(spark, str(side))
     assert {(r["file_path"], r["_corrupt_record"] is None) for r in docs.collect()} == {("/p/a.jpg", True), (None, False)} or docs.where("_corrupt_record is not null").count() == 1
     t = C.ingested(docs)
+    assert rows(t.faces.select("face_id", "name", "confidence")) == [("f1", "f1", 0.5), ("f2", "Ann", None)]
+    m = t.metadata.where("raw_analysis is not null").first()
+    assert (m["weather"], m["summary_ru"], m["lighting"], m["raw_exif"], json.loads(m["raw_analysis"])) == ("rain", "s", None, None, {"weather": "rain", "summary_ru": "s", "lighting": ""})
     assert rows(t.tags.select("tag", "category")) == [("sea", "nature")] and t.items.first()["media_type"] == "photo"
     C.write_sidecars(t.items, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == t.items.count()
