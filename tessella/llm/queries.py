@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.best_fit import op11_best_fit
 from tessella.llm.decontam import op4_decontamination
 from tessella.llm.gru_lm import op6_lm_score
 from tessella.llm.line_dedup import OP5_SQL, op5_line_dedup
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_best_fit": op11_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
