@@ -11,6 +11,7 @@ from tessella.llm.decontam import op4_decontamination
 from tessella.llm.gru_lm import op6_lm_score
 from tessella.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tessella.llm.packing import op7_packing
+from tessella.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from tessella.llm.quality_cnn import op3_quality
 from tessella.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tessella.llm.simhash import op2_simhash
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_best_fit": op11_best_fit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
