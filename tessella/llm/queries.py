@@ -15,6 +15,7 @@ from tessella.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from tessella.llm.quality_cnn import op3_quality
 from tessella.llm.quality_rules import OP8_SQL, op8_quality_rules
 from tessella.llm.simhash import op2_simhash
+from tessella.llm.spelling import OP12_SQL, op12_spelling
 from tessella.llm.token_counts import op10_token_counts
 from tessella.llm.toxicity import op1_toxicity
 from tessella.llm.warc import OP9_SQL, op9_warc
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_best_fit": op11_best_fit,
+    "op12_spelling": op12_spelling,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op12_spelling": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
