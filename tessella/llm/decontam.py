@@ -27,8 +27,11 @@ SHORT = 5
 #: document whose words are hashed at a time, and words of it whose seeds are looked up again at a time.
 BLOCK, PIECE, OVERLAP = 8 << 20, 1 << 20, 1 << 13
 READ, AGAIN = 1 << 19, 1 << 14
-#: Places of seeds in items that are looked at together.
-POSTINGS = 1 << 20
+#: Progressions of places of seeds in items, and cells of diagonals by words of an item, that are looked at together.
+POSTINGS, CELLS = 1 << 20, 1 << 20
+#: Words after which a text may repeat itself for its places to be taken together; diagonals of an item and a document
+#: from which on repeats are left out before they are verified.
+PERIOD, MANY = 64, 64
 
 _KEEP = np.ones(256, bool)
 _KEEP[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = False
@@ -55,27 +58,47 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mix(total)
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last place of each run of equal neighbours."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return first, np.append(first[1:], len(key)) - 1 if len(key) else first
+def _progressions(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, first and last place and step of the arithmetic progressions of equal keys' places, which come in order.
+
+    A text that repeats itself after ``step`` words, ``PERIOD`` at most, has few of them, however long it is. A place in
+    no progression is one of its own, of step 0; an end of one may be the start of the next.
+    """
+    n = len(key)
+    step = np.zeros(n + 1, np.int64)  # between a place and the one before; 0 where they do not go together
+    if n > 1:
+        gap = place[1:] - place[:-1]
+        step[1:-1] = np.where((key[1:] == key[:-1]) & (gap <= PERIOD), gap, 0)
+    begin = np.flatnonzero((step[1:-1] > 0) & (step[1:-1] != step[:-2])) if n > 1 else np.zeros(0, np.int64)
+    end = np.flatnonzero((step[1:-1] > 0) & (step[1:-1] != step[2:])) + 1 if n > 1 else begin
+    alone = np.flatnonzero((step[:-1] == 0) & (step[1:] == 0))
+    first, last = np.concatenate([begin, alone]), np.concatenate([end, alone])
+    return key[first], place[first], place[last], np.concatenate([step[1:][begin], np.zeros(len(alone), np.int64)])
+
+
+def _spread(first: np.ndarray, last: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which progression and the number, for all numbers of all progressions."""
+    n = (last - first) // np.maximum(step, 1) + 1
+    of = np.repeat(np.arange(len(n)), n)
+    return of, first[of] + step[of] * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
 
 
 class Benchmark:
-    """Items' words and a table from seed to the places that have it: runs of places, where words repeat."""
+    """Items' words and a table from seed to the places that have it, as progressions of places."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids, self.items = ids, [words(t)[0] for t in texts]
-        found: list[list[np.ndarray]] = [[np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        found: list[list[np.ndarray]] = [[np.zeros(0, _U)], *([np.zeros(0, np.int64)] for _ in range(4))]
         for i, h in enumerate(self.items):
             for number, mask in enumerate(self.masks(len(h))):
                 own = seeds(h, mask, number) if len(h) >= WINDOW else seeds(h, mask, len(MASKS))[:1]
-                first, last = _runs(own)
-                for column, x in zip(found, (own[first], np.full(len(first), i), first, last), strict=True):
+                order = np.argsort(own, kind="stable")
+                key, first, last, step = _progressions(own[order], order)
+                for column, x in zip(found, (key, np.full(len(key), i), first, last, step), strict=True):
                     column.append(x)
-        key, item, low, high = (np.concatenate(x) for x in found)
+        key, item, low, high, step = (np.concatenate(x) for x in found)
         order = np.argsort(key, kind="stable")
-        self.item, self.low, self.high = item[order], low[order], high[order]
+        self.item, self.low, self.high, self.step = item[order], low[order], high[order], step[order]
         unique, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
         self.table = HashTable(max(8, (4 * len(unique)).bit_length()), np.int32)
         self.table.insert(unique, np.arange(len(unique), dtype=np.int32))
@@ -84,49 +107,99 @@ class Benchmark:
     def masks(n: int) -> tuple[tuple[int, ...], ...]:
         return MASKS if n >= WINDOW else (tuple(range(SHORT)),) if n >= SHORT else ()
 
-    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Pairs of an item and a diagonal (document place less item place) with a hit, each once."""
-        pairs = [np.zeros((0, 3), np.int64)]
+    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items with a hit, each with its diagonals (document place less item place), ascending and each once."""
+        spans = [np.zeros((0, 4), np.int64)]  # item, first and last diagonal, step
         for number, mask in enumerate((*MASKS, tuple(range(SHORT)))):
             for start in range(0, len(h), AGAIN):
                 found = seeds(h[start : start + AGAIN + mask[-1]], mask, number)
-                first, last = _runs(found)
-                which, absent = self.table.find(found[first])
-                at = np.flatnonzero(~absent)
-                total = np.cumsum(self.count[which[at]])
-                # as many runs at a time as have about POSTINGS places in the items
-                for part in np.split(at, np.searchsorted(total, np.arange(POSTINGS, total[-1] if len(total) else 0, POSTINGS))):
+                which, absent = self.table.find(found)
+                place = np.flatnonzero(~absent)
+                place = place[np.argsort(which[place], kind="stable")]
+                key, first, last, step = _progressions(which[place], place)
+                total = np.cumsum(self.count[key])
+                # as many at a time as have about POSTINGS progressions in the items
+                for part in np.split(np.arange(len(key)), np.searchsorted(total, np.arange(POSTINGS, total[-1] if len(total) else 0, POSTINGS))):
                     if len(part):
-                        n = self.count[which[part]]
-                        post = np.repeat(self.first[which[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        span = np.stack([self.item[post], np.repeat(first[part] + start, n) - self.high[post], np.repeat(last[part] + start, n) - self.low[post]], axis=1)
-                        pairs.append(np.unique(span, axis=0))
-        spans = np.unique(np.concatenate(pairs), axis=0)
-        item, done = -1, 0
-        for i, low, high in spans.tolist():  # by item and first diagonal: what was given before is left out
-            if i != item:
-                item, done = i, low
-            for diagonal in range(max(low, done), high + 1):
-                yield i, diagonal
-            done = max(done, high + 1)
-
-    def verify(self, h: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Start in the document, words and substitutions of what matches on a diagonal."""
+                        n = self.count[key[part]]
+                        post = np.repeat(self.first[key[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        spans.append(self._diagonals(post, np.repeat(first[part] + start, n), np.repeat(last[part] + start, n), np.repeat(step[part], n)))
+        every = np.concatenate(spans)
+        every = every[np.argsort(every[:, 0], kind="stable")]
+        for own in np.split(every, np.flatnonzero(np.diff(every[:, 0])) + 1):
+            if len(own):
+                yield int(own[0, 0]), np.unique(_spread(own[:, 1], own[:, 2], own[:, 3])[1])
+
+    def _diagonals(self, post: np.ndarray, first: np.ndarray, last: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Items and progressions of diagonals where progressions of places in the document meet those in the items."""
+        item, low, high, own = self.item[post], self.low[post], self.high[post], self.step[post]
+        # of two different steps the shorter progression is taken place by place
+        apart = (own != step) & (own > 0) & (step > 0)
+        if apart.any():
+            mine = apart & (high - low) * step <= (last - first) * own
+            parts = [np.stack([item, first - high, last - low, np.maximum(own, step)], axis=1)[~apart]]
+            for take in (mine, apart & ~mine):
+                a, b, s = (low, high, own) if take is mine else (first, last, step)
+                of, place = _spread(a[take], b[take], s[take])
+                i, f, l, t = (x[take][of] for x in ((item, first, last, step) if take is mine else (item, low, high, own)))
+                parts.append(np.stack([i, f - place, l - place, t] if take is mine else [i, place - l, place - f, t], axis=1))
+            out = np.concatenate(parts)
+        else:
+            out = np.stack([item, first - high, last - low, np.maximum(own, step)], axis=1)
+        return np.unique(out, axis=0)
+
+    def verify(self, h: np.ndarray, item: int, diagonals: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Start in the document, words and substitutions of what matches on each diagonal, in their order.
+
+        Where the document repeats itself below the item, a diagonal one period on gives the same again, further on: it is
+        left out.
+        """
         own = self.items[item]
-        low, high = max(0, -diagonal), min(len(own), len(h) - diagonal)
         window, allowed = (WINDOW, SUBSTITUTIONS) if len(own) >= WINDOW else (len(own), 0)
-        if high - low < window:
-            return None
-        equal = h[low + diagonal : high + diagonal] == own[low:high]
-        wrong = np.concatenate([[0], np.cumsum(~equal)])
-        good = np.flatnonzero(wrong[window:] - wrong[:-window] <= allowed)
-        if not len(good):
-            return None
-        covered = np.zeros(len(equal) + 1, np.int64)
-        np.add.at(covered, good, 1)
-        np.add.at(covered, good + window, -1)
-        inside = np.cumsum(covered[:-1]) > 0
-        return int(good[0] + low + diagonal), int(inside.sum()), int((inside & ~equal).sum())
+        if len(diagonals) > MANY:
+            diagonals = diagonals[~self._again(h, len(own), diagonals)]
+        places = np.arange(len(own))
+        rows = max(1, CELLS // len(own))
+        for start in range(0, len(diagonals), rows):
+            d = diagonals[start : start + rows]
+            if len(d) == 1 or len(own) > CELLS:
+                low, high = max(0, -int(d[0])), min(len(own), len(h) - int(d[0]))
+                equal = np.zeros((1, len(own)), bool)
+                equal[0, low:high] = h[low + int(d[0]) : high + int(d[0])] == own[low:high]
+                outside = np.ones((1, len(own)), bool)
+                outside[0, low:high] = False
+            else:
+                at = d[:, None] + places
+                outside = (at < 0) | (at >= len(h))
+                equal = (h[np.clip(at, 0, len(h) - 1)] == own) & ~outside
+            wrong = np.zeros((len(d), len(own) + 1), np.int32)
+            np.cumsum(~equal + outside * np.int32(window), axis=1, out=wrong[:, 1:])
+            good = wrong[:, window:] - wrong[:, :-window] <= allowed
+            some = np.flatnonzero(good.any(axis=1))
+            if not len(some):
+                continue
+            good, equal = good[some], equal[some]
+            covered = np.zeros((len(some), len(own) + 1), np.int32)
+            covered[:, : good.shape[1]] += good
+            covered[:, window : window + good.shape[1]] -= good
+            inside = np.cumsum(covered[:, :-1], axis=1) > 0
+            yield from zip((good.argmax(axis=1) + d[some]).tolist(), inside.sum(axis=1).tolist(), (inside & ~equal).sum(axis=1).tolist(), strict=True)
+
+    @staticmethod
+    def _again(h: np.ndarray, length: int, diagonals: np.ndarray) -> np.ndarray:
+        """Which diagonals have, some period before them, another with the same words of the document below the item."""
+        out = np.zeros(len(diagonals), bool)
+        for period in range(1, min(PERIOD + 1, len(h))):
+            before = diagonals - period
+            there = np.searchsorted(diagonals, before)
+            also = (diagonals[there] == before) & (before >= 0) & (diagonals + length <= len(h))
+            if not also.any():
+                continue
+            # up to where the words repeat after a period, from each place on
+            differs = np.flatnonzero(h[period:] != h[:-period])
+            until = np.append(differs, len(h) - period)[np.searchsorted(differs, np.maximum(before, 0))]
+            out |= also & (until >= diagonals + length - period)
+        return out
 
 
 _WHITE_SPACE = re.compile(rb"[\t-\r ]")
@@ -163,23 +236,23 @@ def _broadcast(block: DataFrame):
 
 
 def matches(items: Benchmark, text: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """Item, first word, words and substitutions of each stretch that a text shares with an item."""
+    """Item, first word, words and substitutions of each stretch that a text shares with an item; where the text repeats
+    itself, of the first."""
     h = np.concatenate([words(part)[0] for part in _reads(text)])
-    for item, diagonal in items.candidates(h):
-        if got := items.verify(h, item, diagonal):
-            yield items.ids[item], *got
+    for item, diagonals in items.candidates(h):
+        for found in items.verify(h, item, diagonals):
+            yield items.ids[item], *found
 
 
 def longest(items: Benchmark, text: bytes) -> list[tuple[int, int, int, int]]:
     """Of ``matches``, the longest of each item; of those the one with the fewest substitutions, then the first."""
     h = np.concatenate([words(part)[0] for part in _reads(text)])
     best: dict[int, tuple[int, int, int]] = {}
-    for item, diagonal in items.candidates(h):
-        found = best.get(item, (0, 0, 0))
-        if found[0] == len(items.items[item]) and not found[1]:
-            continue  # the whole item, and diagonals rise
-        if got := items.verify(h, item, diagonal):
-            best[item] = max(found, (got[1], -got[2], -got[0]))
+    for item, diagonals in items.candidates(h):
+        for start, n, wrong in items.verify(h, item, diagonals):
+            best[item] = max(best.get(item, (0, 0, 0)), (n, -wrong, -start))
+            if n == len(items.items[item]) and not wrong:
+                break  # the whole item, and diagonals rise
     return [(items.ids[item], -start, n, -wrong) for item, (n, wrong, start) in best.items()]
 
 

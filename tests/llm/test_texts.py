@@ -340,6 +340,59 @@ def test_contamination_of_repeated_words(spark, documents):
     assert decontam.longest(items, " ".join(["ha"] * 100).encode()) == [(1, 0, 100, 0)]
 
 
+def brute_longest(items, text):
+    """Of each item the longest stretch, diagonal by diagonal."""
+    h = decontam.words(text.encode())[0]
+    out = []
+    for name, own in zip(items.ids, items.items, strict=True):
+        n, most = (13, 2) if len(own) >= 13 else (len(own), 0)
+        best = None
+        for d in range(-len(own) + n, len(h) - n + 1) if len(own) >= 5 else ():
+            same = [0 <= d + k < len(h) and bool(h[d + k] == w) for k, w in enumerate(own)]
+            there = [0 <= d + k < len(h) for k in range(len(own))]
+            good = [k for k in range(len(own) - n + 1) if all(there[k : k + n]) and same[k : k + n].count(False) <= most]
+            inside = sorted({j for k in good for j in range(k, k + n)})
+            if good:
+                found = (len(inside), -sum(not same[j] for j in inside), -(d + good[0]))
+                best = max(best or found, found)
+        if best:
+            out.append((name, -best[2], best[0], -best[1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_repeating_texts_equal_brute_force(monkeypatch, seed):
+    rng = random.Random(seed)
+    for name, value in (("MANY", rng.choice([0, 64])), ("CELLS", rng.choice([1, 50, 1 << 20])), ("AGAIN", rng.choice([20, 1 << 14])), ("POSTINGS", rng.choice([1, 5, 1 << 20]))):
+        monkeypatch.setattr(decontam, name, value)
+
+    def text(n):
+        unit = [rng.choice("abc") for _ in range(rng.randrange(1, 9))]
+        w = [unit[k % len(unit)] for k in range(n)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(n)] = rng.choice("abcz")
+        return w
+
+    held = [text(rng.choice([5, 9, 13, 20, 60])) for _ in range(5)]
+    items = decontam.Benchmark(list(range(5)), [" ".join(x).encode() for x in held])
+    doc = [x for _ in range(4) for x in text(rng.randrange(1, 60)) + rng.choice(held)[rng.randrange(5) :]]
+    assert sorted(decontam.longest(items, " ".join(doc).encode())) == brute_longest(items, " ".join(doc))
+
+
+@pytest.mark.parametrize("period", [*range(1, 17), 50])
+@pytest.mark.parametrize("last", ["", "other"])
+def test_long_repeating_texts_take_no_longer(period, last):
+    own = [f"w{k % period}" for k in range(3000)]
+    item = own[:-1] + [last] if last else own
+    items = decontam.Benchmark([3], [" ".join(item).encode()])
+    text = " ".join(["x"] * 9 + [f"w{(k + 1) % period}" for k in range(60_000)] + ["y"]).encode()
+    started = time.monotonic()
+    found = decontam.longest(items, text)
+    assert time.monotonic() - started < 5
+    assert found == [(3, 9 + (period - 1) % period, 3000, 1 if last else 0)]
+    assert next(decontam.matches(items, text))[0] == 3
+
+
 def test_blocks_of_a_benchmark_hold_all_of_it(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"{i} " * 50) for i in range(40)] + [(7, "7 " * 50)] * 3, "item_id long, text string")
     for size in (2000, 1 << 20):
