@@ -225,10 +225,17 @@ def _shares(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], x.dtype)
 
 
+def lanes_for(docs: list[np.ndarray]) -> int:
+    """Lanes that together are about as long as the documents: more would only wait for the longest document, which takes
+    as many steps in any case, and every lane is as large as it."""
+    longest = max(map(len, docs), default=0)
+    return max(1, min(LANES, len(docs), 1 + sum(map(len, docs)) // max(1, longest)))
+
+
 def score(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each document's slots; the state runs through the whole document."""
     out, table, kind = np.zeros(len(docs)), table_of(net), net.gates.dtype
-    lanes = Lanes(docs, max(1, min(LANES, len(docs))))
+    lanes = Lanes(docs, lanes_for(docs))
     h = np.zeros((lanes.target.shape[1], UNITS), kind)
     for a, b, n in lanes.windows(STRETCH):
         states = np.empty((b - a, n, UNITS), kind)

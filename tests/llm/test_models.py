@@ -247,3 +247,15 @@ def test_labelled_sample_holds_whole_texts_within_its_bound(spark, documents):
     assert len(texts) == len(y) == sum(crc_remainder(i, 3) != 1 for i in range(60)) and set(texts) <= whole
     fewer, _ = labelled_sample(docs, labels, "toxic", 3, 1, 1000, 5000)
     assert fewer and sum(map(len, fewer)) <= 5000 and set(fewer) <= whole
+
+
+def test_a_long_document_beside_short_ones_takes_memory_for_its_tokens():
+    rng = np.random.default_rng(8)
+    docs = [rng.choice(gru_lm.LIVE, n).astype(np.int32) for n in (2_000_000, *rng.integers(1, 60, 300))]
+    lanes = gru_lm.Lanes(docs, gru_lm.lanes_for(docs))
+    assert lanes.target.size <= 3 * sum(map(len, docs)) and lanes.steps == 2_000_000
+    v, _, _ = small_vocabulary([b"a b c a b", b"c a"])
+    net, some = gru_lm.start(v), [d[:5000] for d in docs]
+    alone = np.array([gru_lm.score(net, [d])[0] for d in some])
+    np.testing.assert_allclose(gru_lm.score(net, some), alone, rtol=1e-4)
+    assert gru_lm.lanes_for([]) == gru_lm.lanes_for([np.zeros(0, np.int32)]) == 1
