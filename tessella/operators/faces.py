@@ -44,20 +44,43 @@ def cluster_summary(faces: DataFrame, group: str) -> DataFrame:
         F.array_join(F.transform(seen, lambda s: s["__source"]), ",").alias("sources"))
 
 
+def _parts_asked(paths: DataFrame, column: str, asked: DataFrame, words: str, suffix: bool) -> DataFrame:
+    """``paths`` joined with the rows of ``asked`` whose word their column ends in (or holds anywhere).
+
+    A path meets words as an equal key: it gives its parts of the lengths that words have, of which there are few.
+    """
+    lengths = sorted(r[0] for r in asked.where(F.length(words) > 0).select(F.length(words)).distinct().collect())
+    if not lengths:
+        return paths.join(asked, F.lit(False))
+    size, n = F.array(*map(F.lit, lengths)), F.length(column)
+    fit = F.filter(size, lambda k: k <= n)
+    ends = F.transform(fit, lambda k: F.substring(F.col(column), n - k + 1, k))
+    inside = F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(column), i, k)))))
+    return paths.withColumn("__part", F.explode(ends if suffix else inside)).join(asked, F.col("__part") == F.col(words)).drop("__part")
+
+
 def faces_of_files(requests: DataFrame, items: DataFrame, item_faces: DataFrame, registry: DataFrame) -> DataFrame:
     """For each requested ``file`` its faces: file, face_id, name, confidence, found_in.
 
-    A request finds the items (id, file_path) of the same path or file name, in any case, and each face id of theirs
-    (media_id, face_id, name, confidence) once, the surest first; where no item has faces, the registry's (source_file).
+    A request finds the items (id, file_path) whose path ends in its file name, in any case, and each face id of theirs
+    (media_id, face_id, name, confidence) once, the surest first. Where no item has faces, it finds the registry's
+    (source_file): those whose source ends in its file name or holds the whole request. Null and empty requests find
+    nothing; a sign in a name stands for itself. Requests are the small side: the lengths of their names, at most some
+    hundred numbers, come to the driver.
     """
-    want = requests.select("file", F.lower(basename("file")).alias("__base")).distinct()
-    paths = items.select(F.col("id").alias("media_id"), F.lower(basename("file_path")).alias("__base"))
-    held = want.join(paths, "__base").join(item_faces.select("media_id", "face_id", "name", "confidence"), "media_id")
+    want = requests.where("file <> ''").select("file", F.lower(basename("file")).alias("__base"), F.lower("file").alias("__whole")).distinct()
+    paths = items.select(F.col("id").alias("media_id"), F.lower("file_path").alias("__path"))
+    met = _parts_asked(paths, "__path", want.select("file", "__base"), "__base", True).select("file", "media_id").distinct()
+    held = met.join(item_faces.select("media_id", "face_id", "name", "confidence"), "media_id")
     first = first_per(held.where("face_id is not null"), ["file", "face_id"], [F.desc_nulls_last("confidence"), F.col("name"), F.col("media_id")])
-    known = registry.select(F.lower(basename("source_file")).alias("__base"), "face_id", "name", "confidence")
-    spare = want.join(held.select("file").distinct(), "file", "left_anti").join(known, "__base")
+    spare = want.join(held.select("file").distinct(), "file", "left_anti")
+    known = registry.select(F.lower("source_file").alias("__source"), "face_id", "name", "confidence")
     columns = ["file", "face_id", "name", "confidence"]
-    return first.select(*columns, F.lit("items").alias("found_in")).unionByName(spare.select(*columns, F.lit("registry").alias("found_in")))
+    ends = _parts_asked(known, "__source", spare.select("file", "__base"), "__base", True).select(*columns)
+    holds = _parts_asked(known, "__source", spare.select("file", F.col("__whole").alias("__w"), "__base"), "__w", False)
+    holds = holds.where(~F.endswith("__source", "__base") | (F.col("__base") == "")).select(*columns)  # the others came already
+    spares = ends.unionByName(holds).withColumn("found_in", F.lit("registry"))
+    return first.select(*columns, F.lit("items").alias("found_in")).unionByName(spares)
 
 
 def face_components(faces: DataFrame, threshold: float) -> DataFrame:

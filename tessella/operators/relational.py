@@ -119,42 +119,6 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 12742.0176 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
-    """The nearest place of every point, ties by the place; null where there is no place or no position.
-
-    ``points`` and ``places`` have lat and lon, places a place. A point meets the places of its cell of ``cell`` degrees
-    and of the eight around it, across 180 degrees too. Where the best of them is not certainly nearer than any place
-    outside, the point goes on with cells four times as wide, and at last with all places; each round is written.
-    """
-    q = places.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "place").where("plat is not null and plon is not null")
-    todo = points.select(key, "lat", "lon").where("lat is not null and lon is not null").distinct()
-    found = None
-    while True:
-        n = max(1, int(360 / cell))  # cells around the globe; up to three of them all are neighbours
-        wide, last = 360 / n, n <= 3
-        x = lambda lat: F.lit(0).cast("bigint") if last else F.floor(lat / wide)
-        y = lambda lon: F.lit(0).cast("bigint") if last else F.pmod(F.floor(lon / wide), F.lit(n))
-        near = F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"))) if last else F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        p = todo.withColumn("__d", F.explode(near)).select(key, "lat", "lon", (x(F.col("lat")) + F.col("__d.dx")).alias("__x"), F.pmod(y(F.col("lon")) + F.col("__d.dy"), F.lit(n)).alias("__y"))
-        r = q.withColumns({"__x": x(F.col("plat")), "__y": y(F.col("plon"))})
-        d = F.round(haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6)
-        best = p.join(r, ["__x", "__y"]).groupBy(key, "lat", "lon").agg(F.min(F.struct(d.alias("km"), F.col("place"))).alias("b"))
-        # a place outside is a cell away to the north or south, or beyond a meridian that is a cell away
-        beyond = F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(min(wide, 90.0)))))
-        sure = F.lit(True) if last else F.col("b.km") < 6371.0088 * F.least(F.radians(F.lit(wide)), beyond) - 1e-5
-        best = stored(best.select(key, "lat", "lon", "b.km", "b.place", sure.alias("sure")), "nearest")
-        some = best.where("sure").select(key, "lat", "lon", "km", "place")
-        found = some if found is None else found.union(some)
-        if last:
-            break
-        todo = stored(todo.join(best.where("sure"), [key, "lat", "lon"], "left_anti"), "unplaced")
-        if not todo.limit(1).count():
-            break
-        cell = wide * 4
-    one = found.groupBy(key).agg(F.min(F.struct("km", "place")).alias("b"))
-    return points.select(key).distinct().join(one, key, "left").select(key, "b.place", "b.km")
-
-
 def window_pairs(rows: DataFrame, key: Sequence[str], at: str, id_: str, width: int, carry: Sequence[str] = ()) -> DataFrame:
     """C11: pairs ``left_id``, ``right_id`` of rows of one key of which the second is 0 to ``width`` seconds later
     (at equal times, has the larger id). Columns in ``carry`` come along, as l_ and r_ ones.

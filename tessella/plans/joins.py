@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessella.functions.paths import media_id
 from tessella.operators import relational as R
 from tessella.operators.faces import faces_of_files
+from tessella.operators.places import nearest_place
 from tessella.operators.similarity import near_hashes, near_vectors, nearest_reference
-from tessella.plans.base import CAPTURES, FACES, captures, faces, media, query, read
+from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
 
 
 @query("C1", """SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 LEFT JOIN nation ON c_nationkey = n_nationkey""")
@@ -49,17 +50,20 @@ def page_with_children(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.array_join(F.transform("s", lambda x: x.l_suppkey.cast("string")), ",").alias("suppliers"))
 
 
-@query("C6", f"""WITH {FACES}, r AS (SELECT doc_id, '/in/' || doc_id || '.JPG' AS file FROM documents WHERE doc_id % 10 = 0), h AS (
+@query("C6", f"""WITH {FACES}, {MEDIA}, r AS (SELECT doc_id, '/in/' || doc_id || '.JPG' AS file FROM documents WHERE doc_id % 100 = 0), h AS (
   SELECT doc_id, 'q' || quality AS face_id, 0.9::DOUBLE AS confidence FROM labels UNION ALL SELECT doc_id, 'q' || quality, 0.5 FROM labels UNION ALL SELECT doc_id, 't' || toxic, 0.7 FROM labels
-), a AS (SELECT file, face_id, max(confidence) AS confidence, 'items' AS found_in FROM r JOIN h USING (doc_id) GROUP BY file, face_id)
-SELECT * FROM a UNION ALL SELECT file, face_id::VARCHAR, confidence, 'registry' FROM r JOIN faces ON face_id * 10 = doc_id WHERE file NOT IN (SELECT file FROM a)""")
+), a AS (SELECT file, face_id, max(confidence) AS confidence, 'items' AS found_in FROM r JOIN media m ON ends_with(lower(file_path), r.doc_id || '.jpg') JOIN h ON h.doc_id = m.doc_id WHERE m.doc_id % 3 > 0 GROUP BY file, face_id),
+k AS (SELECT face_id::VARCHAR AS face_id, confidence, '/media/' || CASE WHEN face_id % 2 = 0 THEN 'a/' || face_id || '.jpg' ELSE 'in/' || face_id * 10 || '.jpg.bak' END AS source FROM faces)
+SELECT * FROM a UNION ALL SELECT file, face_id, confidence, 'registry' FROM r JOIN k ON ends_with(source, r.doc_id || '.jpg') OR contains(source, lower(file)) WHERE file NOT IN (SELECT file FROM a)""")
 def faces_of_file(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d).where("doc_id % 10 = 0")
+    m = media(spark, d)
     items = m.select(media_id("file_path").alias("id"), "file_path", "doc_id")
     found = F.array(*[F.struct(F.concat(F.lit(p), F.col(c).cast("string")).alias("face_id"), F.lit(x).alias("confidence")) for p, c, x in (("q", "quality", 0.9), ("q", "quality", 0.5), ("t", "toxic", 0.7))])
-    held = items.join(read(spark, d, "labels"), "doc_id").select(F.col("id").alias("media_id"), F.inline(found)).withColumn("name", F.col("face_id"))
-    known = faces(spark, d).select(F.col("face_id").cast("string").alias("face_id"), "name", "confidence", F.concat(F.lit("/media/a/"), (F.col("face_id") * 10).cast("string"), F.lit(".jpg")).alias("source_file"))
-    asked = m.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".JPG")).alias("file"))
+    held = items.where("doc_id % 3 > 0").join(read(spark, d, "labels"), "doc_id").select(F.col("id").alias("media_id"), F.inline(found)).withColumn("name", F.col("face_id"))
+    i = F.col("face_id").cast("string")
+    source = F.when(F.col("face_id") % 2 == 0, F.concat(F.lit("/media/a/"), i, F.lit(".jpg"))).otherwise(F.concat(F.lit("/media/in/"), (F.col("face_id") * 10).cast("string"), F.lit(".jpg.bak")))
+    known = faces(spark, d).select(i.alias("face_id"), "name", "confidence", source.alias("source_file"))
+    asked = m.where("doc_id % 100 = 0").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".JPG")).alias("file"))
     return faces_of_files(asked, items, held, known).select("file", "face_id", "confidence", "found_in")
 
 
@@ -159,7 +163,7 @@ SELECT o_orderkey, min(struct_pack(km := km, place := place)).place AS place, ro
 def nearest_place_(spark: SparkSession, d: str) -> DataFrame:
     q = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 160 / 2.0 - 40 + 0.1).alias("lat"), (F.col("o_orderkey") % 340 / 2.0 - 85 + 0.2).alias("lon"))
     p = read(spark, d, "supplier").select(F.col("s_suppkey").alias("place"), (F.col("s_suppkey") * 7 % 160 / 2.0 - 40).alias("lat"), (F.col("s_suppkey") * 13 % 340 / 2.0 - 85).alias("lon"))
-    return R.nearest_place(q, p, "o_orderkey", 2.0).withColumn("km", F.round("km", 3))
+    return nearest_place(q, p, "o_orderkey").withColumn("km", F.round("km", 3))
 
 
 _NEED = """SELECT doc_id, l.doc_id IS NULL OR toxic = 1 OR doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0 OR quality = 0 AS need FROM documents LEFT JOIN labels l USING (doc_id)"""

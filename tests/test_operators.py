@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions.media import halves, max_distance
 from tessella.operators import duplicates as D
 from tessella.operators import faces as P
+from tessella.operators import places as N
 from tessella.operators import relational as R
 from tessella.operators import search as S
 from tessella.operators import upserts as U
@@ -405,17 +408,34 @@ def test_duplicate_sets_equal_the_loop(spark):
     assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
 
 
-def test_nearest_place_equals_brute_force(spark):
-    import math
+def km(a, b, c, d):
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return round(12742.0176 * math.asin(math.sqrt(min(1, h))), 6)
 
+
+@pytest.mark.parametrize("cell", [1024, 2])
+def test_nearest_place_equals_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(N, "CELL", cell)
     rng = random.Random(8)
     spot = lambda: (rng.uniform(-89, 89), rng.uniform(-180, 180))
-    points = [(i, *spot()) for i in range(60)] + [(100, 10.0, 179.9), (101, 89.9, 0.0), (102, None, 1.0)]
-    places = [(*spot(), k) for k in range(15)] + [(10.0, -179.9, 50), (89.9, 179.0, 51)]
+    points = [(i, *spot()) for i in range(60)] + [(100, 10.0, 179.9), (101, 89.9, 0.0), (102, None, 1.0), (103, float("nan"), 1.0), (104, 5.0, 5.0), (104, 10.0, 179.9)]
+    places = [(*spot(), k) for k in range(15)] + [(10.0, -179.9, 50), (89.9, 179.0, 51), (10.0, -179.9, 49), (10.0, 180.1, 48), (None, 2.0, 1)]
+    got = {r["i"]: r["place"] for r in N.nearest_place(spark.createDataFrame(points, "i int, lat double, lon double"), spark.createDataFrame(places, "lat double, lon double, place int"), "i").collect()}
+    real = [p for p in places if p[0] is not None]
+    want = {i: None if a is None or a != a else min((km(a, b, c, d), k) for c, d, k in real)[1] for i, a, b in points[:-2]}
+    assert got == want | {104: min((km(a, b, c, d), k) for i, a, b in points[-2:] for c, d, k in real)[1]}
+    none = spark.createDataFrame(places[:0], "lat double, lon double, place int")
+    assert {r["place"] for r in N.nearest_place(spark.createDataFrame(points, "i int, lat double, lon double"), none, "i").collect()} == {None}
+
+
+def test_far_points_and_dense_places(spark):
+    """Many points far from all places: few cells are near enough to be asked, and none has all points and places."""
+    rng = random.Random(9)
+    points = [(i, 40 + rng.random(), 10 + rng.random()) for i in range(20_000)]
+    places = [(-30 + rng.random(), 150 + rng.random(), k) for k in range(4000)]
+    began = time.monotonic()
+    got = {r["i"]: r["place"] for r in N.nearest_place(spark.createDataFrame(points, "i int, lat double, lon double"), spark.createDataFrame(places, "lat double, lon double, place int"), "i").collect()}
+    assert time.monotonic() - began < 30
+    assert all(got[i] == min((km(a, b, c, d), k) for c, d, k in places)[1] for i, a, b in points[::1000])
 
-    def km(a, b, c, d):
-        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
-        return 12742.0176 * math.asin(math.sqrt(min(1, h)))
 
-    got = {r["i"]: r["place"] for r in R.nearest_place(spark.createDataFrame(points, "i int, lat double, lon double"), spark.createDataFrame(places, "lat double, lon double, place int"), "i", 2.0).collect()}
-    assert got == {i: None if a is None else min((km(a, b, c, d), k) for c, d, k in places)[1] for i, a, b in points}
