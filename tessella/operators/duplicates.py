@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.media import halves, hamming, max_distance
 from tessella.functions.paths import basename, dirname
-from tessella.operators.graph import connected_components, leader_groups
+from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.relational import numbered, ranked, window_pairs
 from tessella.operators.similarity import near_hashes
 from tessella.scratch import ship_package, stored
@@ -159,7 +159,7 @@ def duplicate_sets(rows: DataFrame, window: int, distance: int) -> DataFrame:
     pairs = window_pairs(banded, ["band"], "at", "id", window, carry=["hi", "lo"])
     far = F.bit_count(F.col("l_hi").bitwiseXOR(F.col("r_hi"))) + F.bit_count(F.col("l_lo").bitwiseXOR(F.col("r_lo")))
     close = pairs.where(far <= distance).select("left_id", "right_id").union(same.where("id <> first").select("first", "id"))
-    parts = connected_components(close, "left_id", "right_id")
+    parts = connected_components(close, "left_id", "right_id", small=PASS_EDGES)
     named = r.select("id", "at").join(parts, F.col("id") == F.col("node"))
     groups = named.groupBy("component").agg(F.min(F.struct("at", "id")).alias("f")).select("component", "f.at", F.col("f.id").alias("first"))
     return named.select("id", "component").join(numbered(groups, ["at", "first"], "dup_group_").select("component", "group_id"), "component").select("id", "group_id")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import basename, is_placeholder_name
-from tessella.operators.graph import connected_components, leader_groups
+from tessella.operators.cosine import near_vectors, vector_links
+from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.relational import first_per, numbered
-from tessella.operators.similarity import near_vectors, nearest_reference
+from tessella.operators.similarity import nearest_reference
 from tessella.scratch import stored
 
 
@@ -86,8 +87,7 @@ def faces_of_files(requests: DataFrame, items: DataFrame, item_faces: DataFrame,
 def face_components(faces: DataFrame, threshold: float) -> DataFrame:
     """``face_id`` and ``cluster``: connected components of faces whose cosine is at least ``threshold``; faces
     without an embedding are alone."""
-    edges = near_vectors(faces, "face_id", "embedding", threshold)
-    parts = connected_components(edges, "left_id", "right_id")
+    parts = connected_components(vector_links(faces, "face_id", "embedding", threshold), small=PASS_EDGES)
     return faces.select("face_id").join(parts, F.col("face_id") == F.col("node"), "left").select("face_id", F.coalesce("component", "face_id").alias("cluster"))
 
 

@@ -11,16 +11,46 @@ from pyspark.sql import functions as F
 from tessella.scratch import ship_package, stored
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task passes through in order at most: a graph of so few at once, a larger one's components each.
+PASS_EDGES = 200_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that a task has: u is above v."""
+    up: dict = {}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            up.setdefault(u, u)
+            up.setdefault(v, v)
+            x, y = find(u), find(v)
+            up[max(x, y)] = min(x, y)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = 0) -> DataFrame:
     """Rows ``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
     Alternates the large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014) until the edges are stars around their smallest node. Each round is two aggregations and two
-    equi-joins, written to the shared folder. Self-loops, repeated and null edges are allowed; edges with a null end
-    are ignored. An empty table gives an empty result.
+    equi-joins, written to the shared folder. At most ``small`` edges are united by one task instead. Self-loops,
+    repeated and null edges are allowed; edges with a null end are ignored. An empty table gives an empty result.
     """
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = stored(links.distinct(), "cc-edges")  # written once: edges may be costly to make
+    if small and links.count() <= small:
+        ship_package(edges.sparkSession)
+        kind = dict(links.dtypes)["u"]
+        return links.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
     loops, pairs = links.where("u = v"), links.where("u <> v")
     before = None
     while True:
@@ -49,10 +79,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return found.union(alone.join(found.select("node"), "node", "left_anti"))
 
 
-#: Edges of a component that is passed through in order by one task; larger ones are decided in rounds.
-PASS_EDGES = 200_000
-
-
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Greedy passes over components, rows in order of ``a`` and of ``b``, which is before it: ``a`` follows the first
     of its ``b`` that leads."""
@@ -74,7 +100,7 @@ def leader_groups(nodes: DataFrame, edges: DataFrame, pass_edges: int = PASS_EDG
 
     ``nodes`` has node, a unique ordinal and optionally a boolean ``forced`` (always a leader); ``edges`` has a and b.
     The pass makes each node a follower of its earliest leading neighbour, else a leader. A forced node leads, and
-    never follows. Components are independent: each one of at most ``pass_edges`` edges is passed through by one task;
+    never follows. At most ``pass_edges`` edges are passed through by one task. Components are independent: each one of at most ``pass_edges`` edges is passed through by one task;
     in larger ones a round lets a node with an earlier leader among its neighbours follow, and a node whose earlier
     neighbours all follow lead (the lexicographically first maximal independent set, as in parallel greedy
     algorithms), until all are decided. Each round is written to the shared folder.
@@ -85,10 +111,14 @@ def leader_groups(nodes: DataFrame, edges: DataFrame, pass_edges: int = PASS_EDG
     earlier = both.join(n.select(F.col("node").alias("a"), F.col("ordinal").alias("o"), F.col("forced").alias("fa")), "a").join(
         n.select(F.col("node").alias("b"), F.col("ordinal").alias("o2")), "b").where("o2 < o and not fa")
     earlier = stored(earlier.select("a", "b", "o", "o2"), "leader-edges")  # b is before a
-    named = stored(earlier.join(connected_components(earlier).withColumnRenamed("node", "a"), "a"), "leader-components")
-    size = stored(named.groupBy("component").agg(F.count("*").alias("k")), "leader-sizes")
     kind = dict(n.dtypes)["node"]
     ship_package(n.sparkSession)
+    if earlier.count() <= pass_edges:
+        one = earlier.withColumn("component", F.lit(0)).coalesce(1).sortWithinPartitions("o", "o2")
+        follows = one.select("component", "a", "b").mapInArrow(_passes, f"a {kind}, b {kind}")
+        return n.join(follows, n["node"] == follows["a"], "left").select("node", F.coalesce("b", "node").alias("leader"))
+    named = stored(earlier.join(connected_components(earlier).withColumnRenamed("node", "a"), "a"), "leader-components")
+    size = stored(named.groupBy("component").agg(F.count("*").alias("k")), "leader-sizes")
     few = named.join(size.where(F.col("k") <= pass_edges), "component", "left_semi").repartition("component").sortWithinPartitions("component", "o", "o2")
     follows = few.select("component", "a", "b").mapInArrow(_passes, f"a {kind}, b {kind}")
     large = size.where(F.col("k") > pass_edges)

@@ -45,58 +45,6 @@ def copies_of(rows: DataFrame, id_: str, bits: str) -> DataFrame:
     return rows.join(first, bits).select(F.col(id_).alias("id"), "first_id")
 
 
-#: Vectors of a part, of which a task compares two; parts of a key at least; rows of a matrix product.
-PART_ROWS, LEAST_PARTS, TILE = 8192, 6, 1024
-
-
-def near_vectors(rows: DataFrame, id_: str, vector: str, threshold: float, key: str | None = None, blocks: int = LEAST_PARTS) -> DataFrame:
-    """``left_id`` < ``right_id`` and ``similarity`` of vectors with a cosine of at least ``threshold``.
-
-    Exact. Rows of one ``key`` (all, where there is none) are dealt by a hash into parts of about ``PART_ROWS`` each (``blocks`` at least), so
-    their number grows with the rows of the commonest key; a task compares two parts, by matrix products. Zero and null
-    vectors match nothing, nor do those of different length. Lower bounds on cosines give no exact key to join on: the
-    work is that of all pairs of a key, so give a key where the data have one.
-    """
-    ship_package(rows.sparkSession)
-    u = rows.select(F.col(id_).alias("id"), unit(vector).alias("u"), (F.col(key).cast("string") if key else F.lit("")).alias("key")).where("u is not null and key is not null")
-    most = u.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(blocks, -(-most // PART_ROWS))
-    u = u.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    spread = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j"))))
-    dealt = u.withColumn("c", spread).select("key", F.size("u").alias("n"), "c.i", "c.j", "part", "id", "u")
-    kind = dict(u.dtypes)["id"]
-
-    def compare(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        ids, part = np.array(cell.column("id").to_pylist()), cell.column("part").to_numpy()
-        i, j, n = cell.column("i")[0].as_py(), cell.column("j")[0].as_py(), cell.column("n")[0].as_py()
-        m = cell.column("u").combine_chunks().flatten().to_numpy().reshape(-1, n)
-        own = np.flatnonzero(part == i)
-        other = own if i == j else np.flatnonzero(part == j)
-        left, right, similarity = [], [], []
-        for a in range(0, len(own), TILE):
-            for b in range(a if i == j else 0, len(other), TILE):
-                x, y = own[a : a + TILE], other[b : b + TILE]
-                s = m[x] @ m[y].T
-                p, q = np.nonzero(s >= threshold)
-                keep = ids[x[p]] != ids[y[q]]
-                if i == j and a == b:
-                    keep &= p < q
-                p, q = p[keep], q[keep]
-                one, two = ids[x[p]], ids[y[q]]
-                turned = one > two
-                left.append(np.where(turned, two, one))
-                right.append(np.where(turned, one, two))
-                similarity.append(s[p, q])
-        none = ids[:0]
-        of = cell.schema.field("id").type
-        return pa.table({
-            "left_id": pa.array(np.concatenate([none, *left]).tolist(), of), "right_id": pa.array(np.concatenate([none, *right]).tolist(), of),
-            "similarity": pa.array(np.concatenate([np.zeros(0), *similarity]))})
-
-    return dealt.groupBy("key", "n", "i", "j").applyInArrow(compare, f"left_id {kind}, right_id {kind}, similarity double")
-
-
 def nearest_reference(rows: DataFrame, references: DataFrame, id_: str, vector: str, ref_id: str, threshold: float, key: str | None = None) -> DataFrame:
     """C14: for each row the most similar reference, if at least ``threshold``; ties go to the smaller reference id.
 

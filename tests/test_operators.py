@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.media import halves, max_distance
+from tessella.operators import cosine as V
 from tessella.operators import duplicates as D
 from tessella.operators import faces as P
 from tessella.operators import places as N
@@ -19,7 +20,7 @@ from tessella.operators import relational as R
 from tessella.operators import search as S
 from tessella.operators import upserts as U
 from tessella.operators.graph import connected_components, leader_groups
-from tessella.operators.similarity import near_hashes, near_vectors, vector_search
+from tessella.operators.similarity import near_hashes, vector_search
 from tessella.sources import catalogue as C
 from tessella.streaming import catalogue as K
 
@@ -47,8 +48,8 @@ def test_components(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 120)] + [(200, 200)]
     nodes = {x for e in edges for x in e}
-    got = dict(rows(connected_components(spark.createDataFrame(edges, "a int, b int"))))
-    assert got == components_of(nodes, edges)
+    df = spark.createDataFrame(edges, "a int, b int")
+    assert dict(rows(connected_components(df))) == dict(rows(connected_components(df, small=1000))) == components_of(nodes, edges)
 
 
 def test_components_of_nothing(spark):
@@ -89,11 +90,47 @@ def test_near_hashes_finds_every_pair(spark):
     assert got == want and want
 
 
+def clustered(rng, n, clusters, width=16, wide=0.05):
+    """Vectors around a few directions, some of them copies, with odd rows."""
+    import numpy as np
+
+    to = rng.normal(size=(clusters, width))
+    v = to[rng.integers(0, clusters, n)] / np.sqrt(width) + wide * rng.normal(size=(n, width))
+    return [(i, int(i % 3), x.tolist()) for i, x in enumerate(v)] + [(n, 0, v[0].tolist()), (n + 1, 0, None), (n + 2, 0, [0.0] * width), (n + 3, 0, [1.0, 2.0]), (n + 4, 0, [1.0, 2.1]), (0, 0, v[1].tolist())]
+
+
+@pytest.mark.parametrize(("threshold", "key"), [(0.9, None), (0.5, None), (0.95, "k"), (-1.0, None)])
+def test_vectors_around_pivots_lose_no_pair(spark, monkeypatch, threshold, key):
+    import numpy as np
+
+    monkeypatch.setattr(V, "PART_ROWS", 40)
+    given = clustered(np.random.default_rng(3), 300, 9)
+    df = spark.createDataFrame(given, "id int, k int, v array<double>")
+    unit = [(i, k, np.array(v) / np.linalg.norm(v)) for i, k, v in given if v and any(v)]
+    want = sorted({(min(a, b), max(a, b)) for x, (a, k, u) in enumerate(unit) for b, l, w in unit[x + 1 :] if a != b and len(u) == len(w) and (not key or k == l) and u @ w >= threshold})
+    got = V.near_vectors(df, "id", "v", threshold, key)
+    assert sorted({(r["left_id"], r["right_id"]) for r in got.collect()}) == want
+    assert dict(rows(connected_components(V.vector_links(df, "id", "v", threshold, key), small=10**6))) == components_of({x for e in want for x in e}, want)
+
+
+def test_clusters_compare_fewer_than_all_pairs(spark, monkeypatch):
+    """The share of pairs that meet falls as clustered vectors grow; vectors without clusters meet all."""
+    import numpy as np
+
+    monkeypatch.setattr(V, "PART_ROWS", 50)
+    shares = []
+    for n in (500, 1000, 2000, 4000):
+        df = spark.createDataFrame(clustered(np.random.default_rng(4), n, n // 50, 32, 0.03), "id int, k int, v array<double>")
+        shares.append(V.compared(V.dealt(df, "id", "v", 0.9)) / (n * (n - 1) / 2))
+    print("share of pairs compared:", [round(s, 3) for s in shares])
+    assert shares[3] < shares[2] < shares[1] < 1 and shares[3] < 0.2
+
+
 def test_near_vectors_blocks_lose_no_pair(spark):
     rng = random.Random(1)
     data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(50)] + [(90, [0.0] * 4), (91, None)]
     df = spark.createDataFrame(data, "id int, v array<double>")
-    one, many = near_vectors(df, "id", "v", 0.8, blocks=1), near_vectors(df, "id", "v", 0.8, blocks=5)
+    one, many = V.near_vectors(df, "id", "v", 0.8, blocks=1), V.near_vectors(df, "id", "v", 0.8, blocks=5)
     assert [r[:2] for r in rows(one)] == [r[:2] for r in rows(many)] and one.count() > 10
 
 
