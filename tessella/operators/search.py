@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tessella.functions.vectors import cosine
 from tessella.operators.relational import cleaned, nested, with_all, with_any
 
+if TYPE_CHECKING:
+    from tessella.operators.text_index import StoredIndex
+
 #: BM25's constants as published, and the characters of a token.
 K1, B = 1.2, 0.75
 TOKEN = "[a-z0-9à-öø-ÿß]+"
@@ -22,6 +25,9 @@ class Index(NamedTuple):
     postings: DataFrame
     lengths: DataFrame
 
+    def matches(self, text: str) -> DataFrame:
+        return text_matches(self, text)
+
 
 def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
@@ -57,7 +63,7 @@ def text_matches(index: Index, text: str) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(part).alias("bm25"))
 
 
-def hybrid_search(items: DataFrame, faces: DataFrame, tags: DataFrame, index: Index, embeddings: DataFrame, *, query_vector: Sequence[float] | None = None,
+def hybrid_search(items: DataFrame, faces: DataFrame, tags: DataFrame, index: Index | StoredIndex, embeddings: DataFrame, *, query_vector: Sequence[float] | None = None,
                   query_text: str = "", persons: Sequence[str] = (), wanted_tags: Sequence[str] = (), media_type: str | None = None, camera: str | None = None,
                   date_from: str | None = None, date_to: str | None = None, limit: int = 50, offset: int = 0, by_score: bool = False) -> tuple[DataFrame, DataFrame]:
     """A page of the items that pass all filters, with persons and tags, and a one-row table with their number.
@@ -84,7 +90,7 @@ def hybrid_search(items: DataFrame, faces: DataFrame, tags: DataFrame, index: In
         found = found.join(embeddings, "media_id", "left").withColumn("score", F.bround(cosine("embedding", q), 4)).drop("embedding")
         order = [F.desc("score"), *recent]
     elif query_words(query_text):
-        found = found.join(text_matches(index, query_text).select(F.col("id").alias("media_id"), F.round("bm25", 6).alias("score")), "media_id")
+        found = found.join(index.matches(query_text).select(F.col("id").alias("media_id"), F.round("bm25", 6).alias("score")), "media_id")
         order = [F.desc("score"), *recent] if by_score else recent
     else:
         found, order = found.withColumn("score", F.lit(1.0)), recent

@@ -18,6 +18,7 @@ from tessella.operators import faces as P
 from tessella.operators import places as N
 from tessella.operators import relational as R
 from tessella.operators import search as S
+from tessella.operators import text_index as T
 from tessella.operators import upserts as U
 from tessella.operators.graph import connected_components, leader_groups
 from tessella.operators.similarity import near_hashes, vector_search
@@ -476,3 +477,62 @@ def test_far_points_and_dense_places(spark):
     assert all(got[i] == min((km(a, b, c, d), k) for c, d, k in places)[1] for i, a, b in points[::1000])
 
 
+
+
+def texts(rng, ids):
+    return [(i, " ".join(rng.choice(["alpha", "alps", "beta", "betas", "gamma", "x", "Älpen", "9"]) for _ in range(rng.randrange(0, 60)))) for i in ids]
+
+
+def bm25(spark, given, text):
+    df = spark.createDataFrame(given, "id int, text string")
+    return {r["id"]: round(r["bm25"], 9) for r in S.text_matches(S.text_index(df, "id", ["text"]), text).collect()}
+
+
+def test_a_stored_index_reads_the_files_of_its_words(spark, tmp_path):
+    given = texts(random.Random(1), range(300)) + [(900, None), (901, "")]
+    index = T.build_index(spark.createDataFrame(given, "id int, text string"), "id", ["text"], str(tmp_path / "i"))
+    for text in ("alpha be", "a", "x9 ga älp zz"):
+        assert {r["id"]: round(r["bm25"], 9) for r in index.matches(text).collect()} == bm25(spark, given, text)
+    plan = index.matches("alpha be")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "lead" in plan.split("PartitionFilters")[1][:80] and "StringStartsWith(term,alpha)" in plan
+    read = T.word_blocks(index, ["alpha", "be"]).inputFiles()
+    assert set(f.split("lead=")[1][0] for f in T.word_blocks(index, ["alpha"]).where("lead = 'a'").inputFiles()) <= set("abgxÄä9") and read
+    assert {r["term"]: r["df"] for r in index.table("terms").collect()} == {r["term"]: r["df"] for r in index.terms().collect()}
+    with pytest.raises(ValueError, match="unique"):
+        T.build_index(spark.createDataFrame([(1, "a"), (1, "b")], "id int, text string"), "id", ["text"], str(tmp_path / "j"))
+    nothing = T.build_index(spark.createDataFrame([], "id int, text string"), "id", ["text"], str(tmp_path / "k"))
+    assert nothing.matches("alpha").collect() == [] == T.top_matches(nothing, "alpha", 3).collect()
+
+
+def test_appended_documents_are_found_and_replace_old_ones(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    old, new, third = texts(rng, range(120)), texts(rng, range(100, 160)), texts(rng, range(500, 510))
+    frame = lambda x: spark.createDataFrame(x, "id int, text string")
+    index = T.build_index(frame(old), "id", ["text"], str(tmp_path / "i"))
+    two = T.append_documents(index, frame(new), "id", ["text"])
+    three = T.append_documents(two, frame(third), "id", ["text"])
+    one = T.merge_segments(three)
+    now = list((dict(old) | dict(new) | dict(third)).items())
+    for text in ("alpha be",):
+        want = bm25(spark, now, text)
+        for version in (three, one, T.open_index(spark, str(tmp_path / "i"))):
+            assert {r["id"]: round(r["bm25"], 9) for r in version.matches(text).collect()} == want
+        assert {r["id"]: round(r["bm25"], 9) for r in index.matches(text).collect()} == bm25(spark, old, text)  # as it was
+    assert len(one.segments) == 1 and one.documents == len(now) and {tuple(r) for r in one.terms().collect()} == {tuple(r) for r in three.terms().collect()}
+    # a segment that was written but never published is no part of the index, and in nobody's way
+    with monkeypatch.context() as m:
+        m.setattr(T, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            T.append_documents(one, frame(texts(rng, range(700, 710))), "id", ["text"])
+    assert T.open_index(spark, str(tmp_path / "i")).version == one.version
+    assert T.append_documents(one, frame([(800, "alpha")]), "id", ["text"]).documents == len(now) + 1
+
+
+def test_top_matches_equal_all_matches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 8)
+    monkeypatch.setattr(T, "FIRST", 2)
+    given = texts(random.Random(3), range(250))
+    index = T.append_documents(T.build_index(spark.createDataFrame(given[:200], "id int, text string"), "id", ["text"], str(tmp_path / "i")), spark.createDataFrame(given[150:], "id int, text string"), "id", ["text"])
+    want = sorted(bm25(spark, given, "alpha be").items(), key=lambda x: (-x[1], x[0]))
+    for k in (1, 10, 1000):
+        assert [(r["id"], round(r["bm25"], 9)) for r in T.top_matches(index, "alpha be", k).collect()] == want[:k]
