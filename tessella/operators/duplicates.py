@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessella.functions.media import halves, hamming, max_distance
 from tessella.functions.paths import basename, dirname
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
-from tessella.operators.relational import numbered, ranked, window_pairs
-from tessella.operators.similarity import near_hashes
+from tessella.operators.hamming import near_hashes, time_links
+from tessella.operators.relational import numbered, ranked
 from tessella.scratch import ship_package, stored
 
 
@@ -149,17 +149,7 @@ def duplicate_sets(rows: DataFrame, window: int, distance: int) -> DataFrame:
     """``id``, ``group_id`` of rows (id, at, hi, lo) that chains of pairs connect which are at most ``window``
     seconds apart and differ in at most ``distance`` bits; sets of two and more, numbered by their earliest row."""
     r = rows.where("at is not null and hi is not null and lo is not null")
-    # hashes within the distance agree on one of distance + 1 bands; rows with one time and hash follow the first of them
-    same = r.withColumn("first", F.min("id").over(Window.partitionBy("at", "hi", "lo")))
-    alone = same.where("id = first")
-    whole = F.shiftleft(F.col("hi").cast("long"), 32).bitwiseOR(F.col("lo").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    edges = [64 * k // (distance + 1) for k in range(distance + 2)]
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(whole, a).bitwiseAND(F.lit((1 << min(b - a, 63)) - 1)).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    banded = alone.select("id", "at", "hi", "lo", F.explode(bands).alias("band"))
-    pairs = window_pairs(banded, ["band"], "at", "id", window, carry=["hi", "lo"])
-    far = F.bit_count(F.col("l_hi").bitwiseXOR(F.col("r_hi"))) + F.bit_count(F.col("l_lo").bitwiseXOR(F.col("r_lo")))
-    close = pairs.where(far <= distance).select("left_id", "right_id").union(same.where("id <> first").select("first", "id"))
-    parts = connected_components(close, "left_id", "right_id", small=PASS_EDGES)
+    parts = connected_components(time_links(r, window, distance), small=PASS_EDGES)
     named = r.select("id", "at").join(parts, F.col("id") == F.col("node"))
     groups = named.groupBy("component").agg(F.min(F.struct("at", "id")).alias("f")).select("component", "f.at", F.col("f.id").alias("first"))
     return named.select("id", "component").join(numbered(groups, ["at", "first"], "dup_group_").select("component", "group_id"), "component").select("id", "group_id")

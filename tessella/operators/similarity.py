@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.media import hamming, max_distance
 from tessella.functions.vectors import dot, unit
 from tessella.scratch import ship_package
 
@@ -15,30 +14,6 @@ from tessella.scratch import ship_package
 BROADCAST_ROWS = 100_000
 
 
-def near_hashes(rows: DataFrame, id_: str, bits: str, similarity: float) -> DataFrame:
-    """``left_id`` < ``right_id`` and ``distance`` of distinct signatures that differ in at most
-    floor((1 - similarity) * 64) bits.
-
-    ``bits`` holds 64 numbers 0 or 1. Equal signatures are one node: the pair of ids is that of their smallest ids,
-    so a group of copies never makes all its pairs; ``copies_of`` gives the rest. The bits are cut into one band more
-    than may differ; close signatures agree on a band, and a pair is made from the first such band only.
-    """
-    d = max_distance(similarity)
-    n = d + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    from tessella.functions.media import halves
-
-    distinct = rows.where(F.size(bits) == 64).groupBy(F.col(bits).alias("__bits")).agg(F.min(id_).alias("id"))
-    band = [F.xxhash64(F.slice("__bits", a + 1, b - a)) for a, b in zip(edges, edges[1:], strict=False)]
-    whole = distinct.select("id", halves("__bits").alias("h"), F.array(*band).alias("bands"))
-    banded = whole.select("id", "h", "bands", F.posexplode("bands").alias("k", "v"))
-    l, r = banded.alias("l"), banded.alias("r")
-    distance = hamming(F.col("l.h"), F.col("r.h"))
-    first = F.array_position(F.zip_with("l.bands", "r.bands", lambda x, y: x == y), True) == F.col("l.k") + 1
-    pairs = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.v") == F.col("r.v")) & (F.col("l.id") < F.col("r.id")))
-    return pairs.where(first & (distance <= d)).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), distance.alias("distance"))
-
-
 def copies_of(rows: DataFrame, id_: str, bits: str) -> DataFrame:
     """``id`` and ``first_id``, the smallest id with the same signature."""
     first = rows.where(F.size(bits) == 64).groupBy(bits).agg(F.min(id_).alias("first_id"))

@@ -9,7 +9,8 @@ from tessella.operators import duplicates as D
 from tessella.operators import faces as P
 from tessella.operators import search as S
 from tessella.operators import text_index as T
-from tessella.operators.similarity import near_hashes, vector_search
+from tessella.operators.hamming import near_hashes
+from tessella.operators.similarity import vector_search
 from tessella.plans.aggregates import CHAIN, EXACT
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
 from tessella.scratch import new_path

@@ -15,13 +15,15 @@ from tessella.functions.media import halves, max_distance
 from tessella.operators import cosine as V
 from tessella.operators import duplicates as D
 from tessella.operators import faces as P
+from tessella.operators import hamming as H
 from tessella.operators import places as N
 from tessella.operators import relational as R
 from tessella.operators import search as S
 from tessella.operators import text_index as T
 from tessella.operators import upserts as U
 from tessella.operators.graph import connected_components, leader_groups
-from tessella.operators.similarity import near_hashes, vector_search
+from tessella.operators.hamming import near_hashes
+from tessella.operators.similarity import vector_search
 from tessella.sources import catalogue as C
 from tessella.streaming import catalogue as K
 
@@ -72,12 +74,14 @@ def test_leaders_equal_the_greedy_pass(spark, seed):
     assert dict(rows(leader_groups(nodes, spark.createDataFrame(list(edges) or [(0, 0)], "a int, b int")))) == leader
 
 
-def test_near_hashes_finds_every_pair(spark):
+@pytest.mark.parametrize(("blocks", "part", "similarity"), [(None, 8192, 0.9), (0, 20, 0.9), (1, 8192, 0.9), (2, 8192, 0.9), (3, 3, 0.9), (2, 2, 0.95), (1, 20, 0.70), (None, 8192, 1.0)])
+def test_near_hashes_finds_every_pair(spark, monkeypatch, blocks, part, similarity):
+    monkeypatch.setattr(H, "PART", part)
     rng = random.Random(5)
     base = [[rng.randrange(2) for _ in range(64)] for _ in range(12)]
     data = [(i, [b ^ (rng.random() < 0.06) for b in base[i % 12]]) for i in range(60)] + [(100, base[0]), (101, base[0]), (102, [1])]
     data = [(i, [int(x) for x in b]) for i, b in data]
-    got = {(a, b): d for a, b, d in rows(near_hashes(spark.createDataFrame(data, "id int, bits array<int>"), "id", "bits", 0.90))}
+    got = {(a, b): d for a, b, d in rows(near_hashes(spark.createDataFrame(data, "id int, bits array<int>"), "id", "bits", similarity, blocks))}
     first = {}
     for i, b in data:
         if len(b) == 64:
@@ -86,9 +90,29 @@ def test_near_hashes_finds_every_pair(spark):
     for x, i in first.items():
         for y, j in first.items():
             d = sum(p != q for p, q in zip(x, y, strict=True))
-            if i < j and d <= 6:
+            if i < j and d <= max_distance(similarity):
                 want[i, j] = d
-    assert got == want and want
+    assert got == want and (want or similarity > 0.95)
+
+
+def test_keys_follow_the_rows_and_the_distance():
+    """Rows that a row meets at similarities of 0.90 and 0.70, with the keys that are chosen."""
+    for n in (2_000, 1_000_000, 100_000_000):
+        figures = {d: (H.scheme(n, d), H.candidates(n, d, H.scheme(n, d))) for d in (6, 19)}
+        print(f"{n} rows: blocks of a key, rows met at 0.90 {figures[6]}, at 0.70 {figures[19]}")
+        assert figures[6][1] <= max(2_000, n / 50) and figures[19][1] <= n
+    assert H.scheme(2_000, 6) == 0 and H.scheme(100_000_000, 6) >= 2
+
+
+@pytest.mark.parametrize(("part", "seconds"), [(8192, 60), (15, 60), (15, 5), (4, 300)])
+def test_sweeps_link_what_chains_of_pairs_connect(spark, monkeypatch, part, seconds):
+    monkeypatch.setattr(H, "PART", part)
+    rng = random.Random(11)
+    data = [(i, rng.randrange(2000) if i % 3 else 700, rng.randrange(16), rng.randrange(64)) for i in range(200)] + [(900, None, 1, 1), (901, 5, None, 1)]
+    real = [x for x in data if None not in x]
+    edges = [(a[0], b[0]) for k, a in enumerate(real) for b in real[k + 1 :] if abs(a[1] - b[1]) <= seconds and bin(a[2] ^ b[2]).count("1") + bin(a[3] ^ b[3]).count("1") <= 2]
+    links = H.time_links(spark.createDataFrame(data, "id long, at long, hi long, lo long"), seconds, 2)
+    assert dict(rows(connected_components(links, small=10**6))) == components_of({x for e in edges for x in e}, edges)
 
 
 def clustered(rng, n, clusters, width=16, wide=0.05):
