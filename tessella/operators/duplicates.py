@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from tessella.functions.paths import basename, dirname
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.hamming import near_hashes, time_links
 from tessella.operators.relational import numbered, ranked
+from tessella.operators.scan import anchored_bursts
 from tessella.scratch import ship_package, stored
 
 
@@ -53,35 +51,6 @@ def visual_members(files: DataFrame, similarity: float) -> DataFrame:
         "similarity", F.min("own_similarity").over(Window.partitionBy("group_id"))).drop("node", "anchor_bits", "anchor")
 
 
-def anchored_bursts(files: DataFrame, window: float, similarity: float) -> DataFrame:
-    """``series`` for rows (folder, at, file_path, hi, lo): a row joins the running series where it is
-    within ``window`` seconds of the series' first row and close to it, else it begins one.
-
-    A gap over the window always ends a series, so rows are first split at gaps; each stretch is folded in order by
-    the task that has it, in a sorted stream that holds one series at a time.
-    """
-    ship_package(files.sparkSession)
-    far = max_distance(similarity)
-    w = Window.partitionBy("folder").orderBy("at", "file_path")
-    cut = files.withColumn("__new", F.coalesce((F.col("at") - F.lag("at").over(w) > window).cast("int"), F.lit(1)))
-    cut = cut.withColumn("__i", F.sum("__new").over(w)).select("folder", "__i", "at", "file_path", "hi", "lo")
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch, anchor, series = None, None, 0
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("folder", "__i", "at", "file_path", "hi", "lo")]
-            names = []
-            for folder, i, at, path, hi, lo in zip(*cols, strict=True):
-                if (folder, i) != stretch or at - anchor[0] > window or int(hi ^ anchor[1]).bit_count() + int(lo ^ anchor[2]).bit_count() > far:
-                    stretch, anchor, series = (folder, i), (at, hi, lo), path
-                names.append(series)
-            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array(names, pa.string())], names=["file_path", "series"])
-
-    rows = cut.repartition(n, "folder", "__i").sortWithinPartitions("folder", "__i", "at", "file_path")
-    return rows.mapInArrow(fold, "file_path string, series string")
-
-
 def burst_members(files: DataFrame, window: float, similarity: float, strategy: str) -> DataFrame:
     """Members of anchored bursts of two and more, with the similarity of each to the group's primary."""
     f = files.where((F.size("bits") == 64) & (F.col("at") > 0)).withColumns({"folder": dirname("file_path"), "h": halves("bits")})
@@ -117,25 +86,6 @@ def duplicate_report(files: DataFrame, mode: str = "all", similarity: float = 0.
     return groups.orderBy(F.desc("reclaimable_bytes"), "group_id")
 
 
-def chain_bursts(rows: DataFrame, gap: float, similarity: float | None = None, pattern: str | None = None) -> DataFrame:
-    """Rows (folder, at, id, hi, lo, name) with ``burst``, the id of the first of their chain, and
-    ``burst_size``. A row continues the chain of the one before it in its folder where it is at most ``gap`` seconds
-    later and both names match ``pattern`` or their hashes are similar; without both, the gap alone decides.
-    """
-    w = Window.partitionBy("folder").orderBy("at", "id")
-    near = F.col("at") - F.lag("at").over(w) <= gap
-    alike = F.lit(similarity is None and pattern is None)
-    if similarity is not None:
-        distance = F.bit_count(F.col("hi").bitwiseXOR(F.lag("hi").over(w))) + F.bit_count(F.col("lo").bitwiseXOR(F.lag("lo").over(w)))
-        alike = alike | ((64 - distance) / 64.0 >= similarity)
-    if pattern is not None:
-        named = F.lower(F.col("name")).rlike(pattern)
-        alike = alike | (named & F.lower(F.lag("name").over(w)).rlike(pattern))
-    r = rows.withColumn("__new", (~F.coalesce(near & alike, F.lit(False))).cast("int")).withColumn("__i", F.sum("__new").over(w))
-    first = r.groupBy("folder", "__i").agg(F.min(F.struct("at", "id")).alias("f"), F.count("*").alias("burst_size"))
-    return r.join(first, ["folder", "__i"]).withColumn("burst", F.col("f.id")).drop("__new", "__i", "f")
-
-
 def propagated(rows: DataFrame, id_: str = "id", metadata: str = "summary") -> DataFrame:
     """Rows of ``chain_bursts`` with the metadata of their first row, and marks on the others."""
     primary = rows.where(F.col(id_) == F.col("burst")).select(F.col(id_).alias("burst"), F.col(metadata).alias("__m"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessella.functions.paths import basename
 from tessella.functions.times import frame_second
 from tessella.operators import relational as R
-from tessella.operators.duplicates import anchored_bursts, chain_bursts, exact_members, group_rows
+from tessella.operators.duplicates import exact_members, group_rows
 from tessella.operators.faces import cluster_summary, known_persons
+from tessella.operators.scan import anchored_bursts, chain_bursts
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -10,6 +10,7 @@ from tessella.operators import faces as P
 from tessella.operators import search as S
 from tessella.operators import text_index as T
 from tessella.operators.hamming import near_hashes
+from tessella.operators.scan import chain_bursts
 from tessella.operators.similarity import vector_search
 from tessella.plans.aggregates import CHAIN, EXACT
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
@@ -138,7 +139,7 @@ def sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("I12", f"{CHAIN} SELECT burst, burst_size FROM b WHERE id = burst AND burst_size > 1")
 def chain_groups(spark: SparkSession, d: str) -> DataFrame:
-    b = D.chain_bursts(captures(spark, d), 3600, similarity=0.95)
+    b = chain_bursts(captures(spark, d), 3600, similarity=0.95)
     return b.where("id = burst and burst_size > 1").select("burst", "burst_size")
 
 
@@ -156,7 +157,7 @@ def report(spark: SparkSession, d: str) -> DataFrame:
 @query("I15", f"""{CHAIN} SELECT b.id, p.name AS summary, b.id <> b.burst AS is_burst_duplicate, CASE WHEN b.id <> b.burst THEN b.burst END AS burst_primary,
   CASE WHEN b.id <> b.burst THEN b.burst_size END AS similar_files_count FROM b JOIN captures p ON p.id = b.burst""")
 def propagation(spark: SparkSession, d: str) -> DataFrame:
-    b = D.chain_bursts(captures(spark, d), 3600, similarity=0.95).withColumn("summary", F.col("name"))
+    b = chain_bursts(captures(spark, d), 3600, similarity=0.95).withColumn("summary", F.col("name"))
     return D.propagated(b).select("id", "summary", "is_burst_duplicate", "burst_primary", "similar_files_count")
 
 

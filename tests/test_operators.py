@@ -18,6 +18,7 @@ from tessella.operators import faces as P
 from tessella.operators import hamming as H
 from tessella.operators import places as N
 from tessella.operators import relational as R
+from tessella.operators import scan as Q
 from tessella.operators import search as S
 from tessella.operators import text_index as T
 from tessella.operators import upserts as U
@@ -199,7 +200,7 @@ def test_anchored_bursts_equal_the_loop(spark, seed):
                 anchor = (path, t, bits)
             want[path] = anchor[0]
     df = spark.createDataFrame(data, FILES).withColumn("h", halves("bits")).select(F.substring("file_path", 2, 1).alias("folder"), "at", "file_path", "h.hi", "h.lo")
-    assert dict(rows(D.anchored_bursts(df, 3.0, 0.85))) == want
+    assert dict(rows(Q.anchored_bursts(df, 3.0, 0.85))) == want
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -253,7 +254,7 @@ def test_duplicate_sets(spark):
 
 def test_chain_and_propagation(spark):
     data = [("f", 100, "a", 0, 0, "burst_1.jpg", "text"), ("f", 102, "b", 2**32 - 1, 0, "BURST_2.jpg", None), ("f", 104, "c", 0, 0, "other.jpg", "own"), ("g", 103, "d", 0, 0, "burst_9.jpg", None)]
-    b = D.chain_bursts(spark.createDataFrame(data, "folder string, at long, id string, hi long, lo long, name string, summary string"), 5, 0.8, "burst|series")
+    b = Q.chain_bursts(spark.createDataFrame(data, "folder string, at long, id string, hi long, lo long, name string, summary string"), 5, 0.8, "burst|series")
     got = {r["id"]: (r["summary"], r["burst_primary"], r["similar_files_count"]) for r in D.propagated(b).collect()}
     assert got == {"a": ("text", None, None), "b": ("text", "a", 2), "c": ("own", None, None), "d": (None, None, None)}
 
@@ -560,3 +561,56 @@ def test_top_matches_equal_all_matches(spark, tmp_path, monkeypatch):
     want = sorted(bm25(spark, given, "alpha be").items(), key=lambda x: (-x[1], x[0]))
     for k in (1, 10, 1000):
         assert [(r["id"], round(r["bm25"], 9)) for r in T.top_matches(index, "alpha be", k).collect()] == want[:k]
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def photos(rng, n, step, folders="aaab"):
+    """Photos in order of time, nearly all in one folder; hashes change now and then."""
+    at, hash_, out = 0.0, (0, 0), []
+    for i in range(n):
+        at += rng.choice(step)
+        if rng.random() < 0.2:
+            hash_ = (rng.getrandbits(32), rng.getrandbits(32))
+        out.append((rng.choice(folders), at, f"p{i:05d}", hash_[0] ^ rng.getrandbits(2), hash_[1], rng.choice(["burst_1", "IMG"])))
+    return out
+
+
+@pytest.mark.parametrize(("step", "similarity", "pattern"), [([0, 1, 2], 0.9, None), ([0.5], None, None), ([1, 9], 0.8, "burst"), ([1], 0.0, None), ([1, 2], None, "burst"), ([0, 1, 6], 1.0, None)])
+def test_chains_go_on_over_ranges(spark, many_ranges, step, similarity, pattern):
+    data = photos(random.Random(13), 700, step) + [(None, 1.0, "n1", 0, 0, "x"), (None, 1.5, "n2", 0, 0, "burst"), ("a", None, "n3", None, None, None), ("a", None, "n4", 1, 1, None)]
+    want, size = {}, {}
+    for folder in ("a", "b", None):
+        before, start = None, None
+        for f, at, i, hi, lo, name in sorted((x for x in data if x[0] == folder), key=lambda x: (x[1] is not None, x[1], x[2])):
+            on = before is not None and None not in (at, before[1]) and at - before[1] <= 5 and folder is not None
+            if on and (similarity is not None or pattern):
+                alike = similarity is not None and None not in (hi, before[3]) and (64 - bin(hi ^ before[3]).count("1") - bin(lo ^ before[4]).count("1")) / 64 >= similarity
+                on = alike or bool(pattern and pattern in (name or "") and pattern in (before[5] or ""))
+            start = start if on else i
+            want[i], before = start, (f, at, i, hi, lo, name)
+            size[start] = size.get(start, 0) + 1
+    df = spark.createDataFrame(data, "folder string, at double, id string, hi long, lo long, name string").where("folder is not null")
+    got = {r["id"]: (r["burst"], r["burst_size"]) for r in Q.chain_bursts(df, 5, similarity, pattern).collect()}
+    assert got == {i: (b, size[b]) for i, b in want.items() if i not in ("n1", "n2")}
+
+
+@pytest.mark.parametrize(("step", "window"), [([0, 1, 2], 3.0), ([0.5], 20.0), ([0.25, 1], 1000.0), ([5], 3.0)])
+def test_series_go_on_over_ranges(spark, many_ranges, step, window):
+    data = photos(random.Random(14), 700, step)
+    want = {}
+    for folder in "ab":
+        anchor = None
+        for _, at, path, hi, lo, _ in sorted((x for x in data if x[0] == folder), key=lambda x: (x[1], x[2])):
+            if anchor is None or at - anchor[0] > window or bin(hi ^ anchor[1]).count("1") + bin(lo ^ anchor[2]).count("1") > 6:
+                anchor = (at, hi, lo, path)
+            want[path] = anchor[3]
+    df = spark.createDataFrame([x[:5] for x in data], "folder string, at double, file_path string, hi long, lo long")
+    assert dict(rows(Q.anchored_bursts(df, window, 0.9))) == want
