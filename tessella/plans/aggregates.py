@@ -116,7 +116,11 @@ def chains(spark: SparkSession, d: str) -> DataFrame:
     return chain_bursts(captures(spark, d), 3600, similarity=0.95).select("id", "burst", "burst_size")
 
 
-@query("E3")
+@query("E3", f"""WITH RECURSIVE {CAPTURES}, o AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY sec, id::VARCHAR) AS rn FROM captures),
+starts AS (SELECT folder, rn, sec, hi, lo, id FROM o WHERE rn = 1 UNION ALL
+  SELECT c.folder, min(c.rn), arg_min(c.sec, c.rn), arg_min(c.hi, c.rn), arg_min(c.lo, c.rn), arg_min(c.id, c.rn) FROM starts a JOIN o c ON c.folder = a.folder AND c.rn > a.rn
+    AND (c.sec - a.sec > 7200 OR bit_count(xor(c.hi, a.hi)) + bit_count(xor(c.lo, a.lo)) > 6) GROUP BY c.folder)
+SELECT o.id::VARCHAR AS file_path, arg_max(a.id, a.rn)::VARCHAR AS series FROM o JOIN starts a ON a.folder = o.folder AND a.rn <= o.rn GROUP BY o.id""")
 def anchored(spark: SparkSession, d: str) -> DataFrame:
     c = captures(spark, d).select(F.col("folder").cast("string").alias("folder"), F.col("at").cast("double").alias("at"), F.col("id").cast("string").alias("file_path"), "hi", "lo")
     return anchored_bursts(c, 7200, 0.90)

@@ -140,16 +140,21 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return K.finished(out, new_path(spark, "stream-out"), new_path(spark, "stream-state"))
 
 
-@query("K3")
+@query("K3", """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 3600000000, true) AS fresh FROM e),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM g)
+SELECT user_id, min(t) AS burst_start, max(t) + 3600000000 AS burst_end, count(*) AS n FROM s GROUP BY user_id, i HAVING max(t) + 3600000000 <= (SELECT max(t) // 1000 * 1000 - 600000000 FROM e)""")
 def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
     out = K.bursts(_stream(spark, d), "ts", "user_id", "1 hour", "10 minutes")
-    return K.finished(out, new_path(spark, "stream-out"), new_path(spark, "stream-state"))
+    done = K.finished(out, new_path(spark, "stream-out"), new_path(spark, "stream-state"))
+    return done.select("user_id", F.unix_micros("burst_start").alias("burst_start"), F.unix_micros("burst_end").alias("burst_end"), "n")
 
 
-@query("K4")
+@query("K4", """WITH e AS (SELECT epoch_us(ts) AS t FROM events)
+SELECT t // 60000000 * 60000000 AS window_start, count(*) AS n, count(*) > 1 AS over_limit FROM e GROUP BY 1 HAVING window_start + 60000000 <= (SELECT max(t) // 1000 * 1000 - 600000000 FROM e)""")
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     out = K.rates(_stream(spark, d), "ts", "10 minutes", 1)
-    return K.finished(out, new_path(spark, "stream-out"), new_path(spark, "stream-state"))
+    done = K.finished(out, new_path(spark, "stream-out"), new_path(spark, "stream-state"))
+    return done.select(F.unix_micros("window_start").alias("window_start"), "n", "over_limit")
 
 
 @query("K5", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -288,11 +288,12 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.octet_length("blob").alias("n_bytes"), (from_blob("blob") == F.col("embedding").cast("array<float>")).alias("same"))
 
 
-@query("H18", "SELECT doc_id, CASE WHEN strlen(text) <= 4000 THEN md5(text) END AS small, strlen(text) > 4000 AS large FROM documents")
+@query("H18", """SELECT doc_id, CASE WHEN n <= 4000 THEN md5(text) ELSE
+  md5(encode('size:' || n) || unhex(x[1:1024]) || unhex(x[2 * (n // 2 - 256) + 1:2 * (n // 2 - 256) + 1024]) || unhex(x[2 * n - 1023:])) END AS fingerprint
+FROM (SELECT doc_id, text, strlen(text) AS n, hex(text) AS x FROM documents)""")
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    n = F.octet_length("text")
-    f = M.fingerprint(F.col("text").cast("binary"), n, whole=4000, part=512)
-    return read(spark, d, "documents").select("doc_id", F.when(n <= 4000, f).alias("small"), ((n > 4000) & f.isNotNull()).alias("large"))
+    f = M.fingerprint(F.col("text").cast("binary"), F.octet_length("text"), whole=4000, part=512)
+    return read(spark, d, "documents").select("doc_id", f.alias("fingerprint"))
 
 
 @query("H19", """SELECT doc_id, 'scene' AS category, lang AS tag, 1.0::DOUBLE AS confidence FROM documents

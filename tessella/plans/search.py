@@ -80,6 +80,40 @@ def best_text_matches(spark: SparkSession, d: str) -> DataFrame:
     return T.top_matches(_index(spark, d), "idiot Thre a", 50).select("id", F.round("bm25", 4).alias("bm25"))
 
 
+#: The files of ``_files``, with the signature as text, and greedy groups: nodes in order of k, each with its earlier
+#: neighbours; the rounds carry the list of leaders.
+_PHOTOS = f"""{FACES}, photos AS (SELECT '/p/' || face_id || '.jpg' AS file_path, face_id AS ordinal, face_id * 10 AS file_size, md5((face_id % 450)::VARCHAR) AS content_hash, (face_id // 5)::DOUBLE AS t,
+  array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM faces)"""
+_GREEDY = """r(k, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT r.k + 1, CASE WHEN list_has_any(n.near, r.leaders) THEN r.leaders ELSE list_append(r.leaders, n.node) END FROM r JOIN nodes n ON n.k = r.k + 1),
+led AS (SELECT leaders FROM r ORDER BY k DESC LIMIT 1)"""
+
+
+def _visual(files: str) -> str:
+    """Members of the visual groups of a table at a similarity of 0.70."""
+    return f"""sig AS (SELECT s, min(ordinal) AS node FROM {files} GROUP BY s),
+pairs AS (SELECT a.node, list(b.node) AS near FROM sig a JOIN sig b ON b.node < a.node AND hamming(a.s, b.s) <= 19 GROUP BY a.node),
+nodes AS (SELECT node, coalesce(near, []) AS near, row_number() OVER (ORDER BY node) AS k FROM sig LEFT JOIN pairs USING (node)), {_GREEDY},
+anchored AS (SELECT node, coalesce(list_min(list_intersect(near, leaders)), node) AS anchor FROM nodes, led),
+named AS (SELECT f.*, anchor, count(*) OVER (PARTITION BY anchor) AS n, round_even(1 - hamming(f.s, b.s) / 64.0::DOUBLE, 3) AS own_similarity
+  FROM {files} f JOIN sig USING (s) JOIN anchored USING (node) JOIN sig b ON b.node = anchor),
+visual AS (SELECT *, 'visual_' || anchor AS group_id, min(own_similarity) OVER (PARTITION BY anchor) AS similarity FROM named WHERE n > 1)"""
+
+
+def _series(far: int) -> str:
+    """Groups of the anchored bursts of all photos."""
+    return f"""o AS (SELECT *, row_number() OVER (ORDER BY t, file_path) AS rn FROM photos WHERE t > 0),
+starts AS (SELECT rn, t, s, file_path FROM o WHERE rn = 1 UNION ALL
+  SELECT min(c.rn), arg_min(c.t, c.rn), arg_min(c.s, c.rn), arg_min(c.file_path, c.rn) FROM starts a JOIN o c ON c.rn > a.rn AND (c.t - a.t > 3 OR hamming(c.s, a.s) > {far}) HAVING min(c.rn) IS NOT NULL),
+m AS (SELECT o.file_path, o.s, o.file_size, arg_max(a.rn, a.rn) AS g FROM o JOIN starts a ON a.rn <= o.rn GROUP BY ALL),
+p AS (SELECT g, arg_max(file_path, file_size) AS "primary", arg_max(s, file_size) AS ps, count(*) AS n FROM m GROUP BY g HAVING count(*) > 1),
+burst AS (SELECT 'burst_' || regexp_extract(any_value("primary"), '([0-9]+)[.]', 1) AS group_id, 'burst' AS kind, any_value("primary") AS "primary", count(*) AS n_members,
+  string_agg(file_path, ',' ORDER BY file_size DESC) AS members, min(round_even(1 - hamming(s, ps) / 64.0::DOUBLE, 2)) AS similarity, 0::BIGINT AS reclaimable_bytes FROM m JOIN p USING (g) GROUP BY g)"""
+
+
+_GROUP = """arg_max(file_path, file_size) AS "primary", count(*) AS n_members, string_agg(file_path, ',' ORDER BY file_size DESC) AS members"""
+
+
 @query("I5", f"""WITH {FACES}, b AS (SELECT min(face_id) AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM faces GROUP BY s)
 SELECT l.id AS left_id, r.id AS right_id, hamming(l.s, r.s) AS distance FROM b l JOIN b r ON l.id < r.id WHERE hamming(l.s, r.s) <= 16""")
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +127,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
                     F.floor(F.col("face_id") / 5).cast("double").alias("at"), F.lit(100).alias("width"), (F.col("face_id") % 7).cast("int").alias("height"), (F.col("face_id") * 10).alias("file_size"), (F.col("face_id") * 1.0).alias("mtime"), F.lit("photo").alias("media_type"))
 
 
-@query("I6")
+@query("I6", f"WITH RECURSIVE {_PHOTOS}, {_visual('photos')} SELECT group_id, file_path, own_similarity, similarity FROM visual")
 def visual_groups(spark: SparkSession, d: str) -> DataFrame:
     return D.visual_members(_files(spark, d), 0.70).select("group_id", "file_path", "own_similarity", "similarity")
 
@@ -110,12 +144,27 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return P.cluster_summary(f.join(P.face_components(f, 0.42), "face_id"), "cluster")
 
 
-@query("I8")
+@query("I8", f"""WITH RECURSIVE {FACES}, e AS (SELECT a.face_id AS node, list(b.face_id) AS near FROM faces a JOIN faces b ON b.face_id > a.face_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35 GROUP BY 1),
+nodes AS (SELECT face_id AS node, coalesce(near, []) AS near, row_number() OVER (ORDER BY face_id DESC) AS k FROM faces LEFT JOIN e ON node = face_id), {_GREEDY}
+SELECT node AS face_id, coalesce(list_max(list_intersect(near, leaders)), node) AS leader FROM nodes, led""")
 def leaders(spark: SparkSession, d: str) -> DataFrame:
     return P.face_groups(faces(spark, d), 0.35)
 
 
-@query("I9")
+@query("I9", f"""WITH RECURSIVE {FACES}, x AS (SELECT *, confidence >= 0.6 AS sure FROM faces WHERE NOT is_reference),
+h AS (SELECT x.face_id AS node, g.face_id AS ref, g.face_id % 2 = 0 AS is_ref, list_cosine_similarity(x.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS sim FROM x JOIN faces g ON g.is_reference WHERE sure AND sim >= 0.35),
+by_ref AS (SELECT node, arg_max(ref, (sim, -ref)) AS ref FROM h WHERE is_ref GROUP BY node),
+rest AS (SELECT * FROM x WHERE face_id NOT IN (SELECT node FROM by_ref)),
+old AS (SELECT node, arg_max(ref, (sim, -ref)) AS ref, max(sim) AS sim FROM h WHERE NOT is_ref AND node IN (SELECT face_id FROM rest) GROUP BY node),
+e AS (SELECT a.face_id AS node, b.face_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM rest a JOIN rest b ON b.face_id < a.face_id WHERE sim >= 0.35),
+ne AS (SELECT node, list(other) AS near FROM e GROUP BY node),
+nodes AS (SELECT r.face_id AS node, CASE WHEN sure THEN coalesce(near, []) ELSE [] END AS near, row_number() OVER (ORDER BY r.face_id) AS k
+  FROM rest r LEFT JOIN ne ON ne.node = r.face_id WHERE r.face_id NOT IN (SELECT node FROM old)), {_GREEDY},
+new AS (SELECT node, 'FACE_ID_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS name FROM (SELECT node, row_number() OVER (ORDER BY node) AS n FROM (SELECT unnest(leaders) AS node FROM led))),
+c AS (SELECT e.node, sim, -1 AS k, -other AS age, name FROM e JOIN new ON new.node = other UNION ALL SELECT node, sim, 0, -ref, 'REF_' || ref FROM old)
+SELECT node AS ordinal, 'REF_' || ref AS face_id FROM by_ref UNION ALL SELECT node, name FROM new
+UNION ALL SELECT node, arg_max(c.name, (sim, k, age)) FROM c JOIN rest ON face_id = node AND sure WHERE node NOT IN (SELECT node FROM new) GROUP BY node""")
 def match_faces(spark: SparkSession, d: str) -> DataFrame:
     f = faces(spark, d)
     registry = f.where("is_reference").select(F.concat(F.lit("REF_"), F.col("face_id").cast("string")).alias("face_id"), F.col("face_id").alias("seq"), "embedding", (F.col("face_id") % 2 == 0).alias("is_reference"))
@@ -123,7 +172,7 @@ def match_faces(spark: SparkSession, d: str) -> DataFrame:
     return P.match_or_register(new, registry, similarity=0.35, confidence=0.6)
 
 
-@query("I10")
+@query("I10", f"WITH RECURSIVE {_PHOTOS}, {_series(38)} SELECT * FROM burst")
 def burst_groups(spark: SparkSession, d: str) -> DataFrame:
     return D.group_rows(D.burst_members(_files(spark, d), 3.0, 0.40, "largest_file_size"), "largest_file_size", reclaim=False)
 
@@ -149,7 +198,11 @@ def exact_report(spark: SparkSession, d: str) -> DataFrame:
     return D.group_rows(D.exact_members(m), "newest").select("group_id", "primary", "n_members", "members")
 
 
-@query("I14")
+@query("I14", f"""WITH RECURSIVE {_PHOTOS}, same AS (SELECT * FROM photos QUALIFY count(*) OVER (PARTITION BY content_hash) > 1),
+others AS (SELECT * FROM photos WHERE file_path NOT IN (SELECT file_path FROM same)), {_visual('others')}, {_series(19)}
+SELECT 'exact_' || content_hash[1:12] AS group_id, 'exact' AS kind, {_GROUP}, 1.0::DOUBLE AS similarity, (sum(file_size) - max(file_size))::BIGINT AS reclaimable_bytes FROM same GROUP BY content_hash
+UNION ALL SELECT group_id, 'visual', {_GROUP}, min(similarity), (sum(file_size) - max(file_size))::BIGINT FROM visual GROUP BY group_id
+UNION ALL SELECT * FROM burst""")
 def report(spark: SparkSession, d: str) -> DataFrame:
     return D.duplicate_report(_files(spark, d), "all", 0.70, 3.0, "largest_file_size")
 
