@@ -19,6 +19,8 @@ PART_ROWS, LEAST_PARTS, TILE = 8192, 6, 1024
 PIVOTS, SAMPLE = 2048, 8
 #: Angles that count as equal: rounding of unit vectors.
 SLACK = 1e-6
+#: References around a pivot, about; rows that meet a cell's references in one task, and references.
+CELL, ROWS, REFERENCES = 1024, 1 << 15, 1 << 14
 
 
 def _matrix(column: pa.ChunkedArray | pa.ListArray, width: int) -> np.ndarray:
@@ -197,3 +199,107 @@ def vector_links(rows: DataFrame, id_: str, vector: str, threshold: float, key:
     given = dealt(rows, id_, vector, threshold, key, blocks)
     kind = dict(given.dtypes)["id"]
     return given.groupBy("key", "n", "i", "j").applyInArrow(link, f"a {kind}, b {kind}").where("a <> b")
+
+
+def _best_in(rows: pa.Table, refs: pa.Table) -> pa.Table:
+    """The most similar reference of each row; of equal ones the smallest."""
+    rows, refs = rows.combine_chunks(), refs.combine_chunks()
+    kind = pa.schema([("id", rows.schema.field("id").type), ("similarity", pa.float64()), ("ref_id", refs.schema.field("ref_id").type)])
+    if not rows.num_rows or not refs.num_rows:
+        return kind.empty_table()
+    n = rows.column("n")[0].as_py()
+    a, b = _matrix(rows.column("u"), n), _matrix(refs.column("u"), n)
+    names = refs.column("ref_id").to_pylist()
+    best: list[tuple[float, object]] = []
+    for i in range(0, len(a), TILE):
+        s = a[i : i + TILE] @ b.T
+        p, q = np.nonzero(s >= s.max(axis=1, keepdims=True) - 1e-9)
+        exact = (a[i + p] * b[q]).sum(axis=1)  # the same for equal vectors, wherever they stand
+        own: dict[int, tuple[float, object]] = {}
+        for k, x, y in zip(p.tolist(), exact.tolist(), (names[c] for c in q.tolist()), strict=True):
+            if k not in own or x > own[k][0] or (x == own[k][0] and y < own[k][1]):
+                own[k] = (x, y)
+        best += [own[k] for k in range(len(s))]
+    return pa.table([rows.column("id"), pa.array([x for x, _ in best]), pa.array([y for _, y in best], kind.field("ref_id").type)], schema=kind)
+
+
+def nearest_reference(rows: DataFrame, references: DataFrame, id_: str, vector: str, ref_id: str, threshold: float) -> DataFrame:
+    """C14: ``id``, ``ref_id`` and ``similarity``: for each row the most similar reference, if at least ``threshold``; ties
+    go to the smaller reference id.
+
+    Exact. References lie in cells around pivots. A row meets the cell of its nearest pivot, then every cell whose pivot's
+    angle less the cell's radius is no larger than the best angle so far, or than the threshold's. Both sides of a cell are
+    dealt where they are many; on the driver are the pivots, a radius and two numbers for each of them. Zero and null
+    vectors, and those of a length that no reference has, match nothing. Ids of rows must be unique.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    r = stored(references.select(F.col(ref_id).alias("ref_id"), unit(vector).alias("u")).where("u is not null").withColumn("n", F.size("u")), "references")
+    q = stored(rows.select(F.col(id_).alias("id"), unit(vector).alias("u")).where("u is not null").withColumn("n", F.size("u")), "rows")
+    sizes = dict(map(tuple, r.groupBy("n").agg(F.count("*")).collect()))
+    pivots: dict[int, np.ndarray] = {}
+    for n, total in sizes.items():
+        k = min(PIVOTS, total // CELL)
+        if k > 1:
+            every = max(1, total // (SAMPLE * k))
+            sample = r.where((F.col("n") == n) & (F.pmod(F.xxhash64("ref_id", F.lit(1)), F.lit(every)) == 0)).select("u").limit(4 * SAMPLE * k).toArrow()
+            if sample.num_rows:
+                pivots[n] = pivots_of(_matrix(sample.column("u"), n), k)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            cell, far = np.zeros(len(n), np.int64), np.zeros(len(n))
+            for width in np.unique(n).tolist():
+                if width in shared.value:
+                    at = np.flatnonzero(n == width)
+                    a = angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
+                    cell[at], far[at] = a.argmin(axis=1), a.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    placed = lambda df: df.mapInArrow(place, df.select("*").schema.add("cell", "long").add("far", "double"))
+    held = stored(placed(r), "references") if pivots else r.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(0.0)})
+    cells = {(n, cell): (far, k) for n, cell, far, k in held.groupBy("n", "cell").agg(F.max("far"), F.count("*")).collect()}
+    split = spark.createDataFrame([(n, c, -(-k // REFERENCES)) for (n, c), (_, k) in cells.items()], "n int, cell long, rparts long")
+    kind, ref_kind = dict(q.dtypes)["id"], dict(r.dtypes)["ref_id"]
+    schema = f"id {kind}, similarity double, ref_id {ref_kind}"
+
+    def met(asked: DataFrame) -> DataFrame:
+        """The best of one cell for rows (id, u, n, cell)."""
+        asked = stored(asked.select("id", "u", "n", "cell"), "asked")
+        many = asked.groupBy("n", "cell").agg((F.floor(F.count("*") / ROWS) + 1).alias("qparts")).join(F.broadcast(split), ["n", "cell"])  # a row a cell
+        many = F.broadcast(stored(many, "parts"))
+        part = lambda c, by: F.pmod(F.xxhash64(c, F.lit(5)), by)
+        each = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+        left = asked.join(many, ["n", "cell"]).withColumn("i", part("id", F.col("qparts"))).withColumn("j", each("rparts")).select("n", "cell", "i", "j", "id", "u")
+        right = held.join(many, ["n", "cell"]).withColumn("j", part("ref_id", F.col("rparts"))).withColumn("i", each("qparts")).select("n", "cell", "i", "j", "ref_id", "u")
+        keys = ["n", "cell", "i", "j"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_in, schema)
+
+    def best(found: DataFrame) -> DataFrame:
+        # the smallest id of those with the largest similarity, whatever the type of an id
+        top = found.groupBy("id").agg(F.max("similarity").alias("s"), F.collect_list(F.struct("similarity", "ref_id")).alias("all"))
+        return top.select("id", F.array_min(F.transform(F.filter("all", lambda x: x.similarity == F.col("s")), lambda x: x.ref_id)).alias("ref_id"), F.col("s").alias("similarity"))
+
+    if not pivots:
+        return best(met(q.withColumn("cell", F.lit(0).cast("long")))).where(F.col("similarity") >= threshold)
+    first = stored(best(met(placed(q))), "nearest-in-cell")
+    radii = spark.sparkContext.broadcast({n: np.array([cells.get((n, c), (-9.0, 0))[0] for c in range(len(p))]) for n, p in pivots.items()})
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, row, cell = batch.column("n").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            reach = np.arccos(np.clip(np.maximum(batch.column("similarity").fill_null(-1.0).to_numpy(zero_copy_only=False), threshold), -1, 1)) + SLACK
+            for width in np.unique(n).tolist():
+                if width in radii.value:
+                    at = np.flatnonzero(n == width)
+                    a = angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
+                    p, c = np.nonzero((a <= reach[at, None] + radii.value[width]) & (np.arange(a.shape[1]) != a.argmin(axis=1)[:, None]))
+                    row.append(at[p])
+                    cell.append(c)
+            take = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("id", "u", "n")), pa.array(np.concatenate(cell))], names=["id", "u", "n", "cell"])
+
+    again = q.join(first.select("id", "similarity"), "id", "left").select("id", "u", "n", "similarity").mapInArrow(others, f"id {kind}, u array<double>, n int, cell long")
+    return best(first.select("id", "similarity", "ref_id").union(met(again))).where(F.col("similarity") >= threshold)

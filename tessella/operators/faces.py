@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import basename, is_placeholder_name
-from tessella.operators.cosine import near_vectors, vector_links
+from tessella.operators.cosine import near_vectors, nearest_reference, vector_links
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.relational import first_per, numbered
-from tessella.operators.similarity import nearest_reference
 from tessella.scratch import stored
 
 

@@ -1,18 +1,10 @@
-"""Pairs of similar hashes and vectors."""
+"""Copies of signatures, and the vectors most similar to one."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import dot, unit
-from tessella.scratch import ship_package
-
-#: Rows of a side that a nearest-reference join sends to every task at most; larger sides are joined block by block.
-BROADCAST_ROWS = 100_000
-
 
 def copies_of(rows: DataFrame, id_: str, bits: str) -> DataFrame:
     """``id`` and ``first_id``, the smallest id with the same signature."""
@@ -20,26 +12,6 @@ def copies_of(rows: DataFrame, id_: str, bits: str) -> DataFrame:
     return rows.join(first, bits).select(F.col(id_).alias("id"), "first_id")
 
 
-def nearest_reference(rows: DataFrame, references: DataFrame, id_: str, vector: str, ref_id: str, threshold: float, key: str | None = None) -> DataFrame:
-    """C14: for each row the most similar reference, if at least ``threshold``; ties go to the smaller reference id.
-
-    References are a checked side: up to ``BROADCAST_ROWS`` go to every task; more are dealt into blocks, each row
-    meets every block, and the best of the blocks is taken.
-    """
-    r = references.select(F.col(ref_id).alias("ref_id"), unit(vector).alias("ru")).where("ru is not null")
-    q = rows.select(F.col(id_).alias("id"), unit(vector).alias("u")).where("u is not null")
-    count = r.count()
-    s = dot(F.col("u"), F.col("ru"))
-    best = F.max(F.struct(s.alias("similarity"), (-F.col("ref_id")).alias("neg"))).alias("b")
-    if count <= BROADCAST_ROWS:
-        pairs = q.crossJoin(F.broadcast(r))  # a bounded query set against all rows
-    else:
-        n = -(-count // BROADCAST_ROWS)
-        r = r.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(n)))
-        pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(r, "block")
-    return pairs.groupBy("id").agg(best).where(F.col("b.similarity") >= threshold).select("id", (-F.col("b.neg")).alias("ref_id"), "b.similarity")
-
-
 def vector_search(rows: DataFrame, id_: str, vector: str, query: list[float], k: int) -> DataFrame:
     """The ``k`` rows most similar to a query, ties by id; rows without a vector score 0. Four decimals."""
     if not query:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions.paths import media_id
 from tessella.operators import relational as R
-from tessella.operators.cosine import near_vectors
+from tessella.operators.cosine import near_vectors, nearest_reference
 from tessella.operators.faces import faces_of_files
 from tessella.operators.places import nearest_place
 from tessella.operators.hamming import near_hashes
-from tessella.operators.similarity import nearest_reference
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
 
 

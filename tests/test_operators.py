@@ -139,6 +139,31 @@ def test_vectors_around_pivots_lose_no_pair(spark, monkeypatch, threshold, key):
     assert dict(rows(connected_components(V.vector_links(df, "id", "v", threshold, key), small=10**6))) == components_of({x for e in want for x in e}, want)
 
 
+@pytest.mark.parametrize(("cell", "most", "threshold"), [(1024, 1 << 14, 0.3), (20, 1 << 14, 0.3), (20, 7, -1.0), (10, 50, 0.99)])
+def test_nearest_references_equal_the_full_comparison(spark, monkeypatch, cell, most, threshold):
+    import numpy as np
+
+    for name, value in (("CELL", cell), ("ROWS", most), ("REFERENCES", most)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(5)
+    refs = [(i, v) for i, _, v in clustered(rng, 150, 8)[:-1]]
+    refs += [(i + 500, v) for i, v in refs[:30]] + [(400, [1.0, 2.0])]
+    asked = [(i, v) for i, _, v in clustered(rng, 120, 9, wide=0.2)[:-1]] + [(900, refs[3][1]), (901, [1.0, 2.0, 3.0])]
+    known = [(j, np.array(v) / np.linalg.norm(v)) for j, v in refs if v and any(v)]
+    want = {}
+    for i, v in asked:
+        if v and any(v):
+            u = np.array(v) / np.linalg.norm(v)
+            same = [(float((u * w).sum()), j) for j, w in known if len(w) == len(u)]
+            if same and (top := max(s for s, _ in same)) >= threshold:
+                want[i] = {j for s, j in same if s >= top - 1e-12}
+    frame = lambda x, names: spark.createDataFrame(x, names)
+    got = {r["id"]: r["ref_id"] for r in V.nearest_reference(frame(asked, "i int, v array<double>"), frame(refs, "j int, v array<double>"), "i", "v", "j", threshold).collect()}
+    assert got.keys() == want.keys() and all(got[i] == min(want[i]) for i in got)
+    none = frame([], "j int, v array<double>")
+    assert V.nearest_reference(frame(asked, "i int, v array<double>"), none, "i", "v", "j", threshold).collect() == []
+
+
 def test_clusters_compare_fewer_than_all_pairs(spark, monkeypatch):
     """The share of pairs that meet falls as clustered vectors grow; vectors without clusters meet all."""
     import numpy as np
