@@ -14,6 +14,7 @@ from tessella.operators.duplicates import exact_members, group_rows
 from tessella.operators.faces import cluster_summary, known_persons
 from tessella.operators.scan import anchored_bursts, chain_bursts
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
+from tessella.scratch import stored
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -93,6 +94,16 @@ def distinct_persons(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("n"))
 
 
+@query("D11_sketch", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY 1")
+def sketched_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of two halves of the rows, stored, merged and held against the exact numbers: within five per cent."""
+    rows = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey")
+    halves = [stored(R.distinct_sketches(rows.where(F.col("l_orderkey") % 2 == k), ["l_returnflag"], "l_orderkey"), "sketches") for k in (0, 1)]
+    both = R.merged_sketches(*halves, ["l_returnflag"]).select("l_returnflag", F.hll_sketch_estimate("sketch").alias("about"))
+    exact = rows.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("n"))
+    return exact.join(both, "l_returnflag").select("l_returnflag", (F.abs(F.col("about") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+
+
 @query("D12", "SELECT md5(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_groups(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy(F.md5("text").alias("content_hash")).agg(F.count("*").alias("n")).where("n > 1")
@@ -177,6 +188,17 @@ def page(spark: SparkSession, d: str) -> DataFrame:
     return R.ordered_page(o, [F.desc("o_orderdate"), F.col("o_orderkey")], 20, 40).crossJoin(F.broadcast(R.total(o))).select("o_orderkey", "total")
 
 
+@query("F2_keyset", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) // 50 AS page FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+def pages_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Four pages, each from the keys of the last row of the one before."""
+    o, order, last, out = read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], None, []
+    for k in range(4):
+        rows = R.page_after(o, order, last, 50).collect()  # a page
+        out += [(r["o_orderkey"], k) for r in rows]
+        last = [rows[-1][c] for c, _ in order] if rows else last
+    return spark.createDataFrame(out, "o_orderkey long, page long")
+
+
 @query("F3", "SELECT vec_id, round_even(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: 1.0::DOUBLE)), 4) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
 def top_vectors(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.similarity import vector_search

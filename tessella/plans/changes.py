@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import upserts as U
+from tessella.operators.merge import rows_of
 from tessella.plans.base import FACES, faces, query, read
 from tessella.scratch import new_path, ship_package
 from tessella.sources import catalogue as S
@@ -128,10 +129,9 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 @query("K1", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     folder = new_path(spark, "snapshots")
-    q = K.ingest(_stream(spark, d).select("user_id", "event_id", "event_type"), folder, new_path(spark, "stream-state"), ["user_id"], ["event_id"])
+    q = K.ingest(_stream(spark, d).select("user_id", "event_id", "event_type"), folder, new_path(spark, "stream-state"), ["user_id"], ["event_id"], 8)
     q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    return spark.read.schema("user_id bigint, event_id bigint, event_type string").parquet(f"{folder}/{last}")
+    return rows_of(spark, folder, "user_id bigint, event_id bigint, event_type string")
 
 
 @query("K2", "SELECT user_id, event_type FROM events GROUP BY 1, 2")

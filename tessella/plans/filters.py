@@ -17,11 +17,16 @@ from tessella.scratch import new_path, ship_package
 from tessella.sources import catalogue as S
 
 
-@query("A1")
+@query("A1", "SELECT DISTINCT '/source=' || source || '/lang=' || lang AS folder, 'parquet' AS extension, true AS filled, true AS dated FROM documents")
 def scan(spark: SparkSession, d: str) -> DataFrame:
-    """The given folder itself: its table files."""
-    files = S.scanned(spark, [d], extensions=["parquet"])
-    return files.select(P.basename("path").alias("file_name"), (F.col("file_size") > 0).alias("filled"), F.col("mtime").isNotNull().alias("dated"))
+    """A tree of the documents, by source and language, and a folder that is left out."""
+    root = new_path(spark, "tree")
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    docs.write.partitionBy("source", "lang").parquet(root)
+    docs.limit(1).write.parquet(f"{root}/vault/source=none")  # private
+    files = S.scanned(spark, [root], extensions=["parquet"])
+    folder = F.regexp_extract("path", "(/source=[^/]*/lang=[^/]*)/[^/]*$", 1)
+    return files.groupBy(folder.alias("folder"), P.extension("path").alias("extension")).agg(F.bool_and(F.col("file_size") > 0).alias("filled"), F.bool_and(F.col("mtime").isNotNull()).alias("dated"))
 
 
 @query("A2", f"WITH {MEDIA} SELECT file_path, file_name, file_size FROM media")

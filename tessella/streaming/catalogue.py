@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessella.operators.relational import latest
+from tessella.operators.merge import merge_into
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,18 +16,14 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """K1: folds each micro-batch into the newest snapshot below ``folder``, the last row of each key winning.
+def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> StreamingQuery:
+    """K1: merges each micro-batch into the table below ``folder`` (see ``merge_into``), the last row of each key winning.
 
-    A batch writes the snapshot of its own number, so a batch that is run again after a failure overwrites its own
-    work only, and starts from the snapshot before it.
+    A batch makes the version of its own number: what it writes grows with it, not with the table, and a batch that is run
+    again after a failure overwrites its own work only, or nothing where it was published.
     """
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = latest(batch, keys, order)
-        if number:
-            own = latest(own.unionByName(spark.read.schema(own.schema).parquet(f"{folder}/{number - 1}")), keys, order)
-        own.write.mode("overwrite").parquet(f"{folder}/{number}")
+        merge_into(batch, folder, number, keys, order, buckets)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
