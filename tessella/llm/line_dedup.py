@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_batches, table, texts_of
-from tessella.scratch import new_path, stored
+from tessella.scratch import discard, new_path, stored
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -24,31 +24,39 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 class LineRuns:
-    """Levelled sorted runs of line hashes: ``k``, ``n_docs`` and ``keeper``, each key once in a run.
+    """Levelled sorted runs of line hashes: ``k``, ``n_docs`` and ``keeper``, each key once in a table.
 
-    A run is a table bucketed and sorted by ``k``, so a batch that is partitioned alike merges with all runs without
-    another exchange. ``add`` anti-joins a batch with the runs and adds its own; ``fanout`` runs of a level are
-    compacted into one of the next, which keeps the number of runs logarithmic. Tables lie in the shared folder.
+    A table is bucketed and sorted by ``k``, so a batch that is partitioned alike merges with all runs without another
+    exchange. ``add`` merge-anti-joins a batch with the runs: the keys that none has are a run of their own, so that runs
+    are disjoint; of the others only the counts are kept, apart (``known``), and no later batch reads them. ``fanout``
+    tables of a level are compacted into one of the next, where counts meet their keys again; that keeps the number of
+    tables logarithmic. They lie in the shared folder until ``drop``.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (run.repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").sortBy("k")
-            .option("path", new_path(self.spark, "line-run")).saveAsTable(name))
+        self.paths[name] = new_path(self.spark, "line-run")
+        (run.withColumn("known", F.col("keeper").isNull()).repartition(self.buckets, "k").write.partitionBy("known").bucketBy(self.buckets, "k").sortBy("k")
+            .option("path", self.paths[name]).saveAsTable(name))
         return name
 
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name).drop("known") for level in self.levels for name in level]
+
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        """The keys of each run; no key is in two."""
+        return [self.spark.table(name).where("not known").drop("known") for level in self.levels for name in level]
 
     def add(self, lines: DataFrame) -> str:
-        """Adds a batch of ``(k, doc_id)``, one row for each document and key; the name of its run.
+        """Adds a batch of ``(k, doc_id)``, one row for each document and key; the name of its table.
 
-        Keys that no run has yet are the batch's own: their ``keeper`` is the batch's largest doc_id that holds them.
+        Keys that no run has yet are the batch's own run: their ``keeper`` is the batch's largest doc_id that holds them.
         Keys that a run has already only add to the number of documents, with a null keeper.
         """
         own = lines.groupBy("k").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
@@ -56,6 +64,7 @@ class LineRuns:
         for i, run in enumerate(self.runs()):
             own = own.join(run.select("k", F.lit(True).alias(f"in{i}")), "k", "left")
             seen = seen | F.coalesce(F.col(f"in{i}"), F.lit(False))
+        # a key whose documents have no id has no keeper, and is known by its count alone
         name = self._write(own.select("k", "n_docs", F.when(~seen, F.col("last")).alias("keeper")))
         self._keep(name, 0)
         return name
@@ -65,15 +74,19 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged([self.spark.table(x) for x in self.levels[level]]))
-            for x in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {x}")
+            merged = self._write(self._merged([self.spark.table(x).drop("known") for x in self.levels[level]]))
+            self._drop(self.levels[level])
             self.levels[level] = []
             self._keep(merged, level + 1)
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, *(self.paths.pop(name) for name in names))
+
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        """Merges sorted runs, two at a time."""
+        """Merges sorted tables, two at a time."""
         def merge(a: DataFrame, b: DataFrame) -> DataFrame:
             b = b.select("k", F.col("n_docs").alias("n2"), F.col("keeper").alias("keeper2"))
             return a.join(b, "k", "full_outer").select(
@@ -83,7 +96,13 @@ class LineRuns:
 
     def all(self) -> DataFrame:
         """Every key with its number of documents and its keeper."""
-        return self._merged(self.runs())
+        return self._merged(self.tables())
+
+    def drop(self) -> None:
+        """Removes all tables and their files, once what was read from them is written."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -124,9 +143,11 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, batc
     for i in range(batches):
         runs.add(keyed.where(F.col("batch") == i).select("k", "doc_id"))
     frequent = stored(runs.all().where(F.col("n_docs") >= min_docs).select("k", "keeper"), "frequent-lines")
-    drops = keyed.select("k", "doc_id").join(frequent, "k").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("k").alias("__drop"))
+    runs.drop()
+    drops = stored(keyed.select("k", "doc_id").join(frequent, "k").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("k").alias("__drop")), "line-drops")
+    discard(spark, path)
     # always by merging, so that the plan is the same at every size
-    with_drops = docs.drop("n_lines", "n_dropped").join(stored(drops, "line-drops").hint("merge"), "doc_id", "left").select(
+    with_drops = docs.drop("n_lines", "n_dropped").join(drops.hint("merge"), "doc_id", "left").select(
         *[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "__drop")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long")

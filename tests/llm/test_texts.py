@@ -246,6 +246,29 @@ def test_near_duplicates_beyond_the_radius(documents, monkeypatch, part):
     assert got == dict(enumerate(want)) and len(set(want)) < len(texts) * 3 // 4
 
 
+def test_recall_of_planted_near_duplicates(documents):
+    """Of 300 planted pairs of a similarity of 0.8 and more all are found, and none below 0.79."""
+    rng, texts, pairs = random.Random(21), [], []
+
+    def shingles(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    for _ in range(400):
+        n = rng.choice([60, 150, 400])
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(base)
+        for i in rng.sample(range(n), rng.randrange(1, max(2, n // 30))):
+            other[i] = f"v{rng.randrange(10**6)}"
+        a, b = shingles(base), shingles(other)
+        pairs.append((len(texts), len(a & b) / len(a | b)))
+        texts += [" ".join(base), " ".join(other)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(texts)).collect()}
+    near = [i for i, s in pairs if s >= 0.8]
+    found = sum(got[i] == got[i + 1] for i in near)
+    print("pairs of 0.8 and more:", len(near), "found:", found)
+    assert len(near) >= 250 and found >= 0.99 * len(near) and not any(got[i] == got[i + 1] for i, s in pairs if s < 0.79)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([0.5, 0.8, 0.9]))
 def test_similar_sets_equal_brute_force(seed, similarity):
@@ -448,6 +471,8 @@ def test_runs_are_compacted(spark):
     for i in range(5):
         runs.add(spark.createDataFrame([(bytes([k]), i) for k in range(i, i + 3)], "k binary, doc_id long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+    keys = [bytes(r["k"]) for run in runs.runs() for r in run.collect()]
+    assert len(keys) == len(set(keys)) == 7  # runs are disjoint
     assert {(bytes(r["k"])[0], r["n_docs"], r["keeper"]) for r in runs.all().collect()} == {(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 3, 1), (4, 3, 2), (5, 2, 3), (6, 1, 4)}
 
 
@@ -471,6 +496,18 @@ def test_measurements_equal_brute_force(documents, odd):
         assert got == source
 
 
+def test_a_ledger_is_read_as_it_was_stored(spark, documents, tmp_path, monkeypatch):
+    rows = quality_rules.ledger(documents(["a b c", "word " * 40, "The quick brown fox jumps over the lazy dog and runs away."]))
+    held = quality_rules.store_ledger(rows, str(tmp_path / "l"))
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, quality_rules.ablations(quality_rules.open_ledger(spark, str(tmp_path / "l"))).collect())) == sorted(map(tuple, quality_rules.ablations(rows).collect()))
+    monkeypatch.setattr(quality_rules, "RULES", (*quality_rules.RULES, quality_rules.Rule("more", "n_words > 10")))
+    assert quality_rules.open_ledger(spark, str(tmp_path / "l")).count() == 3
+    monkeypatch.setattr(quality_rules, "RULES", (quality_rules.Rule("other", "n_words < 3"), *quality_rules.RULES[1:]))
+    with pytest.raises(ValueError, match="few_words"):
+        quality_rules.open_ledger(spark, str(tmp_path / "l"))
+
+
 def test_ablations_equal_counting(documents):
     texts = ["a b", "x # $ % & " * 4, "SHOUT " * 12 + "!", "fine words " + " ".join(f"w{i}" for i in range(30)), None, "THE CAT !! " * 9]
     ledger = quality_rules.ledger(documents(texts))
