@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table
+from tessella.scratch import new_path
 
 #: The white space between words and the counted symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -148,16 +149,34 @@ def ablations(ledger_: DataFrame, policy: str = CURRENT) -> DataFrame:
     return masks.agg(F.array(*cols).alias("a")).select(F.explode("a").alias("x")).select("x.*")
 
 
+def store_ledger(rows: DataFrame, path: str) -> DataFrame:
+    """Writes a ledger to the new folder ``path`` and reads it. The rules' names go along, in the order of their bits, so
+    that masks are read as they were written when more rules have been added."""
+    rows.write.parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(i, rule.name, rule.fails) for i, rule in enumerate(RULES)], "bit int, name string, fails string").coalesce(1).write.parquet(f"{path}/rules")
+    return open_ledger(rows.sparkSession, path)
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger. Raises where its bits mean other rules than these."""
+    for r in spark.read.parquet(f"{path}/rules").collect():
+        if r["bit"] >= len(RULES) or RULES[r["bit"]] != Rule(r["name"], r["fails"]):
+            raise ValueError(f"bit {r['bit']} of the ledger is the rule {r['name']}")
+    return spark.read.parquet(f"{path}/rows")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    The ledger is stored; both policies are read from its bits."""
+    rows = store_ledger(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), new_path(spark, "ledger"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~kept_by("v1")).alias("base_failed"), kept_by(CURRENT).alias("kept"))
 
 
 def ablation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule of the current policy drops."""
-    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """What each rule of the current policy drops, from a stored ledger."""
+    return ablations(store_ledger(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), new_path(spark, "ledger")))
 
 
 #: The measurements in SQL, with the rules of the current policy.
