@@ -226,10 +226,10 @@ def _shares(x: np.ndarray) -> np.ndarray:
 
 
 def lanes_for(docs: list[np.ndarray]) -> int:
-    """Lanes that together are about as long as the documents: more would only wait for the longest document, which takes
-    as many steps in any case, and every lane is as large as it."""
+    """Lanes that together are at most some four times as long as the documents: every lane is as large as the longest
+    document, for which more of them would only wait."""
     longest = max(map(len, docs), default=0)
-    return max(1, min(LANES, len(docs), 1 + sum(map(len, docs)) // max(1, longest)))
+    return max(1, min(LANES, len(docs), 1 + 4 * sum(map(len, docs)) // max(1, longest)))
 
 
 def score(net: Net, docs: list[np.ndarray]) -> np.ndarray:
