@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.media import halves, hamming, max_distance
+from tessella.functions.media import halves, hamming
 from tessella.functions.paths import basename, dirname
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.hamming import near_hashes, time_links
 from tessella.operators.relational import numbered, ranked
 from tessella.operators.scan import anchored_bursts
-from tessella.scratch import ship_package, stored
+from tessella.scratch import stored
 
 
 def group_rows(members: DataFrame, strategy: str, reclaim: bool = True) -> DataFrame:

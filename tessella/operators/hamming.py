@@ -41,7 +41,7 @@ def candidates(n: int, distance: int, s: int) -> float:
     return float(n) if s == 0 else comb(distance + s, s) * n / 2 ** (64 * s // (distance + s))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of sorted rows, some at a time, and the number of each row's group."""
     held: list[pa.RecordBatch] = []
 
@@ -70,7 +70,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield t, numbers(t)
 
 
-def _along(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def along(group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of the pairs within groups that are near: all pairs that are t rows apart at once, for t = 1, 2, ...
 
     ``near`` tells which are and gives the first rows that it kept; the others are in no further pair as first rows.
@@ -129,7 +129,7 @@ def near_hashes(rows: DataFrame, id_: str, bits: str, similarity: float, blocks:
     own = np.array([sum(1 << b for b in c) for c in sets], np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in _groups(batches, ["k", "v", "i", "j"]):
+        for t, group in groups(batches, ["k", "v", "i", "j"]):
             x, k, part = t.column("h").to_numpy().view(np.uint64), t.column("k").to_numpy(), t.column("part").to_numpy()
             apart = (t.column("i").to_numpy() != t.column("j").to_numpy())
 
@@ -144,7 +144,7 @@ def near_hashes(rows: DataFrame, id_: str, bits: str, similarity: float, blocks:
                     ok[at] = (equal & upto[k[a[at]]]) == own[k[a[at]]]
                 return ok, a
 
-            for a, b in _along(group, near):
+            for a, b in along(group, near):
                 yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(pa.array(a)), t.column("id").combine_chunks().take(pa.array(b)), pa.array(np.bitwise_count(x[a] ^ x[b]).astype(np.int32))], names=["a", "b", "distance"])
 
     pairs = dealt.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j").mapInArrow(compare, f"a {kind}, b {kind}, distance int")
@@ -186,7 +186,7 @@ def time_links(rows: DataFrame, window: int, distance: int) -> DataFrame:
     dealt = _dealt(ranged, ["range"], F.broadcast(ranged.groupBy("range").agg(F.count("*").alias("rows"))))  # ``RANGES`` rows at most
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in _groups(batches, ["range", "i", "j"]):
+        for t, group in groups(batches, ["range", "i", "j"]):
             x, at, part, guest = t.column("h").to_numpy().view(np.uint64), t.column("at").to_numpy(), t.column("part").to_numpy(), t.column("guest").to_numpy(zero_copy_only=False)
             apart = (t.column("i").to_numpy() != t.column("j").to_numpy())
 
@@ -196,7 +196,7 @@ def time_links(rows: DataFrame, window: int, distance: int) -> DataFrame:
                 return (np.bitwise_count(x[a] ^ x[b]) <= distance) & ~(guest[a] & guest[b]) & (~apart[a] | (part[a] != part[b])), a
 
             label = np.arange(len(group))
-            for a, b in _along(group, near):
+            for a, b in along(group, near):
                 label = joined(label, a, b)
             moved = np.flatnonzero(label != np.arange(len(label)))
             ids = t.column("id").combine_chunks()

@@ -140,19 +140,6 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 12742.0176 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def window_pairs(rows: DataFrame, key: Sequence[str], at: str, id_: str, width: int, carry: Sequence[str] = ()) -> DataFrame:
-    """C11: pairs ``left_id``, ``right_id`` of rows of one key of which the second is 0 to ``width`` seconds later
-    (at equal times, has the larger id). Columns in ``carry`` come along, as l_ and r_ ones.
-
-    Rows meet on buckets as wide as the window: each row in its own, and as an earlier row in the next one too.
-    """
-    b = F.floor(F.col(at) / width)
-    early = rows.select(*key, F.col(at).alias("t1"), F.col(id_).alias("left_id"), *(F.col(c).alias(f"l_{c}") for c in carry), F.explode(F.array(b, b + 1)).alias("__b"))
-    late = rows.select(*key, F.col(at).alias("t2"), F.col(id_).alias("right_id"), *(F.col(c).alias(f"r_{c}") for c in carry), b.alias("__b"))
-    gap = F.col("t2") - F.col("t1")
-    return early.join(late, [*key, "__b"]).where((gap <= width) & ((gap > 0) | ((gap == 0) & (F.col("left_id") < F.col("right_id"))))).drop("__b")
-
-
 def need_processing(files: DataFrame, history: DataFrame, modes: Sequence[str] = (), *, force: bool = False) -> DataFrame:
     """Files (file_path, file_size, mtime, media_type, sidecar, modules) with ``need``.
 

@@ -1,8 +1,9 @@
-"""Bursts in ordered rows: scans that go on from one range of rows to the next, so that one folder may fill many tasks."""
+"""Scans of ordered rows that go on from one range of rows to the next, so that one folder may fill many tasks: pairs
+within a window of time, and bursts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.media import max_distance
+from tessella.operators.hamming import along, groups
 from tessella.scratch import ship_package, stored
 
 
@@ -19,6 +21,59 @@ def _differing(a: tuple[int, int], b: tuple[int, int]) -> int:
     return int(a[0] ^ b[0]).bit_count() + int(a[1] ^ b[1]).bit_count()
 
 
+def window_pairs(rows: DataFrame, key: Sequence[str], at: str, id_: str, width: float, carry: Sequence[str] = ()) -> DataFrame:
+    """C11: pairs ``left_id``, ``right_id`` of rows of one key of which the second is 0 to ``width`` later (at equal
+    times, has the larger id), with ``t1`` and ``t2``. Columns in ``carry`` come along, as l_ and r_ ones.
+
+    Rows are sorted by key and time over ranges; a range also gets the last window of the rows before it, as far as they
+    are of its first key. A task compares a row with those that follow it, until one is too late: only pairs that are
+    given are made. The first row of each range is on the driver. Rows without key, time or id are in no pair.
+    """
+    ship_package(rows.sparkSession)
+    order = [*key, at, id_]
+    given = rows.select(*order, *carry).dropna(subset=order)
+    held = stored(given.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    firsts = sorted((r["__part"], tuple(r["f"])) for r in held.groupBy("__part").agg(F.min(F.struct(*key, at)).alias("f")).collect())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {part: k for k, (part, _) in enumerate(firsts)}
+        for batch in batches:
+            part = batch.column("__part").to_numpy()
+            row, to = [np.arange(len(part))], [part]
+            own = [np.array(batch.column(c).to_pylist(), object) for c in key]
+            times = batch.column(at).to_numpy(zero_copy_only=False)
+            for p in np.unique(part).tolist():
+                for q, first in firsts[places[p] + 1 :]:
+                    late = (part == p) & (times + width >= first[-1])
+                    for c, v in zip(own, first, strict=False):
+                        late &= c == v
+                    if not late.any():
+                        break
+                    row.append(np.flatnonzero(late))
+                    to.append(np.full(len(row[-1]), q))
+            taken, target = np.concatenate(row), np.concatenate(to)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(taken)) for c in batch.schema.names), pa.array(target.astype(np.int32)), pa.array(np.arange(len(taken)) >= len(part))], names=[*batch.schema.names, "__to", "__guest"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in groups(batches, ["__to", *key]):
+            times, guest = t.column(at).to_numpy(), t.column("__guest").to_numpy(zero_copy_only=False)
+
+            def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                soon = times[b] - times[a] <= width
+                return ~(guest[a[soon]] & guest[b[soon]]), a[soon]
+
+            for a, b in along(group, near):
+                left, right = t.take(pa.array(a)), t.take(pa.array(b))
+                columns = [*(left.column(c) for c in (*key, at, id_, *carry)), *(right.column(c) for c in (at, id_, *carry))]
+                yield from pa.table([c.combine_chunks() for c in columns], names=names).to_batches()
+
+    names = [*key, "t1", "left_id", *(f"l_{c}" for c in carry), "t2", "right_id", *(f"r_{c}" for c in carry)]
+    kinds = dict(given.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(names, [*key, at, id_, *carry, at, id_, *carry], strict=True))
+    spreaded = held.mapInArrow(spread, held.select("*", F.lit(0).alias("__to"), F.lit(True).alias("__guest")).schema)
+    return spreaded.repartition("__to").sortWithinPartitions("__to", *order).mapInArrow(sweep, schema)
+
+
 def chain_bursts(rows: DataFrame, gap: float, similarity: float | None = None, pattern: str | None = None) -> DataFrame:
     """Rows (folder, at, id, hi, lo, name) with ``burst``, the id of the first of their chain, and
     ``burst_size``. A row continues the chain of the one before it in its folder where it is at most ``gap`` seconds

@@ -11,6 +11,7 @@ from tessella.operators.cosine import near_vectors, nearest_reference
 from tessella.operators.faces import faces_of_files
 from tessella.operators.places import nearest_place
 from tessella.operators.hamming import near_hashes
+from tessella.operators.scan import window_pairs
 from tessella.plans.base import CAPTURES, FACES, MEDIA, captures, faces, media, query, read
 
 
@@ -124,7 +125,7 @@ def find_file(spark: SparkSession, d: str) -> DataFrame:
 @query("C11", f"""WITH {CAPTURES} SELECT a.id AS left_id, b.id AS right_id, b.sec - a.sec AS gap FROM captures a JOIN captures b
   ON a.folder = b.folder AND b.sec - a.sec BETWEEN 0 AND 900 AND (b.sec > a.sec OR a.id < b.id)""")
 def time_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return R.window_pairs(captures(spark, d).select("folder", "at", "id"), ["folder"], "at", "id", 900).select("left_id", "right_id", (F.col("t2") - F.col("t1")).alias("gap"))
+    return window_pairs(captures(spark, d).select("folder", "at", "id"), ["folder"], "at", "id", 900).select("left_id", "right_id", (F.col("t2") - F.col("t1")).alias("gap"))
 
 
 _NEAR = f"""WITH {FACES}, b AS (SELECT min(face_id) AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM faces GROUP BY s)

@@ -696,3 +696,13 @@ def test_suffixes_of_many_depths(spark):
             if hits and a:
                 want[a] = min(hits)
     assert got == want
+
+
+@pytest.mark.parametrize("width", [0, 3, 40])
+def test_pairs_in_a_window_of_time_equal_all_pairs(spark, many_ranges, width):
+    rng = random.Random(15)
+    data = [(rng.choice("aaaab"), rng.randrange(9), rng.randrange(0, 400), i, f"x{i}") for i in range(250)] + [(None, 1, 5, 900, "n"), ("a", 1, None, 901, "n")]
+    data = [(f, k if f == "b" else 1, t, i, x) for f, k, t, i, x in data]
+    want = sorted((f, k, t, i, x, u, j, y) for f, k, t, i, x in data for g, l, u, j, y in data if f and f == g and k == l and t is not None and u is not None and 0 <= u - t <= width and (u > t or i < j))
+    got = Q.window_pairs(spark.createDataFrame(data, "f string, k int, t long, i long, x string"), ["f", "k"], "t", "i", width, ["x"])
+    assert got.columns == ["f", "k", "t1", "left_id", "l_x", "t2", "right_id", "r_x"] and rows(got) == want
