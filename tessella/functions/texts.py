@@ -46,11 +46,23 @@ def parse_tags(raw: Column | str) -> Column:
     return F.coalesce(F.filter(found, lambda t: t.tag != ""), F.array().cast(f"array<{TAG}>"))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, though lambdas read it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stored_tags(tags: Column | str) -> Column:
     """Q16: tags as they are stored: in lower case, the first of equal ones in its place."""
-    low = F.transform(col(tags), lambda t: F.struct(F.lower(t.tag).alias("tag"), F.lower(t.category).alias("category"), t.confidence.alias("confidence")))
-    keys = F.transform(low, lambda t: F.concat_ws("\0", t.tag, t.category))
-    return F.filter(low, lambda t, i: F.array_position(keys, F.concat_ws("\0", t.tag, t.category)) == i + 1)
+    placed = F.transform(col(tags), lambda t, i: F.struct(F.lower(t.tag).alias("tag"), F.lower(t.category).alias("category"), i.alias("i"), t.confidence.alias("confidence")))
+
+    def first(s: Column) -> Column:
+        def fresh(x: Column, j: Column) -> Column:
+            before = F.get(s, j - 1)
+            return (j == 0) | ~(x.tag.eqNullSafe(before.tag) & x.category.eqNullSafe(before.category))
+
+        return F.array_sort(F.transform(F.filter(s, fresh), lambda x: F.struct(x.i.alias("i"), x.tag.alias("tag"), x.category.alias("category"), x.confidence.alias("confidence"))))
+
+    return F.transform(_with(F.array_sort(placed), first), lambda x: F.struct(x.tag.alias("tag"), x.category.alias("category"), x.confidence.alias("confidence")))
 
 
 def format_tag(tag: Column, category: Column, style: str) -> Column:

@@ -52,33 +52,34 @@ def sidecar_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def _sidecars(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).where("media_type is not null")
-    words = F.slice(F.split("text", "\\s+"), 1, 3)
+    """Documents as sidecars; their different words are tags, of the file or, for one of two, of its analysis."""
+    words = F.array_distinct(F.split("text", "\\s+"))
     tags = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(w.alias("tag"), F.col("lang").alias("category"), F.lit(1.0).alias("confidence")))
     face = F.struct(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("bbox"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("face_id"), F.nullif("lang", F.lit("en")).alias("name"), F.lit(0.5).alias("confidence"))
     found = F.when(F.col("doc_id") % 3 == 0, F.array(face, face))
     event = F.struct(F.lit("00:10").alias("timestamp_start"), F.lit("01:02:03").alias("timestamp_end"), F.col("lang").alias("activity"), F.lit(None).cast("string").alias("activity_ru"))
     return m.select(
-        "file_path", "file_name", "file_size", "mtime", "media_type", tags.alias("tags"),
+        "file_path", "file_name", "file_size", "mtime", "media_type", F.when(F.col("doc_id") % 2 == 0, tags).alias("tags"),
         F.struct(F.lit("2024:01:02 03:04:05").alias("datetime"), F.col("lang").alias("camera_make"), F.col("source").alias("camera_model"),
                  F.struct(F.lit(1.5).alias("latitude"), F.lit(2.5).alias("longitude")).alias("gps"),
                  F.struct(F.lit("X").alias("city"), F.lit(None).cast("string").alias("region"), F.lit("Y").alias("country")).alias("location")).alias("exif"),
         F.struct(F.lit(12.5).alias("duration"), F.lit(None).cast("string").alias("datetime")).alias("video_metadata"), F.lit(None).cast("string").alias("phash"), found.alias("faces"),
         F.struct(F.col("source").alias("summary"), F.lit("").alias("description"), F.col("lang").alias("summary_ru"), F.lit(None).cast("string").alias("description_ru"),
                  F.lit("outdoors").alias("environment"), F.lit(" ").alias("lighting"), F.col("source").alias("weather"), F.col("lang").alias("time_of_day"), F.lit(None).cast("string").alias("ocr_text"), F.when(F.col("doc_id") % 9 == 0, "timed out").alias("error"),
-                 tags.alias("tags"), F.when(F.col("media_type") == "video", F.array(event)).alias("timeline_events")).alias("gemini_analysis"))
+                 F.when(F.col("doc_id") % 2 == 1, tags).alias("tags"), F.when(F.col("media_type") == "video", F.array(event)).alias("timeline_events")).alias("gemini_analysis"))
 
 
-@query("A4", f"""WITH {MEDIA} SELECT file_path, media_type, file_size, len(list_filter((string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'))[1:3], lambda x: x <> '')) AS n_tags FROM media WHERE media_type IS NOT NULL""")
+@query("A4", f"""WITH {MEDIA} SELECT file_path, media_type, file_size, len(list_filter(list_distinct(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')), lambda x: x <> '')) AS n_tags FROM media WHERE media_type IS NOT NULL""")
 def sidecar_write(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as sidecars and read again."""
     docs, path = _sidecars(spark, d), new_path(spark, "sidecars")
     S.write_sidecars(docs, path)
-    back = spark.read.schema("file_path string, file_size bigint, tags array<struct<tag:string>>, media_type string").json(path)
-    return back.select("file_path", "media_type", "file_size", F.size("tags").alias("n_tags"))
+    back = spark.read.schema("file_path string, file_size bigint, tags array<struct<tag:string>>, gemini_analysis struct<tags:array<struct<tag:string>>>, media_type string").json(path)
+    return back.select("file_path", "media_type", "file_size", F.size(F.coalesce("tags", "gemini_analysis.tags")).alias("n_tags"))
 
 
 @query("A6", f"""WITH {MEDIA}, w AS (
-  SELECT file_path, lang, list_filter((string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'))[1:3], lambda x: x <> '') AS ws FROM media WHERE media_type IS NOT NULL
+  SELECT file_path, lang, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM media WHERE media_type IS NOT NULL
 ), t AS (SELECT DISTINCT sha256(file_path)[1:16] AS media_id, lower(trim(unnest(ws))) AS tag, lower(lang) AS category FROM w)
 SELECT media_id, tag, category FROM t""")
 def ingest_tags(spark: SparkSession, d: str) -> DataFrame:
