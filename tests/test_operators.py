@@ -442,11 +442,11 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", t(0), "x", 1), ("a", t(5), "y", 2), ("b", t(100), "x", 3)], schema).coalesce(1).write.parquet(src)
     q = K.ingest(K.file_stream(spark, src, schema), str(tmp_path / "snap"), str(tmp_path / "c1"), ["k"], ["n"])
     q.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "snap" / "0")).select("k", "n")) == [("a", 2), ("b", 3)]
+    assert rows(G.rows_of(spark, str(tmp_path / "snap"), schema).select("k", "n")) == [("a", 2), ("b", 3)]
     spark.createDataFrame([("a", t(3000), "z", 9)], schema).coalesce(1).write.mode("append").parquet(src)
     q = K.ingest(K.file_stream(spark, src, schema), str(tmp_path / "snap"), str(tmp_path / "c1"), ["k"], ["n"])
     q.awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "snap" / "1")).select("k", "n")) == [("a", 9), ("b", 3)]
+    assert rows(G.rows_of(spark, str(tmp_path / "snap"), schema).select("k", "n")) == [("a", 9), ("b", 3)]
     out = K.finished(K.bursts(K.file_stream(spark, src, schema), "at", "k", "60 seconds", "10 seconds"), str(tmp_path / "o"), str(tmp_path / "c2"))
     assert [r["n"] for r in out.orderBy("burst_start").collect()] == [2, 1]
     spark.createDataFrame([("a", t(1), "late", 1)], schema).coalesce(1).write.mode("append").parquet(src)
