@@ -119,7 +119,7 @@ def link_target(spark: SparkSession, d: str) -> DataFrame:
 def find_file(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages").select("page_id", "url")
     asked = p.select("page_id", F.replace(F.upper("url"), F.lit("/"), F.lit("\\")).alias("want"))
-    return asked.join(R.by_suffix(asked.select("want"), p.select(F.col("url").alias("found")), "want", "found"), "want").select("page_id", "found")
+    return asked.join(R.found_files(asked.select("want"), p.select(F.col("url").alias("found")), "want", "found"), "want").select("page_id", "found")
 
 
 @query("C11", f"""WITH {CAPTURES} SELECT a.id AS left_id, b.id AS right_id, b.sec - a.sec AS gap FROM captures a JOIN captures b

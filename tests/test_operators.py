@@ -706,3 +706,10 @@ def test_pairs_in_a_window_of_time_equal_all_pairs(spark, many_ranges, width):
     want = sorted((f, k, t, i, x, u, j, y) for f, k, t, i, x in data for g, l, u, j, y in data if f and f == g and k == l and t is not None and u is not None and 0 <= u - t <= width and (u > t or i < j))
     got = Q.window_pairs(spark.createDataFrame(data, "f string, k int, t long, i long, x string"), ["f", "k"], "t", "i", width, ["x"])
     assert got.columns == ["f", "k", "t1", "left_id", "l_x", "t2", "right_id", "r_x"] and rows(got) == want
+
+
+def test_files_are_found_by_their_own_path_first(spark):
+    files = ["http://a/en/7", "http://a/en/7/", "http://b/en/9/", "http://b/x/8"]
+    asked = ["HTTP:\\\\A\\EN\\7", "HTTP:\\\\A\\EN\\7\\", "en/9", "EN\\7", "none"]
+    found = R.found_files(spark.createDataFrame([(a,) for a in asked], "want string"), spark.createDataFrame([(f,) for f in files], "p string"), "want", "p")
+    assert dict(rows(found)) == {asked[0]: files[0], asked[1]: files[1], asked[2]: files[2], asked[3]: files[0]}
