@@ -46,10 +46,15 @@ def megapixels(width: Column | str, height: Column | str) -> Column:
 
 
 def luminance_bits(grid: Column | str) -> Column:
-    """64 bits of a 9 x 8 luminance grid (72 numbers, row by row): 1 where a place is brighter than the next."""
-    g = col(grid)
-    return F.when(F.size(g) == 72, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (
-        F.get(g, F.floor(i / 8).cast("int") * 9 + i % 8) > F.get(g, F.floor(i / 8).cast("int") * 9 + i % 8 + 1)).cast("int")))
+    """64 bits of a 9 x 8 luminance grid (72 numbers, row by row): 1 where a place is brighter than the next.
+
+    The grid is bound as a variable, so that it is computed once and not for each of its places.
+    """
+    def bits(g: Column) -> Column:
+        return F.when(F.size(g) == 72, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (
+            F.get(g, F.floor(i / 8).cast("int") * 9 + i % 8) > F.get(g, F.floor(i / 8).cast("int") * 9 + i % 8 + 1)).cast("int")))
+
+    return F.get(F.transform(F.array(col(grid)), bits), F.lit(0))
 
 
 def half_of(bits: Column, first: int) -> Column:

@@ -177,3 +177,12 @@ def test_module_status(spark):
     video = value(spark, X.module_status(F.lit("video"), F.lit("words"), n, F.lit("t"), n, F.lit("a"), F.lit("quota")))
     assert tuple(video) == (True, True, False, False)  # duplicates are known by a hash, for videos too
     assert value(spark, X.module_status(F.lit("video"), n, n, n, F.lit("h"), n, n))["duplicates"]
+
+
+def test_luminance_bits_compute_a_grid_once(spark):
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: i * 37 % 11)
+    want = "".join(str(int((r * 9 + c) * 37 % 11 > (r * 9 + c + 1) * 37 % 11)) for r in range(8) for c in range(8))
+    got = spark.range(1).select(F.array_join(M.luminance_bits(grid).cast("array<string>"), "").alias("b"), M.luminance_bits(F.array(F.lit(1))).alias("none"))
+    assert got.first()["b"] == want and got.first()["none"] is None
+    text = M.luminance_bits(grid)._jc.toString()
+    assert text.count("71") == 1, text
