@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.search import K1, B, query_words, terms_of
-from tessella.scratch import stored
+from tessella.operators.search import K1, TOKEN, B, query_words
+from tessella.scratch import ship_package, stored
 
-#: Documents of a block, about; blocks that are scored first for a bound on the best matches.
+#: Documents of a block at most, about; blocks that are scored first for a bound on the best matches.
 BLOCK, FIRST = 4096, 8
+#: Bytes of text that a task counts together, or one document; terms of a batch that it gives.
+BYTES, GIVEN = 1 << 24, 1 << 14
 
 
 class StoredIndex(NamedTuple):
@@ -21,7 +28,7 @@ class StoredIndex(NamedTuple):
     A segment has ``postings``, in folders by the first letter of a term and sorted by term; ``terms`` (term, df), sorted;
     and ``docs`` (id, n). A row of postings is a block: the documents of one term in one slice of the segment, with their
     counts and lengths, and the largest count and smallest length among them. Slices are documents of about one length, in
-    parts of about ``BLOCK`` by a hash, the same for all terms.
+    parts of about ``BLOCK`` by the batch that they were read in or (after a merge) by a hash, the same for all terms.
     """
 
     spark: SparkSession
@@ -81,33 +88,108 @@ def _publish(spark: SparkSession, path: str, version: int, segments: Sequence[in
     return open_index(spark, path)
 
 
+def _counts(ids: pa.Array, texts: pa.Array, batch: int) -> Iterator[pa.RecordBatch]:
+    """For each term of some documents, in lower case, the documents that have it; a row without a term for all of them."""
+    found = [re.findall(TOKEN, x) for x in texts.to_pylist()]
+    n = np.array([len(x) for x in found], np.int64)
+    coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
+    code, doc = np.divmod(key, len(n))
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    ends = np.append(start[1:], len(key))
+
+    def rows(terms: pa.Array, offsets: np.ndarray, of: np.ndarray, tfs: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v) for v in (ids.take(pa.array(of)), pa.array(tfs, pa.int64()), pa.array(n[of]))]
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(terms), batch)), *lists], names=["term", "batch", "ids", "tfs", "ns"])
+
+    yield rows(pa.array([None], pa.string()), np.array([0, len(n)]), np.arange(len(n)), np.zeros(len(n), np.int64))
+    for at in range(0, len(start), GIVEN):
+        first, last = start[at], ends[at : at + GIVEN][-1]
+        yield rows(coded.dictionary.take(pa.array(code[start[at : at + GIVEN]])), np.append(start[at : at + GIVEN], last) - first, doc[first:last], tf[first:last])
+
+
+def _counter(block: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the documents (id, text) of a task, ``block`` of them, or about ``most`` bytes, at a time."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends, at = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))), 0
+            while at < batch.num_rows:
+                upto = min(max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1), at + block, batch.num_rows)
+                yield from _counts(batch.column("id").slice(at, upto - at), batch.column("text").slice(at, upto - at), (task << 24) + number)
+                number, at = number + 1, upto
+
+    return counted
+
+
+def _cutter(parts: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks from rows of ``_counts`` in order of terms: documents of about one length, dealt by the batch that they were
+    counted in. A term whose rows come in several batches has several blocks of a slice."""
+    count = np.array([parts.get(k, 1) for k in range(128)], np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            term = b.column("term").dictionary_encode()
+            size = np.diff(b.column("ids").offsets.to_numpy())
+            ids, tf, n = b.column("ids").flatten(), b.column("tfs").flatten().to_numpy(), b.column("ns").flatten().to_numpy()
+            kind = (2 * np.log2(n + 1.0)).astype(np.int64)
+            part = (kind << 32) + np.repeat(b.column("batch").to_numpy(), size) % count[kind]
+            code = np.repeat(term.indices.to_numpy().astype(np.int64), size)
+            order = np.lexsort((part, code))
+            code, part, tf, n = code[order], part[order], tf[order], n[order]
+            start = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])))
+            offsets = pa.array(np.append(start, len(code)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, v) for v in (ids.take(pa.array(order)), pa.array(tf), pa.array(n))]
+            terms = term.dictionary.take(pa.array(code[start]))
+            yield pa.RecordBatch.from_arrays([pc.utf8_slice_codeunits(terms, 0, 1), terms, pa.array(part[start]), pa.array(np.diff(np.append(start, len(code)))), pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(n, start)), *lists],
+                                             names=["lead", "term", "slice", "docs", "max_tf", "min_n", "ids", "tfs", "ns"])
+
+    return cut
+
+
+def _write_terms(spark: SparkSession, path: str, segment: int) -> None:
+    _read(spark, path, segment, "postings").groupBy("term").agg(F.sum("docs").alias("df")).orderBy("term").write.parquet(_at(path, segment, "terms"))
+
+
+def _parts(docs: DataFrame) -> dict[int, int]:
+    """Parts of the documents of a length, by half powers of two: some sixty rows."""
+    kind = F.floor(2 * F.log2(F.col("n") + 1)).cast("int")
+    return {r["k"]: -(-r["d"] // BLOCK) for r in docs.groupBy(kind.alias("k")).agg(F.count("*").alias("d")).collect()}
+
+
 def _write_postings(postings: DataFrame, docs: DataFrame, path: str, segment: int) -> None:
     """A segment from rows (term, id, tf, n) and (id, n)."""
     kind = F.floor(2 * F.log2(F.col("n") + 1)).cast("int")
-    sizes = docs.groupBy(kind.alias("k")).agg(F.count("*").alias("d")).collect()  # by half powers of two: some sixty rows
-    parts = F.create_map(*[F.lit(x) for r in sizes for x in (r["k"], -(-r["d"] // BLOCK))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    parts = F.create_map(*[F.lit(x) for pair in (_parts(docs) or {0: 1}).items() for x in pair])
     slice_ = (kind.cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at(parts, kind))).alias("slice")
     each = F.sort_array(F.collect_list(F.struct("id", "tf", "n")))
     blocks = postings.withColumn("slice", slice_).groupBy("term", "slice").agg(
         F.count("*").alias("docs"), F.max("tf").alias("max_tf"), F.min("n").alias("min_n"), each.alias("e")).select(
         F.substring("term", 1, 1).alias("lead"), "term", "slice", "docs", "max_tf", "min_n", *(F.col(f"e.{c}").alias(c + "s") for c in ("id", "tf", "n")))
     blocks.repartitionByRange("lead", "term", "slice").sortWithinPartitions("lead", "term", "slice").write.partitionBy("lead").parquet(_at(path, segment, "postings"))
-    _read(docs.sparkSession, path, segment, "postings").groupBy("term").agg(F.sum("docs").alias("df")).orderBy("term").write.parquet(_at(path, segment, "terms"))
+    _write_terms(docs.sparkSession, path, segment)
 
 
 def _read_in(rows: DataFrame, id_: str, fields: Sequence[str], path: str, segment: int) -> DataFrame:
-    """Writes the documents as a segment; gives them back as (id, n). The texts are read once and never shuffled."""
-    t = rows.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), terms_of(F.concat_ws(" ", *fields)).alias("t"))
-    hits = t.select("id", F.size("t").cast("long").alias("n"), F.explode("t").alias("term")).groupBy("term", "id", "n").agg(F.count("*").alias("tf"))
-    hits = stored(hits, "index-terms")
-    found = hits.select("id", "n").distinct()
-    ids = rows.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"))
-    none = ids.join(found.select("id"), "id", "left_anti").withColumn("n", F.lit(0).cast("long"))
-    found.union(none.distinct()).write.parquet(_at(path, segment, "docs"))
-    docs = rows.sparkSession.read.parquet(_at(path, segment, "docs"))
-    if ids.count() != docs.select("id").distinct().count():
+    """Writes the documents as a segment; gives them back as (id, n). The texts are read once and never shuffled: a task
+    counts the words of the documents that it reads together, and one row a term of these is shuffled once."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    t = rows.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.lower(F.concat_ws(" ", *fields)).alias("text"))
+    kind = dict(t.dtypes)["id"]
+    lists = f"ids array<{kind}>, tfs array<long>, ns array<long>"
+    counts = stored(t.mapInArrow(_counter(BLOCK, BYTES), f"term string, batch long, {lists}"), "index-counts")
+    found = counts.where("term is null").select(F.explode(F.arrays_zip("ids", "ns")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.ns").alias("n"))
+    found.write.parquet(_at(path, segment, "docs"))
+    docs = spark.read.parquet(_at(path, segment, "docs"))
+    if docs.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
         raise ValueError(f"{id_} is not unique")
-    _write_postings(hits, docs, path, segment)
+    sorted_ = counts.where("term is not null").repartitionByRange("term").sortWithinPartitions("term")
+    blocks = sorted_.mapInArrow(_cutter(_parts(docs)), f"lead string, term string, slice long, docs long, max_tf long, min_n long, {lists}")
+    blocks.sortWithinPartitions("lead", "term", "slice").write.partitionBy("lead").parquet(_at(path, segment, "postings"))
+    _write_terms(spark, path, segment)
     return docs
 
 

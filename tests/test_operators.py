@@ -8,6 +8,7 @@ import math
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -720,3 +721,11 @@ def test_lookup_gives_every_row_of_a_path(spark):
     asked = spark.createDataFrame([(1, "/a/x"), (2, "/z/y"), (3, "/z/q"), (4, None)], "request int, want string")
     got = R.lookup(asked, table, "want", "url", "found").select("request", "found", "matched_by")
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [(1, 4, "path"), (1, 2, "path"), (2, 6, "name"), (3, None, None), (4, None, None)]))
+
+
+def test_a_task_gives_one_row_a_term_for_the_documents_that_it_counts(spark, tmp_path):
+    got = [r for b in T._counts(pa.array([7, 3, 5]), pa.array(["b a b", "", "a-c b"]), 9) for r in b.to_pylist()]
+    assert got[0] == {"term": None, "batch": 9, "ids": [7, 3, 5], "tfs": [0, 0, 0], "ns": [3, 0, 3]}
+    assert {r["term"]: list(zip(r["ids"], r["tfs"], r["ns"], strict=True)) for r in got[1:]} == {"a": [(7, 1, 3), (5, 1, 3)], "b": [(7, 2, 3), (5, 1, 3)], "c": [(5, 1, 3)]}
+    cut = [r for b in T._cutter({2: 1})(iter([b for b in T._counts(pa.array([7, 5, 8]), pa.array(["b a b", "a-c b", "b"]), 9)][1:])) for r in b.to_pylist()]
+    assert [(r["term"], r["docs"], r["max_tf"], r["min_n"]) for r in cut if r["term"] == "b"] == [("b", 1, 1, 1), ("b", 2, 2, 3)]
