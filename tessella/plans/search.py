@@ -56,7 +56,8 @@ def hybrid_by_vector(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).select(F.col("doc_id").alias("media_id"), "file_path", "media_type", F.col("lang").alias("camera"), F.timestamp_seconds(F.col("doc_id") * 60).alias("media_date"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("PROCESSED").alias("status"))
     none = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.lit("x").alias("name"), F.lit("x").alias("tag"), F.lit("x").alias("category"))
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("media_id"), "embedding")
-    page, total = S.hybrid_search(m, none, none, _index(spark, d), e, query_vector=[1.0, 0.5] * 32, query_text="unused words", limit=10)
+    index = S.text_index(read(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"])  # never run: with a vector no text is read
+    page, total = S.hybrid_search(m, none, none, index, e, query_vector=[1.0, 0.5] * 32, query_text="unused words", limit=10)
     return page.select("media_id", "score").crossJoin(F.broadcast(total))  # one row
 
 

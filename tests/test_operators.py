@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import os
 import random
 import time
 
@@ -27,6 +28,7 @@ from tessella.operators import upserts as U
 from tessella.operators.graph import connected_components, leader_groups
 from tessella.operators.hamming import near_hashes
 from tessella.operators.similarity import vector_search
+from tessella.plans import search as plans_search
 from tessella.sources import catalogue as C
 from tessella.streaming import catalogue as K
 
@@ -729,3 +731,15 @@ def test_a_task_gives_one_row_a_term_for_the_documents_that_it_counts(spark, tmp
     assert {r["term"]: list(zip(r["ids"], r["tfs"], r["ns"], strict=True)) for r in got[1:]} == {"a": [(7, 1, 3), (5, 1, 3)], "b": [(7, 2, 3), (5, 1, 3)], "c": [(5, 1, 3)]}
     cut = [r for b in T._cutter({2: 1})(iter([b for b in T._counts(pa.array([7, 5, 8]), pa.array(["b a b", "a-c b", "b"]), 9)][1:])) for r in b.to_pylist()]
     assert [(r["term"], r["docs"], r["max_tf"], r["min_n"]) for r in cut if r["term"] == "b"] == [("b", 1, 1, 1), ("b", 2, 2, 3)]
+
+
+def test_a_search_by_vector_makes_no_text_index(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the test tables are not here")
+    before = dict(plans_search._INDEXES)
+    plans_search._INDEXES.clear()
+    try:
+        plans_search.hybrid_by_vector(spark, "/root/testdata/sf0.001")
+        assert not plans_search._INDEXES
+    finally:
+        plans_search._INDEXES.update(before)
