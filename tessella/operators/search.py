@@ -90,7 +90,7 @@ def hybrid_search(items: DataFrame, faces: DataFrame, tags: DataFrame, index: In
         found = found.join(embeddings, "media_id", "left").withColumn("score", F.bround(cosine("embedding", q), 4)).drop("embedding")
         order = [F.desc("score"), *recent]
     elif query_words(query_text):
-        found = found.join(index.matches(query_text).select(F.col("id").alias("media_id"), F.round("bm25", 6).alias("score")), "media_id")
+        found = found.join(index.matches(query_text).select(F.col("id").alias("media_id"), F.round("bm25", 12).alias("score")), "media_id")
         order = [F.desc("score"), *recent] if by_score else recent
     else:
         found, order = found.withColumn("score", F.lit(1.0)), recent
