@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.media import halves, hamming
+from tessella.functions.media import halves, hamming, max_distance
 from tessella.functions.paths import basename, dirname
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
-from tessella.operators.hamming import near_hashes, time_links
+from tessella.operators.hamming import near_hashes, scheme, signature_leaders, time_links
 from tessella.operators.relational import numbered, ranked
 from tessella.operators.scan import anchored_bursts
 from tessella.scratch import stored
@@ -37,12 +37,17 @@ def visual_members(files: DataFrame, similarity: float) -> DataFrame:
     """Members of greedy groups: in order of ``ordinal`` a file that no group has yet takes all later ones without
     a group whose signature is close. ``similarity`` is the group's smallest one to that first file.
 
-    Files with equal signatures follow the first of them, so the rounds run over distinct signatures.
+    Files with equal signatures follow the first of them, so the rounds run over distinct signatures. Where a key of blocks
+    of bits pays, close pairs are few and all are made (``near_hashes``); where none does, they may be a share of all pairs,
+    and signatures meet leaders only (``signature_leaders``).
     """
     f = files.where(F.size("bits") == 64)
-    first = f.groupBy("bits").agg(F.min("ordinal").alias("node"))
-    edges = near_hashes(first, "node", "bits", similarity).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    lead = leader_groups(first.select("node", F.col("node").alias("ordinal")), stored(edges, "visual-edges"))
+    first = stored(f.groupBy("bits").agg(F.min("ordinal").alias("node")), "visual-signatures")
+    if scheme(first.count(), max_distance(similarity)):
+        edges = near_hashes(first, "node", "bits", similarity).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+        lead = leader_groups(first.select("node", F.col("node").alias("ordinal")), stored(edges, "visual-edges"))
+    else:
+        lead = signature_leaders(first, max_distance(similarity))
     named = f.join(first, "bits").join(lead, "node").withColumnRenamed("leader", "anchor")
     size = named.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     named = named.join(size, "anchor").join(first.select(F.col("node").alias("anchor"), F.col("bits").alias("anchor_bits")), "anchor")
