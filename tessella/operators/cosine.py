@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.vectors import unit
+from tessella.operators.leaders import leader_rounds
 from tessella.scratch import ship_package, stored
 
 #: Vectors of a block, of which a task compares two; blocks of a key at least; rows of a matrix product.
@@ -21,6 +22,8 @@ PIVOTS, SAMPLE = 2048, 8
 SLACK = 1e-6
 #: References around a pivot, about; rows that meet a cell's references in one task, and references.
 CELL, ROWS, REFERENCES = 1024, 1 << 15, 1 << 14
+#: Vectors among which one task finds the leaders at once.
+PASS_VECTORS = 1 << 14
 
 
 def _matrix(column: pa.ChunkedArray | pa.ListArray, width: int) -> np.ndarray:
@@ -201,6 +204,16 @@ def vector_links(rows: DataFrame, id_: str, vector: str, threshold: float, key:
     return given.groupBy("key", "n", "i", "j").applyInArrow(link, f"a {kind}, b {kind}").where("a <> b")
 
 
+def vector_leaders(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node`` and ``leader``: greedy groups, in order of ``ordinal``, of unit vectors ``x`` with a cosine of at least
+    ``threshold``; a null vector leads alone. As many comparisons as there are vectors times leaders, however many pairs
+    are near."""
+    def values(x: pa.Array) -> np.ndarray:
+        return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+    return leader_rounds(nodes.withColumn("n", F.coalesce(F.size("x"), F.lit(-1))), values, lambda a, b: a @ b.T >= threshold, PASS_VECTORS)
+
+
 def _best_in(rows: pa.Table, refs: pa.Table) -> pa.Table:
     """The most similar reference of each row; of equal ones the smallest."""
     rows, refs = rows.combine_chunks(), refs.combine_chunks()
