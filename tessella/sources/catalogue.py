@@ -92,24 +92,31 @@ def raw_tags(rows: DataFrame, id_: str, raw: str) -> DataFrame:
 def enriched(items: DataFrame, analyse: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """L1: items with what ``analyse`` returns for them (columns of ``schema``), batch by batch.
 
-    A batch that raises is tried row by row; a row that raises has nulls, the message in ``error`` and its class in
+    A batch that raises is tried row by row, and still given as one; a row that raises has nulls, the message in ``error`` and its class in
     ``error_class``.
     """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def only(values: pd.Series) -> object:
+        (value,) = values.to_numpy()
+        return value
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 got = analyse(batch)
                 yield batch.assign(**{n: got[n].to_numpy() for n in names}, error=None)
             except Exception:  # noqa: BLE001
+                got, errors = [], []
                 for i in range(len(batch)):
-                    row = batch.iloc[i : i + 1]
                     try:
-                        got = analyse(row)
-                        yield row.assign(**{n: got[n].to_numpy() for n in names}, error=None)
+                        one = analyse(batch.iloc[i : i + 1])
+                        got.append([only(one[n]) for n in names])
+                        errors.append(None)
                     except Exception as e:  # noqa: BLE001
-                        yield row.assign(**{n: None for n in names}, error=str(e))
+                        got.append([None] * len(names))
+                        errors.append(str(e))
+                yield batch.assign(**{n: pd.Series([g[k] for g in got], batch.index, object) for k, n in enumerate(names)}, error=errors)
 
     whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + f", {schema}, error string"
     return items.mapInPandas(run, whole).withColumn("error_class", F.when(F.col("error").isNotNull(), error_class("error")))
