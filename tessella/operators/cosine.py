@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ PIVOTS, SAMPLE = 2048, 8
 SLACK = 1e-6
 #: References around a pivot, about; rows that meet a cell's references in one task, and references.
 CELL, ROWS, REFERENCES = 1024, 1 << 15, 1 << 14
+#: Pairs of vectors whose cosine is computed anew at once, and rows that are given at once.
+GATHER = 1 << 14
 #: Vectors among which one task finds the leaders at once.
 PASS_VECTORS = 1 << 14
 
@@ -47,6 +49,30 @@ def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
+def nearest_pivot(a: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each row and the angle to it, for some rows at a time."""
+    cell, far = np.zeros(len(a), np.int64), np.zeros(len(a))
+    for i in range(0, len(a), TILE):
+        to = angles(a[i : i + TILE], pivots)
+        cell[i : i + TILE], far[i : i + TILE] = to.argmin(axis=1), to.min(axis=1)
+    return cell, far
+
+
+def pivots_within(a: np.ndarray, pivots: np.ndarray, reach: Callable[[slice], np.ndarray], but_nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and pivots whose angle is within what ``reach`` gives for some rows, without each row's nearest pivot if that
+    is asked for; some rows at a time."""
+    row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(a), TILE):
+        to = angles(a[i : i + TILE], pivots)
+        ok = to <= reach(slice(i, i + TILE))
+        if but_nearest:
+            ok[np.arange(len(to)), to.argmin(axis=1)] = False
+        p, c = np.nonzero(ok)
+        row.append(i + p)
+        cell.append(c)
+    return np.concatenate(row), np.concatenate(cell)
+
+
 def dealt(rows: DataFrame, id_: str, vector: str, threshold: float, key: str | None = None, blocks: int = LEAST_PARTS) -> DataFrame:
     """The vectors (id, u, of unit length, and the block they belong to) as often as there are pairs of blocks ``i`` <=
     ``j`` that one of theirs may be near to; by ``key`` and length ``n``.
@@ -89,9 +115,7 @@ def _around_pivots(u: DataFrame, sizes: dict[int, tuple[int, int]], number: dict
             for width in np.unique(n).tolist():
                 if width in shared.value:
                     at = np.flatnonzero(n == width)
-                    a = angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
-                    cell[at] = a.argmin(axis=1)
-                    far[at] = a.min(axis=1)
+                    cell[at], far[at] = nearest_pivot(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
     held = stored(u.mapInArrow(place, u.select("*").schema.add("cell", "integer").add("far", "double")), "vectors")
@@ -111,7 +135,8 @@ def _around_pivots(u: DataFrame, sizes: dict[int, tuple[int, int]], number: dict
             for width in np.unique(n).tolist():
                 if width in radii:
                     at = np.flatnonzero(n == width)
-                    r, c = np.nonzero(angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width]) <= theta + radii[width])
+                    bound = theta + radii[width]
+                    r, c = pivots_within(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width], lambda _, bound=bound: bound)
                     row.append(at[r])
                     cell.append(c)
             r, c = np.concatenate(row), np.concatenate(cell)
@@ -225,14 +250,18 @@ def _best_in(rows: pa.Table, refs: pa.Table) -> pa.Table:
     names = refs.column("ref_id").to_pylist()
     best: list[tuple[float, object]] = []
     for i in range(0, len(a), TILE):
-        s = a[i : i + TILE] @ b.T
-        p, q = np.nonzero(s >= s.max(axis=1, keepdims=True) - 1e-9)
-        exact = (a[i + p] * b[q]).sum(axis=1)  # the same for equal vectors, wherever they stand
         own: dict[int, tuple[float, object]] = {}
-        for k, x, y in zip(p.tolist(), exact.tolist(), (names[c] for c in q.tolist()), strict=True):
-            if k not in own or x > own[k][0] or (x == own[k][0] and y < own[k][1]):
-                own[k] = (x, y)
-        best += [own[k] for k in range(len(s))]
+        top = np.full((len(a[i : i + TILE]), 1), -np.inf)
+        for j in range(0, len(b), TILE):
+            s = a[i : i + TILE] @ b[j : j + TILE].T
+            top = np.maximum(top, s.max(axis=1, keepdims=True))
+            p, q = np.nonzero(s >= top - 1e-9)
+            # the same for equal vectors, wherever they stand
+            exact = np.concatenate([(a[i + p[k : k + GATHER]] * b[j + q[k : k + GATHER]]).sum(axis=1) for k in range(0, len(p), GATHER)] or [np.zeros(0)])
+            for k, x, y in zip(p.tolist(), exact.tolist(), (names[j + c] for c in q.tolist()), strict=True):
+                if k not in own or x > own[k][0] or (x == own[k][0] and y < own[k][1]):
+                    own[k] = (x, y)
+        best += [own[k] for k in range(len(top))]
     return pa.table([rows.column("id"), pa.array([x for x, _ in best]), pa.array([y for _, y in best], kind.field("ref_id").type)], schema=kind)
 
 
@@ -267,8 +296,7 @@ def nearest_reference(rows: DataFrame, references: DataFrame, id_: str, vector:
             for width in np.unique(n).tolist():
                 if width in shared.value:
                     at = np.flatnonzero(n == width)
-                    a = angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
-                    cell[at], far[at] = a.argmin(axis=1), a.min(axis=1)
+                    cell[at], far[at] = nearest_pivot(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
     placed = lambda df: df.mapInArrow(place, df.select("*").schema.add("cell", "long").add("far", "double"))
@@ -307,12 +335,14 @@ def nearest_reference(rows: DataFrame, references: DataFrame, id_: str, vector:
             for width in np.unique(n).tolist():
                 if width in radii.value:
                     at = np.flatnonzero(n == width)
-                    a = angles(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width])
-                    p, c = np.nonzero((a <= reach[at, None] + radii.value[width]) & (np.arange(a.shape[1]) != a.argmin(axis=1)[:, None]))
+                    near, bound = reach[at], radii.value[width]
+                    p, c = pivots_within(_matrix(batch.column("u").take(pa.array(at)), width), shared.value[width], lambda k, near=near, bound=bound: near[k, None] + bound, True)
                     row.append(at[p])
                     cell.append(c)
-            take = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("id", "u", "n")), pa.array(np.concatenate(cell))], names=["id", "u", "n", "cell"])
+            rows, cells_ = np.concatenate(row), np.concatenate(cell)
+            for k in range(0, len(rows), GATHER):  # a row is given for each of its cells, which may be all
+                take = pa.array(rows[k : k + GATHER])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(take) for x in ("id", "u", "n")), pa.array(cells_[k : k + GATHER])], names=["id", "u", "n", "cell"])
 
     again = q.join(first.select("id", "similarity"), "id", "left").select("id", "u", "n", "similarity").mapInArrow(others, f"id {kind}, u array<double>, n int, cell long")
     return best(first.select("id", "similarity", "ref_id").union(met(again))).where(F.col("similarity") >= threshold)
