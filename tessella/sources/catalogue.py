@@ -17,6 +17,9 @@ from tessella.schemas import SIDECAR
 #: Texts of an analysis that metadata rows carry.
 DESCRIBED = ("summary", "summary_ru", "description", "description_ru", "environment", "lighting", "weather", "time_of_day", "ocr_text")
 
+#: Files that a task that writes documents has open at once; rows of further folders are sorted.
+OPEN_FILES = 64
+
 
 def scanned(spark: SparkSession, roots: list[str], vault: bool = False, extensions: Sequence[str] = (*PHOTO, *VIDEO)) -> DataFrame:
     """A1: files below the roots with one of the extensions: path, file_size, mtime and media_type (null for other than
@@ -43,8 +46,15 @@ def sidecars(spark: SparkSession, path: str, schema: str = SIDECAR, whole_files:
 
 
 def write_sidecars(docs: DataFrame, path: str, by: tuple[str, ...] = ("media_type",)) -> None:
-    """A4: documents as JSON, in a folder for each media type (and tenant)."""
-    docs.write.mode("errorifexists").partitionBy(*by).json(path)
+    """A4: documents as JSON, in a folder for each media type (and tenant). A task keeps a file open for each of its
+    folders, up to ``OPEN_FILES``, so that whole documents are not sorted by folder first."""
+    conf, name = docs.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_FILES)
+    try:
+        docs.write.mode("errorifexists").partitionBy(*by).json(path)
+    finally:
+        conf.set(name, before)
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
