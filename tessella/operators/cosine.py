@@ -230,13 +230,13 @@ def vector_links(rows: DataFrame, id_: str, vector: str, threshold: float, key:
 
 
 def vector_leaders(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``node`` and ``leader``: greedy groups, in order of ``ordinal``, of unit vectors ``x`` with a cosine of at least
-    ``threshold``; a null vector leads alone. As many comparisons as there are vectors times leaders, however many pairs
+    """``node`` and ``leader``: greedy groups, in order of ``ordinal``, of vectors ``x`` with a cosine of at least
+    ``threshold``; a null or zero vector leads alone. As many comparisons as there are vectors times leaders, however many pairs
     are near."""
     def values(x: pa.Array) -> np.ndarray:
         return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
-    return leader_rounds(nodes.withColumn("n", F.coalesce(F.size("x"), F.lit(-1))), values, lambda a, b: a @ b.T >= threshold, PASS_VECTORS)
+    return leader_rounds(nodes.withColumn("n", F.coalesce(F.size("x"), F.lit(-1))), values, lambda a, b: a @ b.T >= threshold, PASS_VECTORS, unit)
 
 
 def _best_in(rows: pa.Table, refs: pa.Table) -> pa.Table:

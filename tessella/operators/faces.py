@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.paths import basename, is_placeholder_name
-from tessella.functions.vectors import unit
 from tessella.operators.cosine import near_vectors, nearest_reference, vector_leaders, vector_links
 from tessella.operators.graph import PASS_EDGES, connected_components, leader_groups
 from tessella.operators.relational import first_per, numbered
@@ -95,7 +94,7 @@ def face_groups(faces: DataFrame, threshold: float) -> DataFrame:
     """I8: ``face_id`` and ``leader``: greedy groups, newest face first (then by id), faces alone included; faces
     without an embedding are left out. ``created_at`` orders. Faces meet leaders only (``leader_rounds``)."""
     nodes = faces.where("embedding is not null").select(
-        F.col("face_id").alias("node"), F.struct((-F.col("created_at").cast("double")).alias("t"), F.col("face_id").alias("id")).alias("ordinal"), unit("embedding").alias("x"))
+        F.col("face_id").alias("node"), F.struct((-F.col("created_at").cast("double")).alias("t"), F.col("face_id").alias("id")).alias("ordinal"), F.col("embedding").alias("x"))
     return vector_leaders(nodes, threshold).select(F.col("node").alias("face_id"), "leader")
 
 
