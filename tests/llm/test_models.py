@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -259,3 +261,48 @@ def test_a_long_document_beside_short_ones_takes_memory_for_its_tokens():
     alone = np.array([gru_lm.score(net, [d])[0] for d in some])
     np.testing.assert_allclose(gru_lm.score(net, some), alone, rtol=1e-4)
     assert gru_lm.lanes_for([]) == gru_lm.lanes_for([np.zeros(0, np.int32)]) == 1
+
+
+def test_training_takes_no_new_memory_for_each_window():
+    code = """if True:
+        import resource
+        import numpy as np
+        from tessella.llm import gru_lm
+        v = gru_lm.Vocabulary(np.arange(1, 5, dtype=np.uint64), np.array([3, 2, 2, 1]), np.zeros((gru_lm.GROUPS, 2), np.int64), 10, 5, 2)
+        rng = np.random.default_rng(3)
+        docs = [np.append(gru_lm.WORD_SLOT[rng.integers(0, 2000, 500)], gru_lm.END).astype(np.int32) for _ in range(256)]
+        trainer = gru_lm.Trainer(gru_lm.start(v), lanes=gru_lm.MANY_LANES)
+        trainer.learn(docs)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        trainer.learn(docs)
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+    """
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(gru_lm.__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=top, env=os.environ | {"PYTHONPATH": top}, capture_output=True, text=True, check=True).stdout
+    assert int(out) < 2000  # pages; with new memory for each window some 10,000
+
+
+def test_updates_are_those_of_adam(monkeypatch):
+    v, _, _ = small_vocabulary([b"a b c a b", b"c a"])
+    trainer, rng = gru_lm.Trainer(gru_lm.start(v)), np.random.default_rng(4)
+    want = [p.astype(np.float64) for p in trainer.net]
+    m, w = [np.zeros_like(p) for p in want], [np.zeros_like(p) for p in want]
+    for step in range(1, 30):
+        grads = [(rng.normal(size=p.shape) * 0.003 * (rng.random(p.shape) < 0.3)).astype(np.float32) for p in want]
+        clip = min(1.0, 1.0 / math.sqrt(sum(float((g.astype(float) ** 2).sum()) for g in grads)))
+        for k, g in enumerate(grads):
+            m[k], w[k] = 0.9 * m[k] + 0.1 * clip * g, 0.99 * w[k] + 0.01 * (clip * g.astype(float)) ** 2
+            want[k] -= 0.02 * min(1, step / 20) * m[k] / (1 - 0.9**step) / (np.sqrt(w[k] / (1 - 0.99**step)) + 1e-8)
+        trainer._update(grads)
+    for p, q in zip(trainer.net, want, strict=True):
+        np.testing.assert_allclose(p, q, rtol=1e-3, atol=1e-4)
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 18])
+def test_words_of_texts_together_are_those_of_each(size):
+    texts = [b"", *(t.encode() for t in labelled(20)[0]), b" ", b"one", b"", b"x" * 5000, b"so-called \"end.\")", b"a b\n" * (5 << 18), b"last\n"]
+    got = list(gru_lm._groups(texts, size))
+    assert len(got) < len(texts) or size == 1
+    want = [gru_lm.tokens([t]) for t in texts]
+    for at in range(3):
+        assert np.array_equal(np.concatenate([x[at] for x in got]), np.concatenate([x[at] for x in want]))
