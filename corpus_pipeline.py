@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.common import without_ids
 from tessella.llm.decontam import without_leaks
 from tessella.llm.line_dedup import dedup_lines
 from tessella.llm.packing import pack_documents
@@ -25,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates."""
     spare = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(spare, "near-duplicates").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, stored(spare, "near-duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

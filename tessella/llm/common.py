@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from tessella.scratch import ship_package
 
 #: Rows and bytes in an Arrow batch that goes to a Python worker: bounds its memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: As a power of two, the most bits of a filter of ids: 8 MB.
+FILTER_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,38 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of ids that holds for all ``doc_id`` of ``ids``, and for few others (one in 16 at most, until
+    ``FILTER_BITS`` are too few for that). Its bitmap of hashes is broadcast; ids of another type do not pass."""
+    size = 1 << min(FILTER_BITS, max(6, (16 * ids.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
+    bits = np.zeros(size >> 6, np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    ship_package(ids.sparkSession)
+    held = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def holds(p: pa.Array) -> pa.Array:
+        at = p.to_numpy()
+        return pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return lambda doc_id: holds(F.xxhash64(doc_id).bitwiseAND(F.lit(size - 1)))
+
+
+def with_ids(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` joined with the stored ``rows`` by ``doc_id``; only texts that an ``id_filter`` lets through are
+    shuffled."""
+    return docs.where(id_filter(rows)(F.col("doc_id"))).join(rows.hint("merge"), "doc_id")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is not in the stored ``ids``; only texts that an ``id_filter`` lets through are
+    shuffled, the others stay as no id is theirs."""
+    held = id_filter(ids)(F.col("doc_id"))
+    return docs.where(~held).union(docs.where(held).join(ids.hint("merge"), "doc_id", "left_anti").select(docs.columns))
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; null ids count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import small_batches, table, texts_of
+from tessella.llm.common import small_batches, table, texts_of, with_ids
 from tessella.operators.graph import connected_components
 from tessella.scratch import stored
 
@@ -22,8 +22,10 @@ _U = np.uint64
 CHUNK = 1 << 16
 #: Fingerprints of one key that a task compares in the first pass; keys with more are split into pairs of parts.
 PART = 8192
-#: Texts of a cluster that are compared shingle by shingle in one task; larger clusters are split likewise.
+#: Texts of a group that are compared shingle by shingle in one task; larger groups are split likewise.
 SIMILAR = 512
+#: Sketches of a cell that are compared in one task; larger cells are split likewise.
+SKETCHES = 2048
 
 
 def _add(ones: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +88,13 @@ def fingerprint(text: bytes, shingle: int, distinct: bool = False) -> tuple[int,
 
 def fingerprints(docs: DataFrame, shingle: int, min_keys: int = 0) -> DataFrame:
     """``doc_id``, ``fp`` (signed) and, with ``min_keys``, ``keys``, the smallest shingle hashes in that many orders,
-    ``node``, a hash of the words, and ``size``, the number of distinct shingles; ``fp`` is then of distinct shingles.
-    One map over the rows."""
+    ``node``, a hash of the words, ``size``, the number of distinct shingles, and their ``sketch``; ``fp`` is then of
+    distinct shingles. One map over the rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, nodes, sizes = [], [], [], []
+            fps, keys, nodes, sizes, sketches = [], [], [], [], []
             for text in texts_of(batch):
                 fp, h = fingerprint(text, shingle, distinct=min_keys > 0)
                 fps.append(fp)
@@ -100,18 +102,20 @@ def fingerprints(docs: DataFrame, shingle: int, min_keys: int = 0) -> DataFrame:
                     keys.append(minima(h, min_keys))
                     nodes.append(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())))
                     sizes.append(len(h))
+                    sketches.append(sketch(h))
             out = [batch.column("doc_id"), pa.array(np.array(fps, _U).view(np.int64))]
             names = ["doc_id", "fp"]
             if min_keys:
                 out.append(pa.array(keys, pa.list_(pa.int64())))
                 out.append(pa.array(np.array(nodes, _U).view(np.int64)))
                 out.append(pa.array(sizes, pa.int64()))
-                names += ["keys", "node", "size"]
+                out.append(pa.array(sketches, pa.binary()))
+                names += ["keys", "node", "size", "sketch"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = docs.select("doc_id").schema.add("fp", "long")
     if min_keys:
-        schema = schema.add("keys", T.ArrayType(T.LongType())).add("node", "long").add("size", "long")
+        schema = schema.add("keys", T.ArrayType(T.LongType())).add("node", "long").add("size", "long").add("sketch", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -127,6 +131,24 @@ def minima(h: np.ndarray, k: int) -> np.ndarray:
     return np.array(out, _U).view(np.int64)
 
 
+def short_set(h: np.ndarray) -> np.ndarray:
+    """The 32-bit hashes by which sets of shingles are compared, each once."""
+    short = np.sort(h.astype(np.uint32))  # np.unique gives the same, in several times the time
+    return short[np.append(np.ones(min(1, len(short)), bool), short[1:] != short[:-1])]
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Whether odd numbers of a set's 32-bit hashes fall on each of some bits: a power of two, as many as ``h`` has
+    hashes or more, and 64 at least.
+
+    A value that lies in one of two sets only turns one bit, so that sketches never differ in more bits than there are
+    such values. A sketch becomes one of half as many bits by the exclusive or of its halves.
+    """
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((short_set(h) & np.uint32(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def band_keys(fp: Column, radius: int) -> Column:
     """Keys of which two fingerprints within ``radius`` share at least one.
 
@@ -312,47 +334,97 @@ def close_links(keyed: DataFrame, radius: int) -> DataFrame:
     return found.where("k is null").select("a", "b").union(more)
 
 
+def _meet(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of a group (``cell``) of ``parts`` parts, each ``part`` with every other and itself: sorted by ``k``, a
+    key of the two parts, and ``id``."""
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    pairs = F.explode(F.transform(others, lambda o: F.xxhash64("cell", F.least("part", o), F.greatest("part", o)))).alias("k")
+    return rows.select(pairs, "id", *columns).repartition(n_tasks, "k").sortWithinPartitions("k", "id")
+
+
+def _dealt(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (id, cell, n) with the number of ``parts`` of about ``size`` rows that the cell has, and the row's part."""
+    return rows.withColumn("parts", F.ceil(F.col("n") / size)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("n")
+
+
+def _links_by_key(batches: Iterator[pa.RecordBatch], columns: list[str], labels: Callable[..., np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``a`` and ``b``: the rows of each ``k`` linked to the row that ``labels`` of their columns names."""
+    key, rows = None, []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            names, *values = zip(*rows, strict=True)
+            label, names = labels(*map(list, values)), np.array(names, np.int64)
+            child = np.flatnonzero(label != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[label[child]])], names=["a", "b"])
+
+    for batch in batches:
+        values = [batch.column(c) for c in columns]
+        values = [[x.values.to_numpy() for x in v] if pa.types.is_list(v.type) else v.to_pylist() for v in values]
+        for k, *row in zip(batch.column("k").to_pylist(), batch.column("id").to_pylist(), *values, strict=True):
+            if k != key:
+                yield from links()
+                key, rows = k, []
+            rows.append(row)
+    yield from links()
+
+
+def sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b``: links of rows (id, size, sketch, and the cell as in ``_meet``) that share a cell and whose
+    sketches allow a similarity of at least ``similarity``, enough of them to connect all such rows."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _links_by_key(batches, ["size", "sketch"], lambda sizes, sketches: similar_sketches(sizes, sketches, similarity))
+
+    return _meet(rows, "size", "sketch").mapInArrow(compare, "a long, b long")
+
+
+def similar_sketches(sizes: list[int], sketches: list[bytes], similarity: float) -> np.ndarray:
+    """A label for each sketch: one of those that links reach. Two link unless their sizes or the bits in which they
+    differ rule out that their sets have a Jaccard similarity of at least ``similarity``."""
+    n = len(sizes)
+    order = np.argsort(np.array(sizes, np.int64), kind="stable")
+    size, words = np.array(sizes, np.int64)[order], np.array([len(x) // 8 for x in sketches])[order]
+    # two sets of that similarity have at most this share of their sizes' sum in one of them only
+    share, label = (1 - similarity) / (1 + similarity), np.arange(n)
+    # sizes are of 64-bit hashes, and one or two more than the sets' of 32 bits at times
+    ends = np.searchsorted(size, size / similarity + 2, "right")
+    for w in np.unique(words).tolist():
+        low, high = np.searchsorted(words, [w, w + 1])
+        own = np.array([np.bitwise_xor.reduce(np.frombuffer(sketches[r], _U).reshape(-1, w)) for r in order[low : ends[high - 1]]])
+        for i in range(low, high):
+            rest = slice(i + 1, ends[i])
+            if (label[rest] == label[i]).all():
+                continue
+            differ = np.bitwise_count(own[i - low] ^ own[i + 1 - low : ends[i] - low]).sum(axis=1, dtype=np.int64)
+            joined = np.unique(label[rest][differ <= share * (size[i] + size[rest]) + 1e-9])
+            if len(joined) and (len(joined) > 1 or joined[0] != label[i]):
+                joined = np.append(joined, label[i])
+                label[np.isin(label, joined)] = joined.min()
+    found = np.empty(n, np.int64)
+    found[order] = order[label]
+    return found
+
+
 def similar_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a`` and ``b``: links of texts (id, cells, text) that share a cell and whose sets of shingles have a Jaccard
-    similarity of at least ``similarity``, enough of them to connect all such texts.
+    """``a`` and ``b``: links of texts (id, text, and the cell as in ``_meet``) that share a cell and whose sets of
+    shingles have a Jaccard similarity of at least ``similarity``, enough of them to connect all such texts.
 
-    ``cells`` are the groups that a text is compared in: their key, their number of ``parts`` of about ``SIMILAR`` texts
-    each, and the text's part. Each pair of parts is compared by a task of its own, which holds two parts at most.
+    Each pair of parts of about ``SIMILAR`` texts is compared by a task of its own, which holds two parts at most.
     """
-    n_tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ["cell", "parts", "part"]
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(fingerprint(t, shingle)[1].astype(np.uint32)).view(np.int32) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cells"), pa.array(sets, pa.list_(pa.int32()))], names=["id", "cells", "s"])
+            sets = [short_set(fingerprint(t, shingle)[1]).view(np.int32) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ["id", *own]), pa.array(sets, pa.list_(pa.int32()))], names=["id", *own, "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        yield from _links_by_key(batches, ["s"], lambda sets: similar_sets(sets, similarity))
 
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                label = similar_sets(sets, similarity)
-                child = np.flatnonzero(label != np.arange(len(ids)))
-                names = np.array(ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[label[child]])], names=["a", "b"])
-
-        for batch in batches:
-            values = batch.column("s")
-            for r, (k, i) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "id")), strict=True)):
-                if k != key:
-                    yield from links()
-                    key, ids, sets = k, [], []
-                ids.append(i)
-                sets.append(values[r].values.to_numpy())
-        yield from links()
-
-    # shingles are made once for a text, and dealt to its cells after that
-    cell = "struct<cell: bigint, parts: bigint, part: bigint>"
-    hashed = texts.select("id", F.col("cells").cast(f"array<{cell}>").alias("cells"), "text").mapInArrow(shingles, f"id long, cells array<{cell}>, s array<int>")
-    own = hashed.select("id", F.explode("cells").alias("c"), "s")
-    others = F.sequence(F.lit(0).cast("bigint"), F.col("c.parts") - 1)
-    dealt = own.select(F.explode(F.transform(others, lambda o: F.xxhash64("c.cell", F.least("c.part", o), F.greatest("c.part", o)))).alias("k"), "id", "s")
-    return dealt.repartition(n_tasks, "k").sortWithinPartitions("k", "id").mapInArrow(compare, "a long, b long")
+    # shingles are made once for a text, and dealt to its pairs of parts after that
+    hashed = texts.select("id", *own, "text").mapInArrow(shingles, "id long, cell long, parts long, part long, s array<int>")
+    return _meet(hashed, "s").mapInArrow(compare, "a long, b long")
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -428,8 +500,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     Two texts link where their sets of word shingles have a Jaccard similarity of at least ``similarity``. Candidates
     share one of ``min_keys`` smallest shingle hashes, which such a pair misses once in 0.2**-min_keys times, and all of
-    them are compared exactly: those whose SimHashes connect within ``radius`` bits in their cluster, the others with
-    the texts of other clusters that have the same key and about as many shingles. Texts with the same words are one
+    them are compared: those whose SimHashes connect within ``radius`` bits in their cluster, the others with the texts
+    of other clusters that have the same key and about as many shingles. They are compared by sketches first, which rule
+    out no pair that is similar, and those that links of such pairs connect exactly. Texts with the same words are one
     node. Texts without words are one group. Rows with a null id are alone, with a null component. Repeated rows each
     give a row; an empty table gives none. Other columns of ``docs`` are ignored.
     """
@@ -438,19 +511,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     keyed = per_doc.select("fp", F.explode("keys").alias("k")).distinct().select("fp", F.array("k").alias("keys"))
     clusters = _components(per_doc, keyed, radius)
     # one row for each different sequence of words: its smallest id
-    kinds = per_doc.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"))
-    kinds = stored(kinds.join(clusters, "fp").select("node", F.col("id").cast("long").alias("id"), "keys", "size", F.col("component_id").cast("long").alias("cluster")), "kinds")
+    kinds = per_doc.where("doc_id is not null").groupBy("node", "fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    kinds = stored(kinds.join(clusters, "fp").select("node", F.col("id").cast("long").alias("id"), "keys", "size", "sketch", F.col("component_id").cast("long").alias("cluster")), "kinds")
     # texts that may be similar have sizes of the same class or of neighbours: each comes to its own class and the next
     step = F.floor(F.log("size") / F.lit(-math.log(similarity) + 1e-6))
-    by_key = kinds.select("id", "cluster", F.explode("keys").alias("k"), step.alias("step")).select("id", "cluster", F.explode(F.array(F.xxhash64("k", "step"), F.xxhash64("k", F.col("step") + 1))).alias("cell"))
-    by_key = stored(by_key, "cells")
+    by_key = kinds.select("node", "cluster", F.explode("keys").alias("k"), step.alias("step")).select("node", "cluster", F.explode(F.array(F.xxhash64("k", "step"), F.xxhash64("k", F.col("step") + 1))).alias("cell"))
     apart = by_key.groupBy("cell").agg(F.count("*").alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("cell", "n")
     several = kinds.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
-    held = kinds.join(several, "cluster").select("id", F.xxhash64("cluster", F.lit("cluster")).alias("cell"), "n").union(by_key.join(apart.hint("merge"), "cell").select("id", "cell", "n"))
-    dealt = held.withColumn("parts", F.ceil(F.col("n") / SIMILAR)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    held = kinds.join(several, "cluster").select("node", F.xxhash64("cluster", F.lit("cluster")).alias("cell"), "n").union(by_key.join(apart.hint("merge"), "cell").select("node", "cell", "n"))
+    sketched = _dealt(held.join(kinds.select("node", "id", "size", "sketch").hint("merge"), "node"), SKETCHES)
+    may_be = stored(connected_components(sketch_links(sketched, similarity)), "may-be-similar")
+    group = may_be.groupBy(F.col("component").alias("cell")).agg(F.count("*").alias("n"))
     kind = dict(docs.dtypes)["doc_id"]
-    chosen = stored(dealt.groupBy(F.col("id").cast(kind).alias("doc_id")).agg(F.collect_list(F.struct("cell", "parts", "part")).alias("cells")), "chosen")
-    texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).withColumn("id", F.col("doc_id").cast("long"))
+    chosen = _dealt(may_be.select(F.col("node").alias("id"), F.col("component").alias("cell")).join(group, "cell"), SIMILAR)
+    chosen = stored(chosen.withColumn("doc_id", F.col("id").cast(kind)), "chosen")
+    texts = with_ids(docs.select("doc_id", "text"), chosen).dropDuplicates(["doc_id"])
     parts = connected_components(similar_links(texts, shingle, similarity))
     groups = kinds.join(parts.withColumnRenamed("node", "id"), "id", "left")
     named = stored(groups.select("node", F.coalesce("component", "id").cast(kind).alias("component_id")), "groups")

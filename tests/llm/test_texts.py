@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, decontam, line_dedup, packing, quality_rules, simhash, spans, token_counts, warc
+from tessella.llm import bpe, common, decontam, line_dedup, packing, quality_rules, simhash, spans, token_counts, warc
 
 NAME = "byte_bpe_50k.json"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(NAME))
@@ -286,6 +286,73 @@ def test_similar_sets_equal_brute_force(seed, similarity):
     assert simhash.similar_sets(sets, similarity).tolist() == to
 
 
+def passages(rng, texts=40, common=30, own=60):
+    """Unlike texts that share a passage, and a near copy of the first two of them."""
+    shared = [f"s{i}" for i in range(common)]
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(own)] for _ in range(texts)]
+    words = [[*w[: own // 2], *shared, *w[own // 2 :]] for w in words]
+    return [" ".join(w) for w in [*words, ["more", *words[0]], [*words[1], "more"]]]
+
+
+def test_near_duplicates_compare_no_texts_that_sketches_tell_apart(documents, monkeypatch):
+    """Texts that only share a passage have a key in common, and their sets of shingles went to one another's tasks."""
+    seen, real = [], simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda texts, *a: (seen.append({r["id"] for r in texts.select("id").collect()}), real(texts, *a))[1])
+    texts = passages(random.Random(4))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(texts)).collect()}
+    assert got == {**{i: i for i in range(40)}, 40: 0, 41: 1}
+    assert seen == [{0, 1, 40, 41}]
+
+
+@pytest.mark.parametrize("part", [2048, 3])
+def test_near_duplicates_with_common_passages_equal_brute_force(documents, monkeypatch, part):
+    monkeypatch.setattr(simhash, "SKETCHES", part)
+    monkeypatch.setattr(simhash, "SIMILAR", part)
+    rng = random.Random(5)
+    texts = passages(rng, 12) + passages(rng, 8, 4, 8)
+    for t in list(texts):
+        w = t.split()
+        for i in rng.sample(range(len(w)), rng.randrange(3)):
+            w[i] = f"v{rng.randrange(50)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(texts), min_keys=24).collect()}
+    assert got == dict(enumerate(brute_groups(texts)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.3, 0.5, 0.8, 0.9]))
+def test_sketches_rule_out_no_similar_sets(seed, similarity):
+    rng, sets = np.random.default_rng(seed), []
+    for _ in range(40):
+        base = sets[rng.integers(len(sets))] if sets and rng.random() < 0.6 else rng.integers(0, 2**63, int(4 ** rng.uniform(0, 5)))
+        sets.append(np.unique(np.append(base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 4)))).astype(np.uint64))
+    sketches = [simhash.sketch(s) for s in sets]
+    assert all(len(x) * 8 >= max(64, len(s)) for s, x in zip(sets, sketches, strict=True))
+    label = simhash.similar_sketches([len(s) for s in sets], sketches, similarity)
+    exact = simhash.similar_sets([simhash.short_set(s) for s in sets], similarity)
+    assert (label[exact] == label).all() and (label[label] == label).all()
+
+
+def test_sketches_tell_unlike_sets_apart():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (10, 60, 64, 65, 400, 3000) for _ in range(50)]
+    assert simhash.similar_sketches([len(s) for s in sets], [simhash.sketch(s) for s in sets], 0.8).tolist() == list(range(300))
+
+
+@pytest.mark.parametrize("bits", [26, 6])
+def test_filter_of_ids_loses_no_row(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    docs = documents([f"t{i}" for i in range(400)] + ["none", "twice"], [*range(400), None, 7])
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 40)] + [(7,), (10**6,)], "doc_id long")
+    held = {r["doc_id"] for r in docs.where(common.id_filter(ids)(docs["doc_id"])).collect()}
+    assert {7, *range(0, 400, 40)} <= held and (bits == 6 or len(held) < 100)
+    assert sorted(r["text"] for r in common.with_ids(docs, ids).collect()) == sorted([*(f"t{i}" for i in range(0, 400, 40)), "t7", "twice"])
+    want = sorted([*(f"t{i}" for i in range(400) if i % 40 and i != 7), "none"])
+    left = common.without_ids(docs, ids)
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == want
+    assert common.without_ids(docs, ids.limit(0)).count() == 402 and common.with_ids(docs, ids.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(odd, documents):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (6, 6), (None, None), (8, 8)], key=str)
